@@ -87,30 +87,40 @@ def run_stream(spark: SparkSession, log: DataFrame, files_per_trigger: int | Non
 
 
 def _hit_texts(docs: DataFrame, log: DataFrame, state: DataFrame) -> DataFrame:
-    """(digest, doc_id, stays, text) of the rows whose digest came more than once, text normalised, fetched by locator."""
+    """(file, row, digest, points, doc_id, stays, text) of the rows whose digest came more than once, text normalised, fetched by locator."""
     hits = log.join(state.filter("n > 1").select("digest", F.col("best.doc_id").alias("keep")), "digest").select("file", "row", "digest", "points", "doc_id", F.col("doc_id").eqNullSafe(F.col("keep")).alias("stays"))
     content = docs.select("file", "row", normalised(F.col("text")).alias("text"))
-    return stored(content.join(hits.hint("shuffle_hash"), ["file", "row"]).drop("file", "row"), "hits")
+    return stored(content.join(hits.hint("shuffle_hash"), ["file", "row"]), "hits")
 
 
-def exact_duplicates(docs: DataFrame, digest=lambda text: F.sha2(text, 256), files_per_trigger: int | None = None) -> DataFrame:
-    """One row a document (doc_id, text): doc_id, keep_id, group_size, kept, digest."""
-    spark = docs.sparkSession
-    docs = _addressable(docs.select("doc_id", "text"))
+def _members(docs: DataFrame, digest, files_per_trigger: int | None) -> DataFrame:
+    """docs: doc_id, text, file, row. One row a document: doc_id, keep_id, group_size, kept, digest, file, row."""
     log = digest_log(docs, digest)
-    state = stored(run_stream(spark, log, files_per_trigger), "groups")
+    state = stored(run_stream(docs.sparkSession, log, files_per_trigger), "groups")
     groups = state.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"))
     hits = _hit_texts(docs, log, state)
     stays = hits.filter("stays").select("digest", F.col("text").alias("kept_text")).dropDuplicates(["digest"])
     differing = stored(hits.join(stays, "digest").filter("text <> kept_text").select("digest"), "differing").distinct()
-    member = log.join(groups, "digest", "left")
+    columns = ["digest", "doc_id", "file", "row", "keep_id", "group_size"]
+    member = log.join(groups, "digest", "left").select(*columns)
     if not differing.isEmpty():  # one digest, several texts: those digests' rows are grouped by their bytes
-        apart = hits.join(differing, "digest", "left_semi").withColumn("order", F.struct(F.col("points"), F.lit(LAST) - F.coalesce("doc_id", F.lit(LAST)), "doc_id"))
-        by_text = apart.groupBy("digest", "text").agg(F.max("order").alias("best"), F.count("*").alias("group_size"))
-        exact = apart.select("digest", "text", "doc_id").join(by_text, ["digest", "text"]).select("digest", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size")
-        plain = member.join(differing, "digest", "left_anti").select("digest", "doc_id", "keep_id", "group_size")
-        member = plain.unionByName(exact)
-    return member.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+        apart = hits.join(differing, "digest", "left_semi")
+        by_text = apart.withColumn("order", F.struct("points", F.lit(LAST) - F.coalesce("doc_id", F.lit(LAST)), "doc_id")).groupBy("digest", "text").agg(F.max("order").alias("best"), F.count("*").alias("group_size"))
+        exact = apart.join(by_text, ["digest", "text"]).withColumn("keep_id", F.col("best.doc_id")).select(*columns)
+        member = member.join(differing, "digest", "left_anti").unionByName(exact)
+    return member.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+
+
+def exact_duplicates(docs: DataFrame, digest=lambda text: F.sha2(text, 256), files_per_trigger: int | None = None) -> DataFrame:
+    """One row a document (doc_id, text): doc_id, keep_id, group_size, kept, digest."""
+    return _members(_addressable(docs.select("doc_id", "text")), digest, files_per_trigger).select("doc_id", "keep_id", "group_size", "kept", "digest")
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, all columns, a repeated row once; docs has doc_id and text."""
+    content = _addressable(docs)
+    kept = _members(content.select("doc_id", "text", "file", "row"), lambda text: F.sha2(text, 256), None).filter("kept").select("file", "row")
+    return content.join(kept.hint("shuffle_hash"), ["file", "row"], "left_semi").drop("file", "row")
 
 
 def op2_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
