@@ -5,7 +5,7 @@ The rules are a chain of expressions over the folded section and name, evaluated
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import fold_text
@@ -46,47 +46,43 @@ def _verdict(role: str, rule: Column | str | None, ambiguous: bool = False) -> C
     return F.struct(F.lit(role).alias("role"), rule.alias("rule"), F.lit(ambiguous).alias("ambiguous"))
 
 
-def classify_dish_role(section: Column, name: Column) -> Column:
-    """struct<role, rule, ambiguous>; an ambiguous verdict is left to the price."""
-    return classify_folded(fold_text(section), fold_text(name))
-
-
-def classify_folded(section: Column, name: Column) -> Column:
-    """The same over texts that are folded already; fold once, in a column of its own, before calling it on many rows."""
-    pieces = F.split(name, r"\bwith\b|\bin\b")
-    lead = F.trim(F.element_at(pieces, 1))
-    dish = F.when(lead == "", name).otherwise(lead)
-    beside = F.when(F.size(pieces) > 1, F.trim(F.array_join(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), " "))).otherwise("")
-    parts = _parts(dish)
-    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+def with_dish_role(df: DataFrame, section: str, name: str, into: str = "verdict") -> DataFrame:
+    """df with struct<role, rule, ambiguous>; an ambiguous verdict is left to the price.
 
+    What several rules look at is a column of its own, step by step, so it is worked out once a row.
+    """
+    c = lambda x: F.col(f"_role_{x}")
+    step = lambda d, **columns: d.withColumns({f"_role_{k}": v for k, v in columns.items()})
+    out = step(df, section=fold_text(F.col(section)), name=fold_text(F.col(name)))
+    out = step(out, pieces=F.split(c("name"), r"\bwith\b|\bin\b"), whole=_parts(c("name")))
+    lead = F.trim(F.element_at(c("pieces"), 1))
+    rest = F.trim(F.array_join(F.slice(c("pieces"), 2, F.greatest(F.size(c("pieces")) - 1, F.lit(0))), " "))
+    out = step(out, parts=_parts(F.when(lead == "", c("name")).otherwise(lead)), beside=F.when(F.size(c("pieces")) > 1, rest).otherwise(""))
+    end = lambda i: F.coalesce(F.try_element_at(c("parts"), F.lit(i)), F.lit(""))
     potato = lambda p: (_words(p) >= 2) & (_words(p) <= 4) & p.rlike(POTATO_TAIL)
-    at = F.when(potato(F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit(""))), 0).when(potato(last), F.size(parts) - 1).otherwise(-1)
-    others = F.forall(F.transform(parts, lambda p, i: (i == at) | p.rlike(SEASONING)), lambda ok: ok)
-    only_potato = ((beside == "") | beside.rlike(SEASONING)) & (at >= 0) & others
-    long_last = _words(last) >= 2
-
-    whole = _parts(name)
-    simple = (F.size(whole) <= 3) & (_words(name) <= 5)
-    head = F.coalesce(F.try_element_at(whole, F.lit(1)), name)
-    dessert, condiment, staple = _first_of(name, DESSERTS), _first_of(head, CONDIMENTS), _first_of(head, STAPLES)
+    out = step(out, last=end(-1), head=F.coalesce(F.try_element_at(c("whole"), F.lit(1)), c("name")), at=F.when(potato(end(1)), 0).when(potato(end(-1)), F.size(c("parts")) - 1).otherwise(-1))
+    out = step(out, dessert=_first_of(c("name"), DESSERTS), condiment=_first_of(c("head"), CONDIMENTS), staple=_first_of(c("head"), STAPLES), words=_words(c("name")), long=_words(c("last")) >= 2)
+    others = F.forall(F.transform(c("parts"), lambda p, i: (i == c("at")) | p.rlike(SEASONING)), lambda ok: ok)
+    only_potato = (c("at") >= 0) & ((c("beside") == "") | c("beside").rlike(SEASONING)) & others
     named = lambda text, word: F.concat(F.lit(text + ' "'), word, F.lit('"'))
     counted = _verdict("counted", None)
-    return (
-        F.when(name == "", counted)
-        .when(section.rlike(DESSERT_SECTIONS), _verdict("dessert", "dessert section"))
-        .when(section.rlike(CONDIMENT_SECTIONS), _verdict("condiment", "sauce/dip section"))
-        .when(name.rlike(BARE_POTATO) | only_potato, _verdict("staple", "potatoes on their own"))
-        .when(long_last & last.rlike(TANDOOR_TAIL), _verdict("staple", 'named "… naan/roti"'))
-        .when(name.rlike(BREAD_AND_BUTTER), _verdict("staple", "bread & butter"))
-        .when(long_last & last.rlike(BREAD_TAIL), _verdict("staple", 'named "… bread"', True))
-        .when(~simple, counted)
-        .when(dessert.isNotNull(), _verdict("dessert", named("dish name:", dessert)))
-        .when(name.rlike(ADD_ON), _verdict("condiment", 'add-on ("extra…"/"side of…")'))
-        .when(condiment.isNotNull(), _verdict("condiment", named("named", condiment)))
-        .when(name.rlike(r"\bsauces?$") & (_words(name) <= 4), _verdict("condiment", 'named "… sauce"', True))
-        .when(head.rlike(BARE_STAPLE), _verdict("staple", named("bare", head)))
-        .when(staple.isNotNull(), _verdict("staple", named("named", staple)))
-        .when(section.rlike(NIBBLE_SECTIONS), _verdict("counted", None, True))
+    verdict = (
+        F.when(c("name") == "", counted)
+        .when(c("section").rlike(DESSERT_SECTIONS), _verdict("dessert", "dessert section"))
+        .when(c("section").rlike(CONDIMENT_SECTIONS), _verdict("condiment", "sauce/dip section"))
+        .when(c("name").rlike(BARE_POTATO) | only_potato, _verdict("staple", "potatoes on their own"))
+        .when(c("long") & c("last").rlike(TANDOOR_TAIL), _verdict("staple", 'named "… naan/roti"'))
+        .when(c("name").rlike(BREAD_AND_BUTTER), _verdict("staple", "bread & butter"))
+        .when(c("long") & c("last").rlike(BREAD_TAIL), _verdict("staple", 'named "… bread"', True))
+        .when((F.size(c("whole")) > 3) | (c("words") > 5), counted)
+        .when(c("dessert").isNotNull(), _verdict("dessert", named("dish name:", c("dessert"))))
+        .when(c("name").rlike(ADD_ON), _verdict("condiment", 'add-on ("extra…"/"side of…")'))
+        .when(c("condiment").isNotNull(), _verdict("condiment", named("named", c("condiment"))))
+        .when(c("name").rlike(r"\bsauces?$") & (c("words") <= 4), _verdict("condiment", 'named "… sauce"', True))
+        .when(c("head").rlike(BARE_STAPLE), _verdict("staple", named("bare", c("head"))))
+        .when(c("staple").isNotNull(), _verdict("staple", named("named", c("staple"))))
+        .when(c("section").rlike(NIBBLE_SECTIONS), _verdict("counted", None, True))
         .otherwise(counted)
     )
+    out = out.withColumn(into, verdict)
+    return out.drop(*(x for x in out.columns if x.startswith("_role_")))
