@@ -123,12 +123,17 @@ def with_tables(names: list[str], body: str) -> str:
     return f"WITH {ctes}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {ctes} {body}"
 
 
+def _timed(df: DataFrame) -> DataFrame:
+    """Times without a zone count as session time."""
+    return df.withColumns({c: df[c].cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table over the driver's Parquet files."""
     import re
 
     text = with_tables([name], f"SELECT * FROM {name}")
-    used = {b: spark.read.parquet(f"{sf_dir}/{b}.parquet") for b in BASE if re.search(rf"\b(FROM|JOIN) {b}\b", text)}
+    used = {b: _timed(spark.read.parquet(f"{sf_dir}/{b}.parquet")) for b in BASE if re.search(rf"\b(FROM|JOIN) {b}\b", text)}
     for b in used:
         text = re.sub(rf"\b(FROM|JOIN) {b}\b", rf"\1 {{{b}}}", text)
     return spark.sql(text, **used)
