@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import guide, jobs, live, records, reports, scalars
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _part in (guide, scalars, reports, records, jobs, live):
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL

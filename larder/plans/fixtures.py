@@ -6,6 +6,8 @@ as DataFrame code, and as SQL over these tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -104,8 +106,6 @@ FROM pages""",
 
 def depends(name: str) -> list[str]:
     """The derived tables that a table's SQL reads, itself last, in an order that can be evaluated."""
-    import re
-
     out: list[str] = []
     for other in TABLES:
         if other != name and re.search(rf"\b(FROM|JOIN) {other}\b", TABLES[name]):
@@ -128,12 +128,19 @@ def _timed(df: DataFrame) -> DataFrame:
     return df.withColumns({c: df[c].cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table over the driver's Parquet files."""
-    import re
-
+def _over(spark: SparkSession, name: str, read) -> DataFrame:
     text = with_tables([name], f"SELECT * FROM {name}")
-    used = {b: _timed(spark.read.parquet(f"{sf_dir}/{b}.parquet")) for b in BASE if re.search(rf"\b(FROM|JOIN) {b}\b", text)}
+    used = {b: _timed(read(b)) for b in BASE if re.search(rf"\b(FROM|JOIN) {b}\b", text)}
     for b in used:
         text = re.sub(rf"\b(FROM|JOIN) {b}\b", rf"\1 {{{b}}}", text)
     return spark.sql(text, **used)
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived table over the driver's Parquet files."""
+    return _over(spark, name, lambda b: spark.read.parquet(f"{sf_dir}/{b}.parquet"))
+
+
+def load_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same as a stream, of tables that read one base table without aggregates. A pattern, as a stream can't be of one file."""
+    return _over(spark, name, lambda b: spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{b}.parquet").schema).parquet(f"{sf_dir}/{b}.parque[t]"))
