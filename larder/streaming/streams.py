@@ -93,7 +93,7 @@ def accepted(times: list[int], held: list[int], most: int, span: int) -> tuple[l
 def rate_limit(events: DataFrame, key: str = "ip_hash", most: int = 15, span: int = 3600) -> DataFrame:
     """events: key, id, created_at. Adds allowed: fewer than `most` accepted ones of the key in the last `span` seconds.
 
-    State: the times accepted last, at most `most` a key; only accepted ones count. It goes when a key is silent.
+    State: the times accepted last, at most `most` a key; only accepted ones count. It goes when the watermark has passed them.
     """
 
     def run(k, frames, state: GroupState):
@@ -104,11 +104,11 @@ def rate_limit(events: DataFrame, key: str = "ip_hash", most: int = 15, span: in
         held = list(state.get[0]) if state.exists else []
         verdicts, held = accepted(rows["at"].tolist(), held, most, span)
         state.update((held,))
-        state.setTimeoutDuration(span * 1000)
+        state.setTimeoutTimestamp(max((held[-1] + span) * 1000, state.getCurrentWatermarkMs() + 1000))
         yield pd.DataFrame({"id": rows["id"], key: k[0], "allowed": verdicts})
 
-    rows = events.select(key, "id", F.unix_seconds("created_at").alias("at"))
-    return rows.groupBy(key).applyInPandasWithState(run, f"id bigint, {key} string, allowed boolean", "held array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.withWatermark("created_at", LATE).select(key, "id", "created_at", F.unix_seconds("created_at").alias("at"))
+    return rows.groupBy(key).applyInPandasWithState(run, f"id bigint, {key} string, allowed boolean", "held array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_limit_batch(events: DataFrame, key: str = "ip_hash", most: int = 15, span: int = 3600) -> DataFrame:
