@@ -39,8 +39,8 @@ def normalised(text: Column) -> Column:
 
 
 def _addressable(docs: DataFrame) -> DataFrame:
-    """docs with `file` and `row`, where Spark's reader found them; a derived table is written first."""
-    where = lambda df: df.withColumns({"file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")})
+    """docs with `_file` and `_row`, where Spark's reader found them; a derived table is written first."""
+    where = lambda df: df.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
     try:
         return where(docs)
     except AnalysisException:
@@ -95,6 +95,10 @@ def _hit_texts(docs: DataFrame, log: DataFrame, state: DataFrame) -> DataFrame:
     return stored(content.join(hits.hint("shuffle_hash"), ["file", "row"]), "hits")
 
 
+def _content(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint"), "text", F.col("_file").alias("file"), F.col("_row").alias("row"))
+
+
 def _members(docs: DataFrame, digest, files_per_trigger: int | None) -> DataFrame:
     """docs: doc_id, text, file, row. One row a document: doc_id, keep_id, group_size, kept, digest, file, row."""
     log = digest_log(docs, digest)
@@ -115,14 +119,14 @@ def _members(docs: DataFrame, digest, files_per_trigger: int | None) -> DataFram
 
 def exact_duplicates(docs: DataFrame, digest=lambda text: F.sha2(text, 256), files_per_trigger: int | None = None) -> DataFrame:
     """One row a document (doc_id, text): doc_id, keep_id, group_size, kept, digest."""
-    return _members(_addressable(docs.select("doc_id", "text")), digest, files_per_trigger).select("doc_id", "keep_id", "group_size", "kept", "digest")
+    return _members(_content(_addressable(docs)), digest, files_per_trigger).select("doc_id", "keep_id", "group_size", "kept", "digest")
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all columns, a repeated row once; docs has doc_id and text."""
     content = _addressable(docs)
-    kept = _members(content.select("doc_id", "text", "file", "row"), lambda text: F.sha2(text, 256), None).filter("kept").select("file", "row")
-    return content.join(kept.hint("shuffle_hash"), ["file", "row"], "left_semi").drop("file", "row")
+    kept = _members(_content(content), lambda text: F.sha2(text, 256), None).filter("kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
+    return content.join(kept.hint("shuffle_hash"), ["_file", "_row"], "left_semi").drop("_file", "_row")
 
 
 def op2_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

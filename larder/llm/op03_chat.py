@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 
 from .common import partitions, stored, table
 
-_ORDER = [F.asc_nulls_first("turn"), "role", "text"]
-
-
 def _hash(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), "pos", "role", "text").cast("decimal(20,0)")
 
@@ -35,7 +32,7 @@ def rolling(turns: DataFrame) -> DataFrame:
     clean = turns.filter("conv_id is not null").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = clean.repartitionByRange(partitions(turns.sparkSession), "conv_id", F.asc_nulls_first("turn"), "role", "text").withColumn("part", F.spark_partition_id())
     dealt = stored(dealt, "turns")  # the ranges must not be drawn anew
-    here = W.partitionBy("conv_id", "part").orderBy(*_ORDER)
+    here = W.partitionBy("conv_id", "part").orderBy(F.asc_nulls_first("turn"), "role", "text")
     earlier = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0)
     counts = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n")).select("conv_id", "part", F.coalesce(F.sum("n").over(earlier), zero).alias("ahead"))
