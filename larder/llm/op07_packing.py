@@ -153,7 +153,7 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
 
 def _round(items: DataFrame, n: int, number: int, per_group: int, capacity: int) -> DataFrame:
     """items (any columns, length) with bin, place and held: what the bin holds in all."""
-    spread = -(-n // per_group)
+    spread = max(1, -(-n // per_group))
     keys = [c for c in items.columns if c != "length"]
     dealt = items.withColumn("group", F.pmod(F.xxhash64(F.lit(number), *keys), F.lit(spread)))
     dealt = dealt.select("group", F.col("length").cast("bigint"), *keys).repartition(min(spread, max(partitions(items.sparkSession), 1)), "group").sortWithinPartitions("group", F.desc("length"), *keys)
