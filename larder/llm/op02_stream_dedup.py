@@ -105,7 +105,8 @@ def _members(docs: DataFrame, digest, files_per_trigger: int | None) -> DataFram
     state = stored(run_stream(docs.sparkSession, log, files_per_trigger), "groups")
     groups = state.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"))
     hits = _hit_texts(docs, log, state)
-    stays = hits.filter("stays").select("digest", F.col("text").alias("kept_text")).dropDuplicates(["digest"])
+    # written, so that the join below reads it by an exchange of its own and a digest of very many rows can be split
+    stays = stored(hits.filter("stays").select("digest", F.col("text").alias("kept_text")).dropDuplicates(["digest"]), "stays")
     differing = stored(hits.join(stays, "digest").filter("text <> kept_text").select("digest"), "differing").distinct()
     columns = ["digest", "doc_id", "file", "row", "keep_id", "group_size"]
     member = log.join(groups, "digest", "left").select(*columns)
