@@ -51,7 +51,8 @@ def collapse(rolled: DataFrame) -> DataFrame:
     sized = rolled.groupBy("conv_id").agg(F.max("pos").alias("n_turns"))
     whole = rolled.join(sized, "conv_id").select("conv_id", "pos", "prefix", "n_turns")
     longest = whole.groupBy("pos", "prefix").agg(F.max(F.struct("n_turns", (-F.col("conv_id")).alias("order"))).alias("best"))
-    ends = whole.filter("pos = n_turns").join(longest, ["pos", "prefix"], "left")
+    # written, so that a prefix that ends very many conversations can be split in the join
+    ends = whole.filter("pos = n_turns").join(stored(longest, "longest"), ["pos", "prefix"], "left")
     heir = -F.col("best.order")
     return ends.select("conv_id", "n_turns", F.when(heir != F.col("conv_id"), heir).alias("absorbed_by"))
 
