@@ -11,7 +11,8 @@ from .common import stored
 def _large_star(e: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the least of its neighbourhood. e: (u, v), u > v."""
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written, so that the join can split a node of very many neighbours
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 

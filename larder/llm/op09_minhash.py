@@ -169,7 +169,8 @@ def candidate_buckets(features: DataFrame, least: float) -> DataFrame:
     """(bucket, part, doc_id): classes that share a band, small buckets cut by their signatures."""
     band = features.select("doc_id", F.explode("bands").alias("band"))
     sized = band.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")).filter("n > 1")
-    kept = sized.groupBy("n", "x", "y").agg(F.min("band").alias("band"))
+    # written, so that the join below can split a band that very many classes share; likewise the blocks further down
+    kept = stored(sized.groupBy("n", "x", "y").agg(F.min("band").alias("band")), "bands")
     members = stored(band.join(kept.select("band", "n"), "band").select(F.col("band").alias("bucket"), "doc_id", "n"), "buckets")
     small = members.filter(F.col("n") <= SMALL).join(features.select("doc_id", "signature"), "doc_id").select("bucket", "doc_id", "signature")
     parts = _together(small, "bucket").mapInArrow(_signature_parts(least), "bucket bigint, part bigint, doc_id bigint")
@@ -182,7 +183,7 @@ def confirmed_links(docs: DataFrame, features: DataFrame, parts: DataFrame, perc
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(wanted.hint("shuffle_hash"), "doc_id")
     sets = stored(texts.mapInArrow(_sets, "doc_id bigint, shingles binary"), "sets").dropDuplicates(["doc_id"])
     sizes = parts.join(features.select("doc_id", "n_shingles"), "doc_id")
-    blocks = sizes.groupBy("bucket", "part").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    blocks = stored(sizes.groupBy("bucket", "part").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK)).cast("int").alias("blocks")), "blocks")
     placed = parts.join(blocks, ["bucket", "part"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # block i of n goes to the tasks (i, j) for every j; two blocks meet in one task
     task = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, "block") * F.col("blocks") + F.greatest(j, "block"))).alias("task")
@@ -195,8 +196,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row a document (doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = docs.filter("doc_id is not null")
     every = stored(set_features(docs), "features")
-    features = every.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1")
-    if not features.isEmpty():
+    if not every.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():  # repeated ids
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
         every = stored(set_features(docs), "features")
     classes = every.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
