@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space as the operators' contracts name it: [\x20\x09-\x0D].
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -31,6 +32,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def least_count(counted: DataFrame, most: int) -> int:
+    """The smallest count from which on at most so many rows are left; rows of equal counts stay or go together.
+
+    counted has a column n. The driver sees how many rows have each count, counts from 2^10 on in powers of two.
+    """
+    low, rows = 1 << 10, 0
+    step = F.when(F.col("n") < low, F.col("n")).otherwise(F.lit(1).cast("bigint") * F.pow(F.lit(2), F.floor(F.log2("n"))).cast("bigint"))
+    for r in counted.groupBy(step.alias("at")).agg(F.count("*").alias("rows")).orderBy(F.desc("at")).collect():
+        rows += r["rows"]
+        if rows > most:
+            return r["at"] + 1 if r["at"] < low else 2 * r["at"]
+    return 1
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, slices, table
+from .common import batched, least_count, slices, table
 
 _WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -103,14 +103,20 @@ def _gram_counts(batches):
 def _rows(counts: list, names: list[str], totals: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
     """Numbers of the terms, and their log frequencies with half a count for what a language hasn't shown."""
     number: dict[str, int] = {}
-    for r in counts:
-        number.setdefault(r.term, len(number))
+    for _, term, _ in counts:
+        number.setdefault(term, len(number))
     table = np.full((max(1, len(number)), len(names)), 0.5)
-    for r in counts:
-        table[number[r.term], names.index(r.lang)] = r.n
+    for name, term, n in counts:
+        table[number[term], names.index(name)] = n
     return number, (np.log(table) - np.log([totals.get(n, 0) + 1.0 for n in names])).astype(np.float32)
 
 
+def _frequent(counts: DataFrame, most: int) -> list[tuple[str, str, int]]:
+    """The most frequent (lang, term, n), at most so many, the same whatever the order of tasks."""
+    got = counts.filter(F.col("n") >= least_count(counts, most)).select("lang", "term", "n").toArrow().sort_by([("lang", "ascending"), ("term", "ascending")])
+    return list(zip(*(c.to_pylist() for c in got.columns)))
+
+
 def fit(rows: DataFrame, most_docs: int = 15_000, most_words: int = 150_000, most_grams: int = 200_000) -> Languages:
     """rows: doc_id, text, lang. One of at most so many documents is read; the model holds at most so many counts."""
     rows = rows.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
@@ -122,15 +128,16 @@ def fit(rows: DataFrame, most_docs: int = 15_000, most_words: int = 150_000, mos
     words = rows.select("text", "lang").mapInArrow(_word_counts, "lang string, term string, n bigint").groupBy("lang", "term").agg(F.sum("n").alias("n")).persist()
     try:
         totals = {r.lang: r.s for r in words.groupBy("lang").agg(F.sum("n").alias("s")).collect()}
-        top = words.filter("n > 1").orderBy(F.desc("n"), "lang", "term").limit(most_words).collect()
+        top = _frequent(words.filter("n > 1"), most_words)
         grams = words.select("lang", "term").mapInArrow(_gram_counts, "lang string, term string, n bigint").groupBy("lang", "term").agg(F.sum("n").alias("n"))
-        top_grams = grams.orderBy(F.desc("n"), "lang", "term").limit(most_grams).collect()
+        top_grams = _frequent(grams.persist(), most_grams)
+        grams.unpersist()
     finally:
         words.unpersist()
     number, table = _rows(top, names, totals)
     gram_totals: Counter = Counter()
-    for r in top_grams:
-        gram_totals[r.lang] += r.n
+    for name, _, n_grams in top_grams:
+        gram_totals[name] += n_grams
     grams_at, gram_table = _rows(top_grams, names, gram_totals)
     prior = np.array([math.log(by_lang[x] / n) for x in names])
     return Languages(names, prior, number, table, grams_at, gram_table)
