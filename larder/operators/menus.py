@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larder.functions.dish_role import with_dish_role
-from larder.functions.misc import FLAG_REPORTS, MIN_DISHES, is_thin_result
+from larder.functions.misc import FLAG_REPORTS, MIN_DISHES, held_back_reason, is_thin_result
 from larder.functions.text import format_price, is_non_main_section, is_veg, menu_as_dish_reason, norm_dish_insights, parse_price
 
 #: The section of dishes without one, and its place after all others.
@@ -160,3 +160,17 @@ def running_reports(reports: DataFrame) -> DataFrame:
     """Reports of each dish so far, and whether that flags it."""
     so_far = F.count("*").over(W.partitionBy("dish_id").orderBy("created_at", "id").rowsBetween(W.unboundedPreceding, 0))
     return reports.select("id", "dish_id", so_far.alias("reports")).withColumn("flagged", F.col("reports") >= FLAG_REPORTS)
+
+
+def withheld_featured(restaurants: DataFrame, featured_rows: DataFrame, rows: DataFrame) -> DataFrame:
+    """Featured restaurants that the public doesn't see: the cities they are featured in, and why. rows: menu_dishes."""
+    flags = review_flags(rows).withColumnRenamed("restaurant_id", "id")
+    shown = featured(featured_rows, restaurants).join(flags, "id", "left").fillna(0, ["live_dishes"])
+    hidden = shown.filter(~is_public(F.col("status"), F.col("live_dishes"), F.col("guide_approved_at"), F.col("menu_as_dish")))
+    return hidden.groupBy("id").agg(F.array_sort(F.collect_set("guide")).alias("cities"), F.min(held_back_reason(F.col("status"), F.col("live_dishes"), F.col("menu_as_dish"))).alias("reason"))
+
+
+def page_filter(guide: DataFrame, areas: list[str], cuisines: list[str]) -> DataFrame:
+    """guide: areas (array), cuisine. Restaurants in any of the areas and of any of the cuisines; an empty choice means all."""
+    out = guide.filter(F.arrays_overlap("areas", F.array(*map(F.lit, areas)))) if areas else guide
+    return out.filter(F.col("cuisine").isin(cuisines)) if cuisines else out

@@ -96,3 +96,7 @@ LEFT JOIN (SELECT restaurant_id AS rid, CASE WHEN count(*) >= 4 THEN list_extrac
 add("agg_old_vs_new_counts", lambda s, d: O.old_and_new_counts(_judged(s, d), _insights(s, d)), """SELECT i.restaurant_id, max_veg AS after, aside, coalesce(b, 0) AS before FROM insights i
 LEFT JOIN (SELECT restaurant_id, max(n) AS b FROM (SELECT restaurant_id, menu_label, count(*) AS n FROM judged WHERE veg GROUP BY 1, 2) GROUP BY 1) USING (restaurant_id)""")
 add("win_running_reports", lambda s, d: O.running_reports(load(s, d, "reports")), "SELECT id, dish_id, count(*) OVER (PARTITION BY dish_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS reports, count(*) OVER (PARTITION BY dish_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) >= 3 AS flagged FROM reports", ["reports"])
+add("agg_withheld", lambda s, d: O.withheld_featured(load(s, d, "restaurants"), load(s, d, "featured"), O.menu_dishes(load(s, d, "dishes"), load(s, d, "menu_sections"))).select("id", F.array_join("cities", ",").alias("cities"), F.col("reason").startswith('"').alias("flagged")), """
+SELECT r.id, f.city AS cities, status = 'done' AND (SELECT count(*) FROM placed p WHERE p.restaurant_id = r.id) >= 7 AS flagged FROM featured f JOIN restaurants r ON r.id = f.restaurant_id WHERE NOT hidden AND NOT (status = 'done' AND (SELECT count(*) FROM placed p WHERE p.restaurant_id = r.id) >= 7
+AND (guide_approved_at IS NOT NULL OR NOT EXISTS (SELECT 1 FROM placed p WHERE p.restaurant_id = r.id AND (p.name = 'Tasting menu' OR p.description = '3 courses'))))""")
+add("job_guide_page_filter", lambda s, d: O.page_filter(load(s, d, "restaurants").withColumn("areas", F.array("city", F.lit("x"))), ["nation_1", "nation_2", "nation_3"], ["irish", "indian"]).select("id", "city", "cuisine"), "SELECT id, city, cuisine FROM restaurants WHERE city IN ('nation_1', 'nation_2', 'nation_3') AND cuisine IN ('irish', 'indian')", ["restaurants"])

@@ -76,3 +76,4 @@ add("join_location_upsert", lambda s, d: G.upsert_locations(_cand(s, d), load(s,
 add("set_locations_backfill", lambda s, d: G.locations_backfill(load(s, d, "locations").selectExpr("restaurant_id", "case when id % 2 = 0 then upper(address) else concat(address, 'x') end as address"), load(s, d, "locations")), ["locations"], "SELECT restaurant_id, address FROM (SELECT restaurant_id, CASE WHEN id % 2 = 0 THEN upper(address) ELSE address || 'x' END AS address FROM locations) a WHERE NOT EXISTS (SELECT 1 FROM locations l WHERE l.restaurant_id = a.restaurant_id AND lower(l.address) = lower(a.address))")
 add("job_location_enrich", lambda s, d: G.location_enrich(load(s, d, "restaurants").withColumn("city", F.when(F.col("id") % 2 == 0, "Dublin").otherwise("Cork")), load(s, d, "dishes"), load(s, d, "locations")).select("id", "restaurant_id"), ["locations", "restaurants", "dishes"], "SELECT l.id, l.restaurant_id FROM locations l JOIN restaurants r ON r.id = l.restaurant_id WHERE status = 'done' AND contains(lower(address), CASE WHEN r.id % 2 = 0 THEN 'dublin' ELSE 'cork' END) AND (SELECT count(*) FROM dishes d WHERE d.restaurant_id = r.id AND deleted_at IS NULL) >= 7")
 add("loc_dedupe", lambda s, d: G.loc_dedupe(load(s, d, "locations").selectExpr("restaurant_id", "id as ord", "cast(null as string) as label", "address", "latitude", "longitude", "confidence")).select("restaurant_id", "address", "confidence"), [])
+add("job_remove_nonfood", lambda s, d: X.remove_nonfood(load(s, d, "dishes"), load(s, d, "menu_sections").withColumn("menu_label", F.when(F.col("menu_label") == "N", "Kids menu").otherwise(F.col("menu_label"))))[0].groupBy("restaurant_id").agg(F.count("*").alias("n")), ["dishes"], "SELECT restaurant_id, count(*) AS n FROM dishes WHERE section_id IS NULL OR NOT contains(section_id, '-N-') GROUP BY 1")

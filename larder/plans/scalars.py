@@ -123,3 +123,15 @@ add("address_equivalent", "locations", "id", lambda: M.address_equivalent(F.col(
 add("address_usable", "locations", "id", lambda: M.address_usable(F.col("address")), "length(address) BETWEEN 8 AND 300")
 add("in_city", "locations", "id", lambda: M.in_city(F.col("address"), F.lit(" dublin ")), "contains(lower(address), 'dublin')")
 add("map_url_coords", "locations", "id", lambda: M.map_url_coords(F.concat(F.lit("https://maps.google.com/?q="), F.col("latitude").cast("string"), F.lit(",200")))["latitude"].isNull(), "true")
+
+NONE = lambda: F.array().cast("array<string>")
+add("is_thin_result", "attempts", "id", lambda: M.is_thin_result(F.lit("done"), F.col("dish_count")), "dish_count > 0 AND dish_count < 7")
+add("menu_category", "attempts", "id", lambda: M.menu_category(F.when(F.col("id") % 3 == 0, F.array(F.lit("pdf"), F.lit("text"))).when(F.col("id") % 3 == 1, F.array(F.lit("subpage"))).otherwise(NONE())), "CASE id % 3 WHEN 0 THEN 'multi' WHEN 1 THEN 'js' ELSE 'text' END")
+OPAQUE = f"({SLUG} = '' OR len(list_filter(string_split({SLUG}, ' '), lambda w: regexp_matches(w, '(?i)^[0-9a-f]{{6,}}$') OR regexp_matches(w, '^[0-9]+$'))) >= greatest(1, len(string_split({SLUG}, ' ')) - 1))"
+add("branch_label", "urls", "page_id", lambda: U.branch_label(u()), f"CASE WHEN {OPAQUE} THEN '' ELSE {SLUG} END")
+add("with_branch", "urls", "page_id", lambda: U.with_branch(F.lit("Greek"), U.url_hint(u())), f"CASE WHEN {SLUG} = '' THEN 'Greek' WHEN contains(lower({SLUG}), 'greek') THEN {SLUG} ELSE 'Greek — ' || {SLUG} END")
+add("held_back_reason", "restaurants", "id", lambda: M.held_back_reason(F.col("status"), F.col("id") % 9, F.when(F.col("id") % 2 == 0, "flag")), "CASE WHEN status = 'error' THEN 'analysis errored' WHEN status = 'no_menu' THEN 'no menu found' WHEN status <> 'done' THEN status WHEN id % 9 = 1 THEN 'only 1 dish' WHEN id % 9 < 7 THEN 'only ' || cast(id % 9 AS varchar) || ' dishes' WHEN id % 2 = 0 THEN 'flag' ELSE 'held back for review' END")
+add("visible_section", "menu_sections", "id", lambda: M.visible_section(F.col("menu_label"), F.lit("A"), F.lit(2)), "menu_label IS NULL OR menu_label = 'A'")
+add("content_verdict", "docs", "doc_id", lambda: M.content_verdict(F.col("text"), NONE(), NONE(), F.lit(None).cast("string")), "CASE WHEN length(text) >= 100 THEN 'content' ELSE 'not_listed' END")
+add("read_is_thin", "docs", "doc_id", lambda: M.read_is_thin(F.col("text"), NONE(), NONE(), NONE()), "length(text) < 600")
+add("display_areas", "locations", "id", lambda: F.array_join(M.display_areas(F.array(F.when(F.col("id") % 2 == 0, F.col("confidence")), F.lit("")), F.when(F.col("id") % 3 == 0, F.col("city")), F.lit("D01")), ","), "CASE WHEN id % 2 = 0 THEN confidence WHEN id % 3 = 0 THEN city ELSE 'D01' END")
