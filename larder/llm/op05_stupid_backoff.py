@@ -1,12 +1,16 @@
 """LM scoring by stupid backoff over bigrams, computed relationally.
 
-1. Words are counted over all documents. The most frequent, at most `most_words`, get numbers; all others are one word, `unknown`, that
-   has their counts together. Pairs that a bounded sample shows as very frequent are counted exactly in the same pass.
+1. Words are counted over all documents. The most frequent, at most `most_words`, get numbers, and their counts go to every task;
+   the others keep their own counts in a table. Pairs that a bounded sample shows as very frequent are counted exactly in the
+   same pass.
 2. Every document's bigrams (a pair of word numbers, with its count in the document) are dealt by a hash of the pair, packed
    into one row a bucket and slice of documents. In a bucket, the rows give the pair's corpus count, and the same rows are
    joined with it: counts and the n-grams they are joined to share one exchange. The very frequent pairs, whose counts are
    known, are scored where they are read, so no pair holds a large part of a bucket.
-3. Partial sums are added up by document.
+3. Pairs with a word beyond the numbered ones are dealt as word hashes. Their bucket tells their count, so which of the two words
+   counts; what a document needs of the logarithm of a rare word's count goes on by the word's hash, to where the table's
+   counts are dealt.
+4. Partial sums are added up by document.
 
 A bigram seen at least `least` times scores log10(count / count of its first word); another backs off to
 log10(0.4 * count of its second word / words in all). A document's first word scores as a single one.
@@ -30,6 +34,8 @@ from .common import batched, groups, least_count, mixed, partitions, slices, sto
 BACKOFF = 0.4
 #: Words that one bucket should have.
 BUCKET = 1_500_000
+#: Kinds of packed rows: a slice's documents; bigrams by numbers; by hashes; rare first words; sums; parts of rare words; their counts.
+HEAD, NUMBERED, HASHED, FIRST, SUMS, TERMS, COUNTS = range(7)
 _KEYS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
 
@@ -64,13 +70,13 @@ def _tally(kinds_of, most: int = 1_500_000):
 
 
 class Vocabulary:
-    """Numbers of word hashes (0: unknown), counts by number, and pair hashes with known counts."""
+    """Numbers of the frequent words' hashes (0: a rare word), counts by number, and pair hashes with known counts."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, unknown: int, hot: np.ndarray, hot_counts: np.ndarray):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, rare: int, hot: np.ndarray, hot_counts: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes, by = hashes[order], counts[order]
-        self.counts = np.concatenate([[unknown], by]).astype(np.float64)
-        self.total = float(self.counts.sum())
+        self.hashes, self.rare = hashes[order], rare  # rare: how often rare words occur in all
+        self.counts = np.concatenate([[1], counts[order]]).astype(np.float64)
+        self.total = float(counts.sum() + rare)
         order = np.argsort(hot)
         self.hot, self.hot_counts = hot[order], hot_counts[order].astype(np.float64)
 
@@ -85,8 +91,9 @@ class Vocabulary:
         return np.log10(np.where(seen, pair_counts / np.maximum(self.counts[first], 1), BACKOFF * np.maximum(self.counts[second], 1) / self.total))
 
 
-def vocabulary(docs: DataFrame, most_words: int = 400_000, most_pairs: int = 4_096, sample: int = 4_000) -> Vocabulary:
-    """Counts over every document. Only the choice of pairs to count ahead comes from a sample."""
+def vocabulary(docs: DataFrame, most_words: int = 400_000, most_pairs: int = 4_096, sample: int = 4_000) -> tuple[Vocabulary, DataFrame]:
+    """Counts over every document: of the frequent words, and a table (key, n) of all others. Only the choice of pairs to count
+    ahead comes from a sample."""
     spark = docs.sparkSession
     texts = docs.select("text")
     n = docs.count()
@@ -110,19 +117,39 @@ def vocabulary(docs: DataFrame, most_words: int = 400_000, most_pairs: int = 4_0
     total = counts.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     number = lambda t, c: t.column(c).to_numpy().astype(np.int64)
     n = number(top, "n")
-    return Vocabulary(number(top, "key").view(np.uint64), n, int(total - n.sum()), number(pairs, "key").view(np.uint64), number(pairs, "n"))
+    v = Vocabulary(number(top, "key").view(np.uint64), n, int(total - n.sum()), number(pairs, "key").view(np.uint64), number(pairs, "n"))
+    return v, known.filter(F.col("n") < least).select("key", "n")
 
 
-_PACKED = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
-_PACKED_SQL = "bucket bigint, slice bigint, a binary, b binary, c binary, d binary"
-_PARTIAL = pa.schema([(f.name, f.type) for f in _PACKED][1:])
-_PARTIAL_SQL = _PACKED_SQL.partition(", ")[2]
+_PACKED = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+_PACKED_SQL = "bucket bigint, slice bigint, kind int, a binary, b binary, c binary, d binary"
 _SUMS = pa.schema([("doc_id", pa.int64()), ("known", pa.bool_()), ("words", pa.int64()), ("score", pa.float64())])
 
 
+def _cuts(sorted_keys: np.ndarray):
+    """(start, end) of each run of equal keys."""
+    starts = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.empty(0, np.int64)
+    return zip(starts.tolist(), np.append(starts[1:], len(sorted_keys)).tolist())
+
+
+def _dealt(kind: int, name: int, buckets: int, keys: np.ndarray, at: np.ndarray, columns):
+    """Packed rows of one slice: each key once a document, with its count. columns(places) gives what to write of them."""
+    if not len(keys):
+        return
+    bucket = (mixed(keys) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((keys, bucket))  # stable, so each key's documents stay in order
+    keys, at, bucket = keys[order], at[order], bucket[order]
+    new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (at[1:] != at[:-1])))
+    n = np.diff(np.append(new, len(keys))).astype(np.uint32)
+    at, bucket = at[new], bucket[new]
+    first, second = columns(order[new])
+    for i, j in _cuts(bucket):
+        yield int(bucket[i]), name, kind, first[i:j].tobytes(), second[i:j].tobytes(), at[i:j].tobytes(), n[i:j].tobytes()
+
+
 def _deal(shared, buckets: int, least: int):
     """Bucket -1: ids of a slice's documents, whether each is known, words, and what is scored already. Else: bigrams of one
-    bucket and slice, as (first, second) numbers, the document's place in the slice, count."""
+    bucket and slice, as (first, second) numbers or hashes, the document's place in the slice, count; or rare first words."""
 
     def run(batches):
         v = shared.value
@@ -133,16 +160,29 @@ def _deal(shared, buckets: int, least: int):
                 doc_ids = np.array([x or 0 for x in ids], np.int64)
                 name = int.from_bytes(hashlib.blake2b(doc_ids.tobytes(), digest_size=8).digest(), "little", signed=True)
                 words_n, score = np.zeros(len(ids), np.int64), np.zeros(len(ids))
-                keys, at = [np.empty(0, np.uint64)], [np.empty(0, np.uint16)]
+                none, nowhere = np.empty(0, np.uint64), np.empty(0, np.uint16)
+                keys, at = [none], [nowhere]
+                left, right, pairs, hashed_at = [none], [none], [none], [nowhere]
+                heads, heads_at = [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     words = word_hashes(text or "")
                     words_n[i] = len(words)
                     if not len(words):
                         continue
                     number = v.numbers(words)
-                    score[i] = np.log10(max(v.counts[number[0]], 1) / v.total)
+                    score[i] = np.log10(v.counts[number[0]] / v.total)
+                    if not number[0]:
+                        heads.append(words[0])
+                        heads_at.append(i)
                     own = _pairs(words) if len(words) > 1 else words[:0]
                     first, second = number[:-1], number[1:]
+                    rare = (first == 0) | (second == 0)
+                    if rare.any():
+                        left.append(words[:-1][rare])
+                        right.append(words[1:][rare])
+                        pairs.append(own[rare])
+                        hashed_at.append(np.full(int(rare.sum()), i, np.uint16))
+                        first, second, own = first[~rare], second[~rare], own[~rare]
                     if len(v.hot) and len(own):
                         h = np.minimum(np.searchsorted(v.hot, own), len(v.hot) - 1)
                         hit = v.hot[h] == own
@@ -150,54 +190,138 @@ def _deal(shared, buckets: int, least: int):
                         first, second = first[~hit], second[~hit]
                     keys.append(first << np.uint64(32) | second)
                     at.append(np.full(len(first), i, np.uint16))
-                yield -1, name, doc_ids.tobytes(), np.array([x is not None for x in ids]).tobytes(), words_n.tobytes(), score.tobytes()
-                keys, at = np.concatenate(keys), np.concatenate(at)
-                if not len(keys):
-                    continue
-                bucket = (mixed(keys) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((keys, bucket))  # stable, so each pair's documents stay in order
-                keys, at, bucket = keys[order], at[order], bucket[order]
-                new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (at[1:] != at[:-1])))
-                n = np.diff(np.append(new, len(keys))).astype(np.uint32)
-                keys, at, bucket = keys[new], at[new], bucket[new]
-                first, second = (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32)
-                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
-                    yield int(bucket[i]), name, first[i:j].tobytes(), second[i:j].tobytes(), at[i:j].tobytes(), n[i:j].tobytes()
+                yield -1, name, HEAD, doc_ids.tobytes(), np.array([x is not None for x in ids]).tobytes(), words_n.tobytes(), score.tobytes()
+                keys = np.concatenate(keys)
+                yield from _dealt(NUMBERED, name, buckets, keys, np.concatenate(at), lambda x: ((keys[x] >> np.uint64(32)).astype(np.uint32), keys[x].astype(np.uint32)))  # noqa: B023
+                left, right = np.concatenate(left), np.concatenate(right)
+                yield from _dealt(HASHED, name, buckets, np.concatenate(pairs), np.concatenate(hashed_at), lambda x: (left[x], right[x]))  # noqa: B023
+                heads = np.array(heads, np.uint64)
+                yield from _dealt(FIRST, name, buckets, heads, np.array(heads_at, np.uint16), lambda x: (heads[x], none))  # noqa: B023
 
         yield from batched(rows(), _PACKED, 64)
 
     return run
 
 
-def _score(shared, least: int):
-    """Per bucket: counts of its pairs, joined with the same rows; per slice, the sums of its documents. Bucket -1 passes."""
+def _sums(names: list[int], places: list[np.ndarray], logs: np.ndarray):
+    """Rows of each slice's sums by document."""
+    end = 0
+    for name, at in zip(names, places):
+        sums = np.bincount(at, logs[end : end + len(at)])
+        end += len(at)
+        present = np.unique(at)
+        yield -1, name, SUMS, present.tobytes(), sums[present].tobytes(), b"", b""
+
+
+def _joined(members: list[tuple], k: int, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(m[k] for m in members), kind)
+
+
+def _score(shared, least: int, word_buckets: int):
+    """Per bucket: counts of its pairs, joined with the same rows; per slice, the sums of its documents. What hangs on the count
+    of a rare word goes on as (hash, slice, place, how often the logarithm counts) by the word's bucket. Bucket -1 passes."""
 
     def run(batches):
         v = shared.value
 
+        def terms(bucket, words, names, at, n):
+            to = (mixed(words) % np.uint64(word_buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            to, words, names, at, n = to[order], words[order], names[order], at[order], n[order]
+            for i, j in _cuts(to):
+                yield int(to[i]), bucket, TERMS, words[i:j].tobytes(), names[i:j].tobytes(), at[i:j].tobytes(), n[i:j].tobytes()
+
         def rows():
             for (bucket,), members in groups(batches, 1):
                 if bucket < 0:
-                    yield from members
+                    yield from ((bucket, *m) for m in members)
                     continue
-                joined = lambda k, kind: np.frombuffer(b"".join(m[k] for m in members), kind)
-                first, second, n = joined(1, np.uint32), joined(2, np.uint32), joined(4, np.uint32).astype(np.float64)
-                distinct, inverse = np.unique(first.astype(np.uint64) << np.uint64(32) | second, return_inverse=True)
-                logs = v.logs(np.bincount(inverse, n)[inverse], first, second, least) * n
-                end = 0
-                for name, _, _, at, _ in members:
-                    at = np.frombuffer(at, np.uint16)
-                    sums = np.bincount(at, logs[end : end + len(at)])
-                    end += len(at)
-                    present = np.unique(at)
-                    yield name, present.tobytes(), sums[present].tobytes(), b"", b""
-
-        yield from batched(rows(), _PARTIAL, 256)
+                own = {k: [m for m in members if m[1] == k] for k in (NUMBERED, HASHED, FIRST)}
+                del members
+                for kind, some in own.items():
+                    if not some:
+                        continue
+                    places = [np.frombuffer(m[4], np.uint16) for m in some]
+                    names = [m[0] for m in some]
+                    n = _joined(some, 5, np.uint32)
+                    if kind == NUMBERED:
+                        first, second = _joined(some, 2, np.uint32), _joined(some, 3, np.uint32)
+                        _, inverse = np.unique(first.astype(np.uint64) << np.uint64(32) | second, return_inverse=True)
+                        yield from _sums(names, places, v.logs(np.bincount(inverse, n)[inverse], first, second, least) * n)
+                        continue
+                    by_entry = np.repeat(np.array(names, np.int64), [len(p) for p in places])
+                    if kind == FIRST:
+                        yield from terms(bucket, _joined(some, 2, np.uint64), by_entry, np.concatenate(places), n.astype(np.int32))
+                        continue
+                    first, second = _joined(some, 2, np.uint64), _joined(some, 3, np.uint64)
+                    _, inverse = np.unique(mixed(first * np.uint64(0x9E3779B97F4A7C15) + second), return_inverse=True)
+                    counts = np.bincount(inverse, n)[inverse]
+                    seen = counts >= least
+                    word, times = np.where(seen, first, second), np.where(seen, -n.astype(np.int32), n.astype(np.int32))
+                    number = v.numbers(word)
+                    logs = np.where(seen, np.log10(counts), np.log10(BACKOFF / v.total)) * n + np.log10(v.counts[number]) * times
+                    yield from _sums(names, places, logs)
+                    rare = number == 0
+                    yield from terms(bucket, word[rare], by_entry[rare], np.concatenate(places)[rare], times[rare])
+
+        yield from batched(rows(), _PACKED, 64)
 
     return run
 
 
+def _pack_counts(word_buckets: int, most: int = 1_000_000):
+    """The table of rare words' counts as packed rows of the words' buckets."""
+
+    def packed(held):
+        keys, n = (np.concatenate(x) for x in zip(*held))
+        to = (mixed(keys) % np.uint64(word_buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        to, keys, n = to[order], keys[order], n[order]
+        for i, j in _cuts(to):
+            yield int(to[i]), -1, COUNTS, keys[i:j].tobytes(), n[i:j].tobytes(), b"", b""
+
+    def run(batches):
+        def rows():
+            held, size = [], 0
+            for batch in batches:
+                held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+                size += batch.num_rows
+                if size >= most:
+                    yield from packed(held)
+                    held, size = [], 0
+            if size:
+                yield from packed(held)
+
+        yield from batched(rows(), _PACKED, 64)
+
+    return run
+
+
+def _word_terms(batches):
+    """Per bucket of rare words: their counts meet what documents need of them; per slice, the sums. Bucket -1 passes."""
+
+    def rows():
+        for (bucket,), members in groups(batches, 1):
+            if bucket < 0:
+                yield from ((bucket, *m) for m in members)
+                continue
+            counted, needed = [m for m in members if m[1] == COUNTS], [m for m in members if m[1] == TERMS]
+            del members
+            if not needed:
+                continue
+            keys, n = _joined(counted, 2, np.uint64), _joined(counted, 3, np.int64)
+            order = np.argsort(keys)
+            keys, logs = keys[order], np.log10(n[order])
+            words, names, at = _joined(needed, 2, np.uint64), _joined(needed, 3, np.int64), _joined(needed, 4, np.uint16)
+            part = logs[np.searchsorted(keys, words)] * _joined(needed, 5, np.int32)
+            order = np.argsort(names, kind="stable")
+            names, at, part = names[order], at[order], part[order]
+            runs = list(_cuts(names))
+            yield from _sums([int(names[i]) for i, _ in runs], [at[i:j] for i, j in runs], part)
+
+    yield from batched(rows(), _PACKED, 256)
+
+
 def _by_document(batches):
     """Per slice: its documents with all their sums."""
 
@@ -219,14 +343,18 @@ def backoff_scores(docs: DataFrame, least: int = 2, most_words: int = 400_000, b
     """(doc_id, n_words, score, mean_score): log10 of stupid backoff, summed over the words, and by word."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    v = vocabulary(docs, most_words)
+    v, rare = vocabulary(docs, most_words)
     shared = spark.sparkContext.broadcast(v)
-    buckets = max(partitions(spark), int(v.total // bucket) + 1)
+    buckets, word_buckets = (max(partitions(spark), int(n // bucket) + 1) for n in (v.total, v.rare))
     packed = docs.mapInArrow(_deal(shared, buckets, least), _PACKED_SQL)
-    # slices' heads go to any task; they need no bucket
+    # slices' heads and sums go to any task; they need no bucket
     home = F.when(F.col("bucket") < 0, F.col("slice")).otherwise(F.col("bucket"))
     dealt = packed.repartition(max(partitions(spark), buckets), home).sortWithinPartitions("bucket", "slice")
-    partial = dealt.mapInArrow(_score(shared, least), _PARTIAL_SQL)
+    partial = dealt.mapInArrow(_score(shared, least, word_buckets), _PACKED_SQL)
+    if v.rare:
+        parts = partial.union(rare.mapInArrow(_pack_counts(word_buckets), _PACKED_SQL))
+        partial = parts.repartition(max(partitions(spark), word_buckets), home).sortWithinPartitions("bucket", "slice").mapInArrow(_word_terms, _PACKED_SQL)
+    partial = partial.select("slice", "a", "b", "c", "d")
     sums = partial.repartition(partitions(spark), "slice").sortWithinPartitions("slice").mapInArrow(_by_document, "doc_id bigint, known boolean, words bigint, score double")
     by_doc = sums.groupBy("doc_id", "known").agg(F.sum("words").alias("n_words"), F.sum("score").alias("total"))
     score = F.when(F.col("n_words") > 0, F.col("total"))

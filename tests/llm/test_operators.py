@@ -237,6 +237,19 @@ def test_backoff_scores(spark, docs, nothing):
     assert small == len(TEXTS)
 
 
+@pytest.mark.parametrize("most_words", [0, 5, 40])
+def test_backoff_scores_keep_every_word(spark, most_words):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["the", "of", f"w{rng.randrange(60)}", f"junk{rng.randrange(10**6)}"]) for _ in range(rng.randrange(1, 40)))) for i in range(60)]
+    w = {i: words(t) for i, t in rows}
+    one, two = collections.Counter(x for v in w.values() for x in v), collections.Counter(p for v in w.values() for p in zip(v, v[1:]))
+    total = sum(one.values())
+    got = {r.doc_id: r for r in lm.backoff_scores(spark.createDataFrame(rows, "doc_id long, text string"), most_words=most_words, bucket=300).collect()}
+    for i, v in w.items():
+        want = np.log10(one[v[0]] / total) + sum(np.log10(two[p] / one[p[0]] if two[p] >= 2 else 0.4 * one[p[1]] / total) for p in zip(v, v[1:]))
+        assert got[i].n_words == len(v) and abs(got[i].score - want) < 1e-6 * max(1, abs(want))
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------
 
 
