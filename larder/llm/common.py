@@ -37,13 +37,19 @@ def least_count(counted: DataFrame, most: int) -> int:
 
     counted has a column n. The driver sees how many rows have each count, counts from 2^10 on in powers of two.
     """
-    low, rows = 1 << 10, 0
+    return least_counts(counted.withColumn("_all", F.lit(0)), "_all", most).get(0, 1)
+
+
+def least_counts(counted: DataFrame, by: str, most: int) -> dict:
+    """The same for the rows of each value of the column `by`."""
+    low, rows, least = 1 << 10, {}, {}
     step = F.when(F.col("n") < low, F.col("n")).otherwise(F.lit(1).cast("bigint") * F.pow(F.lit(2), F.floor(F.log2("n"))).cast("bigint"))
-    for r in counted.groupBy(step.alias("at")).agg(F.count("*").alias("rows")).orderBy(F.desc("at")).collect():
-        rows += r["rows"]
-        if rows > most:
-            return r["at"] + 1 if r["at"] < low else 2 * r["at"]
-    return 1
+    for r in counted.groupBy(by, step.alias("at")).agg(F.count("*").alias("rows")).orderBy(by, F.desc("at")).collect():
+        before = rows.get(r[by], 0)
+        rows[r[by]] = before + r["rows"]
+        if before <= most < rows[r[by]]:
+            least[r[by]] = r["at"] + 1 if r["at"] < low else 2 * r["at"]
+    return {x: least.get(x, 1) for x in rows}
 
 
 def partitions(spark: SparkSession) -> int:

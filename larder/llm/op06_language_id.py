@@ -1,7 +1,9 @@
 """Language identification: known words by their log frequency in each language, unseen words by ever shorter n-grams.
 
 The model is fitted on a bounded sample of rows (`most_docs`, by a hash of the text's id) and is itself bounded: `most_words`
-word rows and `most_grams` n-gram rows by language, the most frequent ones. A word the model knows adds its log frequency
+word rows and `most_grams` n-gram rows by language, the most frequent ones. Each bound is shared out by language: one that
+needs less than an equal share gives all it has, the others share the rest. A language without a word in the sample is no
+choice. A word the model knows adds its log frequency
 under each language. Another word is padded with its ends and read as character n-grams of five; those the model knows add
 theirs, and if there is none, n-grams of four are tried, and so on to single characters.
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, least_count, slices, table
+from .common import batched, least_counts, slices, table
 
 _WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -101,30 +103,46 @@ def _gram_counts(batches):
 
 
 def _rows(counts: list, names: list[str], totals: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
-    """Numbers of the terms, and their log frequencies with half a count for what a language hasn't shown."""
+    """Numbers of the terms, and their log frequencies with half a count added to each term, shown by the language or not."""
     number: dict[str, int] = {}
     for _, term, _ in counts:
         number.setdefault(term, len(number))
     table = np.full((max(1, len(number)), len(names)), 0.5)
+    place = {name: i for i, name in enumerate(names)}
     for name, term, n in counts:
-        table[number[term], names.index(name)] = n
-    return number, (np.log(table) - np.log([totals.get(n, 0) + 1.0 for n in names])).astype(np.float32)
+        table[number[term], place[name]] += n
+    return number, (np.log(table) - np.log([totals.get(n, 0) + 0.5 * len(table) for n in names])).astype(np.float32)
+
+
+def share(sizes: dict[str, int], most: int) -> int:
+    """The share of each, so that the sizes cut to it come to at most `most`."""
+    left = most
+    for i, n in enumerate(sorted(sizes.values())):
+        if n * (len(sizes) - i) > left:
+            return left // (len(sizes) - i)
+        left -= n
+    return max(sizes.values(), default=0)
 
 
 def _frequent(counts: DataFrame, most: int) -> list[tuple[str, str, int]]:
-    """The most frequent (lang, term, n), at most so many, the same whatever the order of tasks."""
-    got = counts.filter(F.col("n") >= least_count(counts, most)).select("lang", "term", "n").toArrow().sort_by([("lang", "ascending"), ("term", "ascending")])
+    """The most frequent (lang, term, n) of each language up to its share, the same whatever the order of tasks."""
+    sizes = {r.lang: r.n for r in counts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    least = list(least_counts(counts, "lang", share(sizes, most)).items())
+    kept = counts.join(F.broadcast(counts.sparkSession.createDataFrame(least, "lang string, _least long")), "lang").filter("n >= _least") if least else counts
+    got = kept.select("lang", "term", "n").toArrow().sort_by([("lang", "ascending"), ("term", "ascending")])
     return list(zip(*(c.to_pylist() for c in got.columns)))
 
 
 def fit(rows: DataFrame, most_docs: int = 15_000, most_words: int = 150_000, most_grams: int = 200_000) -> Languages:
     """rows: doc_id, text, lang. One of at most so many documents is read; the model holds at most so many counts."""
+    spark = rows.sparkSession
     rows = rows.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
     by_lang = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
     n = sum(by_lang.values())
+    each = share(by_lang, most_docs)
     if n > most_docs:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most_docs / n))
-    names = sorted(by_lang)
+        rates = spark.createDataFrame([(x, int(1_000_000_000 * min(1, each / k))) for x, k in by_lang.items()], "lang string, _rate long")
+        rows = rows.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < F.col("_rate")).drop("_rate")
     words = rows.select("text", "lang").mapInArrow(_word_counts, "lang string, term string, n bigint").groupBy("lang", "term").agg(F.sum("n").alias("n")).persist()
     try:
         totals = {r.lang: r.s for r in words.groupBy("lang").agg(F.sum("n").alias("s")).collect()}
@@ -134,6 +152,7 @@ def fit(rows: DataFrame, most_docs: int = 15_000, most_words: int = 150_000, mos
         grams.unpersist()
     finally:
         words.unpersist()
+    names = sorted(x for x in by_lang if totals.get(x))  # no evidence, no choice
     number, table = _rows(top, names, totals)
     gram_totals: Counter = Counter()
     for name, _, n_grams in top_grams:

@@ -264,6 +264,20 @@ def test_language_backs_off_to_grams(spark, nothing):
     assert tie[0] in ("de", "en") and 0 <= tie[1] <= 1
 
 
+def test_rare_languages_stay_rare(spark):
+    rng = random.Random(5)
+    of = {"en": [f"en{i}word" for i in range(300)], "de": [f"de{i}wort" for i in range(300)], "cy": [f"cy{i}gair" for i in range(30)]}
+    text = lambda x: " ".join(rng.choice(of[x]) for _ in range(25))
+    rows = [(i, text(x), x) for i, x in enumerate(["en"] * 700 + ["de"] * 300 + ["cy"] * 3)] + [(5000, "en1word en2word en3word", "typo"), (5001, "12 !", "empty")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most_docs, most_words in ((15_000, 150_000), (100, 150_000), (100, 150)):
+        model = lang.fit(df, most_docs=most_docs, most_words=most_words)
+        assert model.names == ["cy", "de", "en", "typo"]
+        for x in of:
+            assert [model.predict(text(x))[0] for _ in range(20)] == [x] * 20
+    assert lang.share({"a": 5, "b": 100, "c": 200}, 105) == 50 and lang.share({"a": 5}, 10) == 5 and lang.share({}, 3) == 0
+
+
 def test_language_held_out(spark, sf_dir):
     got = lang.op6_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
