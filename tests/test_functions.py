@@ -54,6 +54,22 @@ ROLES = [
 ]
 
 
+def test_fnv_of_whole_urls(spark, sf_dir):
+    from larder.plans import catalog
+    from larder.plans.fixtures import load
+
+    urls = {r.page_id: r.url for r in load(spark, sf_dir, "urls").collect()}
+    got = {r.key: r.value for r in catalog.QUERIES["candidate_id_whole"](spark, sf_dir).collect()}
+
+    def plain(s):
+        h = 2166136261
+        for c in s:
+            h = (h ^ ord(c)) * 16777619 % 2**32
+        return f"{h:08x}"
+
+    assert got == {i: plain(f"pdf|{u}") for i, u in urls.items()} and len(set(got.values())) > 1
+
+
 def test_dish_roles(spark):
     df = spark.createDataFrame([(i, s, n) for i, (s, n, _) in enumerate(ROLES)], "i int, s string, n string")
     got = [r.verdict.role for r in with_dish_role(df, "s", "n").orderBy("i").collect()]
