@@ -84,37 +84,79 @@ def _alike(a: str, b: str) -> bool:
     return a == b or (len(short) >= 12 and (long.startswith(short + " ") or long.endswith(" " + short)))
 
 
-def loc_dedupe(candidates: DataFrame, most: int = 10_000) -> DataFrame:
+def _kept(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the shared folder; in the executors only where the session names none."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df.localCheckpoint()
+
+
+def _address_groups(keys: DataFrame) -> DataFrame:
+    """keys: restaurant_id, key, distinct. Adds `into`: the least key of all that are linked with it, by one or more steps.
+
+    Keys are linked if one begins or ends the other at a word's edge: each key's shorter ends meet whole keys in an equi-join.
+    """
+    words = F.split("key", " ")
+    n = F.size(words)
+    ends = F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array(F.array_join(F.slice(words, 1, i), " "), F.array_join(F.slice(words, n - i + 1, i), " ")))))
+    part = keys.select("restaurant_id", F.col("key").alias("long"), F.explode(F.array_distinct(ends)).alias("key")).filter(F.length("key") >= 12)
+    links = part.join(keys, ["restaurant_id", "key"]).select("restaurant_id", "key", F.col("long").alias("other"))
+    links = _kept(links.union(links.select("restaurant_id", "other", "key")))
+    label = links.select("restaurant_id", "key", F.col("key").alias("into")).distinct()
+    while True:
+        near = links.join(label.withColumnRenamed("key", "other"), ["restaurant_id", "other"]).groupBy("restaurant_id", "key").agg(F.min("into").alias("_near"))
+        least = label.join(near, ["restaurant_id", "key"]).select("restaurant_id", "key", F.least("into", "_near").alias("_to"), F.col("into").alias("_was"))
+        own = least.select("restaurant_id", F.col("key").alias("_to"), F.col("_to").alias("_next"))
+        new = _kept(least.join(own, ["restaurant_id", "_to"]).select("restaurant_id", "key", F.least("_to", "_next").alias("into"), "_was"))
+        label = new.drop("_was")
+        if new.filter("into <> _was").isEmpty():
+            return keys.join(label, ["restaurant_id", "key"], "left").withColumn("into", F.coalesce("into", "key"))
+
+
+def loc_dedupe(candidates: DataFrame) -> DataFrame:
     """candidates: restaurant_id, ord, label, address, latitude, longitude, confidence. Equivalent addresses merged, in order.
 
-    Being equivalent is not transitive and the order decides, so a restaurant's few candidates are walked in one group; one
-    with more than `most` distinct rows is cut into groups by address key first.
+    Being equivalent is not transitive and the order decides, so addresses that are linked by any steps are walked together;
+    the walk holds only what it keeps, whatever the number of rows. One address and one pin of a restaurant are combined.
     """
-    rows = candidates.filter((F.coalesce("address", F.lit("")) == "") | address_usable(F.col("address"))).dropDuplicates(["restaurant_id", "address", "latitude", "longitude", "confidence", "label"])
-    size = rows.groupBy("restaurant_id").agg(F.count("*").alias("_n"))
-    rows = rows.join(size, "restaurant_id").withColumn("_g", F.when(F.col("_n") > most, F.pmod(F.xxhash64(address_key(F.col("address"))), F.ceil(F.col("_n") / most))).otherwise(0).cast("bigint")).drop("_n")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for r in pdf.sort_values("ord").to_dict("records"):
-            key = _key(r["address"])
-            same = next((k for k in kept if key and _key(k["address"]) and _alike(_key(k["address"]), key)), None)
-            if same is None:
-                if key or pd.notna(r["latitude"]):
+    columns = candidates.columns
+    rows = candidates.filter((F.coalesce("address", F.lit("")) == "") | address_usable(F.col("address")))
+    rows = rows.groupBy("restaurant_id", "address", "latitude", "longitude", "confidence", "label").agg(F.min_by(F.struct(*columns), "ord").alias("_r")).select("_r.*")
+    keyed = rows.withColumn("key", F.pandas_udf(lambda a: a.map(_key), "string")("address"))
+    pins = rows.filter((F.coalesce("address", F.lit("")) == "") & F.col("latitude").isNotNull() & ~F.isnan("latitude"))
+    keyed = keyed.filter("key <> ''").withColumn("_at", F.col("restaurant_id"))
+    # null is a restaurant too
+    safe = keyed.withColumn("restaurant_id", F.coalesce(F.col("restaurant_id").cast("string"), F.lit("")))
+    into = _address_groups(safe.select("restaurant_id", "key").distinct())
+    grouped = safe.join(into, ["restaurant_id", "key"]).withColumn("restaurant_id", F.col("_at")).select(*columns, "key", "into")
+    parts = grouped.repartition("restaurant_id", "into").sortWithinPartitions("restaurant_id", "into", "ord", "address", "confidence", "label", "latitude", "longitude")
+
+    def walk(frames):
+        group, kept = None, []
+        for pdf in frames:
+            done = []
+            for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+                if (at := (r["restaurant_id"], r["into"])) != group:
+                    done += kept
+                    group, kept = at, []
+                same = next((i for i, k in enumerate(kept) if _alike(k["key"], r["key"])), None)
+                if same is None:
                     kept.append(r)
-                continue
-            rank = lambda x: (CONFIDENCE.get(x["confidence"], 0), len(x["address"]))
-            best, other = (r, same) if rank(r) > rank(same) else (same, r)
-            best = dict(best)
-            if not best["label"]:
-                best["label"] = other["label"]
-            if pd.isna(best["latitude"]) and pd.notna(other["latitude"]):
-                best["latitude"], best["longitude"] = other["latitude"], other["longitude"]
-            kept[kept.index(same)] = best
-        named, pins = [k for k in kept if k["address"]], [k for k in kept if not k["address"]]
-        if len(named) == 1 and len(pins) == 1 and pd.isna(named[0]["latitude"]):
-            named[0] |= {"latitude": pins[0]["latitude"], "longitude": pins[0]["longitude"]}
-            pins = []
-        return pd.DataFrame(named + pins, columns=pdf.columns)
-
-    return rows.groupBy("restaurant_id", "_g").applyInPandas(walk, rows.schema).drop("_g")
+                    continue
+                rank = lambda x: (CONFIDENCE.get(x["confidence"], 0), len(x["address"]))
+                best, other = (r, kept[same]) if rank(r) > rank(kept[same]) else (kept[same], r)
+                best = dict(best)
+                if not best["label"]:
+                    best["label"] = other["label"]
+                if best["latitude"] is None and other["latitude"] is not None:
+                    best["latitude"], best["longitude"] = other["latitude"], other["longitude"]
+                kept[same] = best
+            yield pd.DataFrame(done, columns=columns)
+        yield pd.DataFrame(kept, columns=columns)
+
+    named = parts.mapInPandas(walk, candidates.schema)
+    only = lambda df, *cs: df.groupBy("restaurant_id").agg(F.count("*").alias("_n"), *(F.first(c).alias(f"_{c}") for c in cs)).filter("_n = 1").drop("_n")
+    single = only(named, "latitude").filter("_latitude is null").select(F.col("restaurant_id").alias("_id"))
+    pin = only(pins, "latitude", "longitude")
+    pair = pin.join(single, F.col("restaurant_id").eqNullSafe(F.col("_id"))).select("_id", "_latitude", "_longitude")
+    same = F.col("restaurant_id").eqNullSafe(F.col("_id"))
+    filled = named.join(pair, same, "left").withColumns({c: F.coalesce(c, f"_{c}") for c in ("latitude", "longitude")}).select(*columns)
+    return filled.unionByName(pins.join(pair, same, "left_anti"))

@@ -47,6 +47,17 @@ def test_locations_merge_in_order(spark):
     assert got == [(1, "", None, 53.4), (1, "12 main street dublin, Ireland", "HQ", 53.3), (2, "5 Quay Row, Cork", None, 51.9)]
 
 
+def test_locations_of_a_large_restaurant(spark):
+    schema = "restaurant_id int, ord int, label string, address string, latitude double, longitude double, confidence string"
+    rows = [(1, i, None, f"{i} Other Street, Cork", None, None, "low") for i in range(11_000)]
+    pairs = [(f"{i} Harbour Road, Dublin", f"{i} Harbour Road, Dublin, Ireland", f"Unit {i % 7}, {i} Harbour Road, Dublin") for i in range(100, 150)]
+    rows += [(1, 20_000 + 3 * i + j, None, a, None, None, c) for i, p in enumerate(pairs) for j, (a, c) in enumerate(zip(p, ("low", "high", "low")))]
+    rows += [(2, 1, None, "5 Quay Row, Cork", None, None, "high"), (2, 2, None, "", 51.9, -8.4, "low"), (None, 1, None, "5 Quay Row, Cork", None, None, "low"), (None, 2, None, "5 Quay Row, Cork, Ireland", None, None, "low")]
+    got = sorted((r.restaurant_id or 0, r.address, r.latitude) for r in G.loc_dedupe(spark.createDataFrame(rows, schema)).collect())
+    harbour = [(1, b, None) for _, b, _ in pairs] + [(1, c, None) for _, _, c in pairs]
+    assert got == sorted([(0, "5 Quay Row, Cork, Ireland", None), (2, "5 Quay Row, Cork", 51.9), *((1, f"{i} Other Street, Cork", None) for i in range(11_000)), *harbour])
+
+
 def test_polygon_with_hole(spark):
     ring = lambda lo, hi: [(lo, lo), (hi, lo), (hi, hi), (lo, hi)]
     areas = spark.createDataFrame([(1, "X", [ring(0.0, 1.0), ring(0.4, 0.6)], True), (2, "X", [ring(0.0, 2.0)], True)], "area_id int, city string, rings array<array<struct<longitude:double,latitude:double>>>, active boolean")
