@@ -24,7 +24,7 @@ TANDOOR_TAIL = r"\b(naans?|nan|rotis?|parathas?|paranthas?|chapatis?|papadums?|p
 BREAD_TAIL = r"\b(breads?|flatbreads?|sourdough|focaccias?|foccacia|toast)$"
 BREAD_AND_BUTTER = r"\b(breads?|sourdough|focaccias?|foccacia|toast)\b[^,]*(?:and|&|\+|with)[^,]*\bbutter\b"
 SEASONING = r"\b(butter|mayo|mayonnaise|aioli|oils?|sauces?|creams?|gravy|dressing|vinaigrette|salt|herbs?|rosemary|thyme|truffle|garlic|parsley|chives?|skins?)\b"
-ADD_ON = r"^(\+|extra|side of|add|add[-\s]?on|additional|topping)\b"
+ADD_ON = r"^(\+|(?:extra|side of|add|add[-\s]?on|additional|topping)\b)"  # a leading + counts whatever follows it
 
 
 def _parts(text: Column) -> Column:
@@ -46,43 +46,68 @@ def _verdict(role: str, rule: Column | str | None, ambiguous: bool = False) -> C
     return F.struct(F.lit(role).alias("role"), rule.alias("rule"), F.lit(ambiguous).alias("ambiguous"))
 
 
-def with_dish_role(df: DataFrame, section: str, name: str, into: str = "verdict") -> DataFrame:
-    """df with struct<role, rule, ambiguous>; an ambiguous verdict is left to the price.
+def _let(value: Column, body) -> Column:
+    """body of the value, which is worked out once and can be named any number of times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
-    What several rules look at is a column of its own, step by step, so it is worked out once a row.
+def dish_role(section: Column, name: Column) -> Column:
+    """struct<role, rule, ambiguous>; an ambiguous verdict is left to the price.
+
+    What several rules look at is bound step by step, so it stands once in the plan and is worked out once, in filters too.
     """
-    c = lambda x: F.col(f"_role_{x}")
-    step = lambda d, **columns: d.withColumns({f"_role_{k}": v for k, v in columns.items()})
-    out = step(df, section=fold_text(F.col(section)), name=fold_text(F.col(name)))
-    out = step(out, pieces=F.split(c("name"), r"\bwith\b|\bin\b"), whole=_parts(c("name")))
-    lead = F.trim(F.element_at(c("pieces"), 1))
-    rest = F.trim(F.array_join(F.slice(c("pieces"), 2, F.greatest(F.size(c("pieces")) - 1, F.lit(0))), " "))
-    out = step(out, parts=_parts(F.when(lead == "", c("name")).otherwise(lead)), beside=F.when(F.size(c("pieces")) > 1, rest).otherwise(""))
-    end = lambda i: F.coalesce(F.try_element_at(c("parts"), F.lit(i)), F.lit(""))
+    texts = F.struct(fold_text(section).alias("section"), fold_text(name).alias("name"))
+    return _let(texts, lambda t: _let(_cut(t), lambda x: _let(_ends(x), lambda y: _decide(t, x, y))))
+
+
+def _cut(t: Column) -> Column:
+    """What stands before the first `with` or `in`, in parts; what follows it; and the parts of the whole name."""
+    pieces = F.split(t["name"], r"\bwith\b|\bin\b")
+
+    def parted(p: Column) -> Column:
+        lead = F.trim(F.element_at(p, 1))
+        rest = F.trim(F.array_join(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), " "))
+        return F.struct(_parts(F.when(lead == "", t["name"]).otherwise(lead)).alias("parts"), F.when(F.size(p) > 1, rest).otherwise("").alias("beside"), _parts(t["name"]).alias("whole"))
+
+    return _let(pieces, parted)
+
+
+def _ends(x: Column) -> Column:
+    """The first and last part of the lead, and the head of the whole name."""
+    end = lambda i: F.coalesce(F.try_element_at(x["parts"], F.lit(i)), F.lit(""))
+    return F.struct(end(1).alias("first"), end(-1).alias("last"), F.try_element_at(x["whole"], F.lit(1)).alias("head"))
+
+
+def _decide(t: Column, x: Column, y: Column) -> Column:
+    """The chain of rules. t: section, name; x: parts, beside, whole; y: first, last, head."""
+    section, name, parts, beside, last = t["section"], t["name"], x["parts"], x["beside"], y["last"]
+    head = F.coalesce(y["head"], name)
     potato = lambda p: (_words(p) >= 2) & (_words(p) <= 4) & p.rlike(POTATO_TAIL)
-    out = step(out, last=end(-1), head=F.coalesce(F.try_element_at(c("whole"), F.lit(1)), c("name")), at=F.when(potato(end(1)), 0).when(potato(end(-1)), F.size(c("parts")) - 1).otherwise(-1))
-    out = step(out, dessert=_first_of(c("name"), DESSERTS), condiment=_first_of(c("head"), CONDIMENTS), staple=_first_of(c("head"), STAPLES), words=_words(c("name")), long=_words(c("last")) >= 2)
-    others = F.forall(F.transform(c("parts"), lambda p, i: (i == c("at")) | p.rlike(SEASONING)), lambda ok: ok)
-    only_potato = (c("at") >= 0) & ((c("beside") == "") | c("beside").rlike(SEASONING)) & others
+    place = F.when(potato(y["first"]), 0).when(potato(last), F.size(parts) - 1).otherwise(-1)
+    others = lambda at: F.forall(F.transform(parts, lambda p, i: (i == at) | p.rlike(SEASONING)), lambda ok: ok)
+    only_potato = _let(place, lambda at: (at >= 0) & ((beside == "") | beside.rlike(SEASONING)) & others(at))
     named = lambda text, word: F.concat(F.lit(text + ' "'), word, F.lit('"'))
-    counted = _verdict("counted", None)
-    verdict = (
-        F.when(c("name") == "", counted)
-        .when(c("section").rlike(DESSERT_SECTIONS), _verdict("dessert", "dessert section"))
-        .when(c("section").rlike(CONDIMENT_SECTIONS), _verdict("condiment", "sauce/dip section"))
-        .when(c("name").rlike(BARE_POTATO) | only_potato, _verdict("staple", "potatoes on their own"))
-        .when(c("long") & c("last").rlike(TANDOOR_TAIL), _verdict("staple", 'named "… naan/roti"'))
-        .when(c("name").rlike(BREAD_AND_BUTTER), _verdict("staple", "bread & butter"))
-        .when(c("long") & c("last").rlike(BREAD_TAIL), _verdict("staple", 'named "… bread"', True))
-        .when((F.size(c("whole")) > 3) | (c("words") > 5), counted)
-        .when(c("dessert").isNotNull(), _verdict("dessert", named("dish name:", c("dessert"))))
-        .when(c("name").rlike(ADD_ON), _verdict("condiment", 'add-on ("extra…"/"side of…")'))
-        .when(c("condiment").isNotNull(), _verdict("condiment", named("named", c("condiment"))))
-        .when(c("name").rlike(r"\bsauces?$") & (c("words") <= 4), _verdict("condiment", 'named "… sauce"', True))
-        .when(c("head").rlike(BARE_STAPLE), _verdict("staple", named("bare", c("head"))))
-        .when(c("staple").isNotNull(), _verdict("staple", named("named", c("staple"))))
-        .when(c("section").rlike(NIBBLE_SECTIONS), _verdict("counted", None, True))
-        .otherwise(counted)
-    )
-    out = out.withColumn(into, verdict)
-    return out.drop(*(x for x in out.columns if x.startswith("_role_")))
+    found = lambda text, words, role, told: _let(_first_of(text, words), lambda w: F.when(w.isNotNull(), _verdict(role, named(told, w))))
+    counted, long = _verdict("counted", None), _words(last) >= 2
+    rules = [
+        F.when(name == "", counted),
+        F.when(section.rlike(DESSERT_SECTIONS), _verdict("dessert", "dessert section")),
+        F.when(section.rlike(CONDIMENT_SECTIONS), _verdict("condiment", "sauce/dip section")),
+        F.when(name.rlike(BARE_POTATO) | only_potato, _verdict("staple", "potatoes on their own")),
+        F.when(long & last.rlike(TANDOOR_TAIL), _verdict("staple", 'named "… naan/roti"')),
+        F.when(name.rlike(BREAD_AND_BUTTER), _verdict("staple", "bread & butter")),
+        F.when(long & last.rlike(BREAD_TAIL), _verdict("staple", 'named "… bread"', True)),
+        F.when((F.size(x["whole"]) > 3) | (_words(name) > 5), counted),
+        found(name, DESSERTS, "dessert", "dish name:"),
+        F.when(name.rlike(ADD_ON), _verdict("condiment", 'add-on ("extra…"/"side of…")')),
+        found(head, CONDIMENTS, "condiment", "named"),
+        F.when(name.rlike(r"\bsauces?$") & (_words(name) <= 4), _verdict("condiment", 'named "… sauce"', True)),
+        F.when(head.rlike(BARE_STAPLE), _verdict("staple", named("bare", head))),
+        found(head, STAPLES, "staple", "named"),
+        F.when(section.rlike(NIBBLE_SECTIONS), _verdict("counted", None, True)),
+    ]
+    return F.coalesce(*rules, counted)
+
+
+def with_dish_role(df: DataFrame, section: str, name: str, into: str = "verdict") -> DataFrame:
+    return df.withColumn(into, dish_role(F.col(section), F.col(name)))

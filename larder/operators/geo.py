@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larder.functions.misc import CONFIDENCE, MIN_DISHES, address_equivalent, address_key, address_usable, area_code, in_city, point_in_rings
+from larder.functions.misc import CONFIDENCE, MIN_DISHES, address_key, address_usable, area_code, in_city, point_in_rings
+from larder.sources.scratch import stored
 
 #: Side of a grid cell in degrees; points and polygons meet by cell.
 CELL = 0.02
@@ -42,14 +43,29 @@ def _rank(c: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in CONFIDENCE.items() for x in kv)), c)
 
 
+def _ends(key: Column) -> Column:
+    """The beginnings and ends of a key at its words' edges, without the whole key."""
+    words = F.split(key, " ")
+    n = F.size(words)
+    return F.array_distinct(F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array(F.array_join(F.slice(words, 1, i), " "), F.array_join(F.slice(words, n - i + 1, i), " "))))))
+
+
+def _equivalent(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of a and b of one restaurant with equal keys, or one key beginning or ending the other. Both: restaurant_id, key."""
+    by = ["restaurant_id", "key"]
+    short = lambda df: df.withColumn("key", F.explode(_ends(F.col("key")))).filter(F.length("key") >= 12)
+    return a.join(b, by).union(short(a).join(b, by)).union(a.join(short(b), by)).drop("key")
+
+
 def upsert_locations(candidates: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(updated, inserted). candidates and stored: id, restaurant_id, address, confidence.
 
     A candidate updates the stored address it is equivalent to unless that one is surer; without one it is new, once by key.
+    Equivalent addresses meet by whole keys and by the ends of longer keys, never all with all.
     """
     c = candidates.filter(address_usable(F.col("address"))).select(F.col("id").alias("candidate_id"), "restaurant_id", F.col("address").alias("new_address"), F.col("confidence").alias("new_confidence"))
     s = stored.select(F.col("id").alias("stored_id"), "restaurant_id", "address", "confidence")
-    pairs = c.join(s, "restaurant_id").filter(address_equivalent(F.col("address"), F.col("new_address")))
+    pairs = _equivalent(c.withColumn("key", address_key(F.col("new_address"))), s.withColumn("key", address_key(F.col("address"))))
     surest = W.partitionBy("stored_id").orderBy(F.desc(_rank(F.col("new_confidence"))), F.desc(F.length("new_address")), "candidate_id")
     updated = pairs.filter(_rank(F.col("new_confidence")) >= _rank(F.col("confidence"))).withColumn("_n", F.row_number().over(surest)).filter("_n = 1").select("stored_id", "candidate_id")
     free = c.join(pairs.select("candidate_id").distinct(), "candidate_id", "left_anti")
@@ -84,28 +100,20 @@ def _alike(a: str, b: str) -> bool:
     return a == b or (len(short) >= 12 and (long.startswith(short + " ") or long.endswith(" " + short)))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared folder; in the executors only where the session names none."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df.localCheckpoint()
-
-
 def _address_groups(keys: DataFrame) -> DataFrame:
     """keys: restaurant_id, key, distinct. Adds `into`: the least key of all that are linked with it, by one or more steps.
 
     Keys are linked if one begins or ends the other at a word's edge: each key's shorter ends meet whole keys in an equi-join.
     """
-    words = F.split("key", " ")
-    n = F.size(words)
-    ends = F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array(F.array_join(F.slice(words, 1, i), " "), F.array_join(F.slice(words, n - i + 1, i), " ")))))
-    part = keys.select("restaurant_id", F.col("key").alias("long"), F.explode(F.array_distinct(ends)).alias("key")).filter(F.length("key") >= 12)
+    part = keys.select("restaurant_id", F.col("key").alias("long"), F.explode(_ends(F.col("key"))).alias("key")).filter(F.length("key") >= 12)
     links = part.join(keys, ["restaurant_id", "key"]).select("restaurant_id", "key", F.col("long").alias("other"))
-    links = _kept(links.union(links.select("restaurant_id", "other", "key")))
+    links = stored(links.union(links.select("restaurant_id", "other", "key")), "links")
     label = links.select("restaurant_id", "key", F.col("key").alias("into")).distinct()
     while True:
         near = links.join(label.withColumnRenamed("key", "other"), ["restaurant_id", "other"]).groupBy("restaurant_id", "key").agg(F.min("into").alias("_near"))
         least = label.join(near, ["restaurant_id", "key"]).select("restaurant_id", "key", F.least("into", "_near").alias("_to"), F.col("into").alias("_was"))
         own = least.select("restaurant_id", F.col("key").alias("_to"), F.col("_to").alias("_next"))
-        new = _kept(least.join(own, ["restaurant_id", "_to"]).select("restaurant_id", "key", F.least("_to", "_next").alias("into"), "_was"))
+        new = stored(least.join(own, ["restaurant_id", "_to"]).select("restaurant_id", "key", F.least("_to", "_next").alias("into"), "_was"), "labels")
         label = new.drop("_was")
         if new.filter("into <> _was").isEmpty():
             return keys.join(label, ["restaurant_id", "key"], "left").withColumn("into", F.coalesce("into", "key"))

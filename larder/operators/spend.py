@@ -64,10 +64,17 @@ def spend_by_source(log: DataFrame, rolled_up: bool = False) -> DataFrame:
     return keyed.agg(F.count("*").alias("calls"), F.sum("cost_usd").alias("cost"))
 
 
-def reconcile(log: DataFrame, reported: DataFrame) -> DataFrame:
-    """reported: run_id, started, ended, cost. What the ledger holds of each run's window, and the difference."""
-    inside = reported.join(log.select("created_at", "cost_usd"), (F.col("created_at") >= F.col("started")) & (F.col("created_at") < F.col("ended")), "left")
-    return inside.groupBy("run_id", "cost").agg(F.coalesce(F.sum("cost_usd"), F.lit(0)).alias("ledger")).withColumn("gap", F.col("ledger") - F.col("cost"))
+def reconcile(log: DataFrame, reported: DataFrame, grain: str = "hour") -> DataFrame:
+    """reported: run_id, started, ended, cost. What the ledger holds of each run's window, and the difference.
+
+    A run is laid out as the hours (or days) of its window, so calls and runs meet in an equi-join and the bounds are checked
+    there; a run without calls, or without bounds, has an empty ledger.
+    """
+    hours = F.sequence(F.date_trunc(grain, "started"), F.col("ended"), F.expr(f"INTERVAL '1' {grain}"))
+    laid = reported.withColumn("_at", F.explode_outer(F.when(F.col("started") <= F.col("ended"), hours)))
+    calls = log.select("created_at", F.col("cost_usd").alias("_cost"), F.date_trunc(grain, "created_at").alias("_hour"))
+    inside = laid.join(calls, (F.col("_at") == F.col("_hour")) & (F.col("created_at") >= F.col("started")) & (F.col("created_at") < F.col("ended")), "left")
+    return inside.groupBy("run_id", "cost").agg(F.coalesce(F.sum("_cost"), F.lit(0)).alias("ledger")).withColumn("gap", F.col("ledger") - F.col("cost"))
 
 
 def spend_today(log: DataFrame, attempts: DataFrame, reports: DataFrame, feedback: DataFrame, as_of: Column) -> DataFrame:
@@ -80,8 +87,10 @@ def spend_today(log: DataFrame, attempts: DataFrame, reports: DataFrame, feedbac
 
 
 def with_cost(log: DataFrame, prices: DataFrame, default: tuple[float, float] = (3.0, 15.0)) -> DataFrame:
-    """log with `cost`. prices: model_used, price_in, price_out per million tokens, a handful of rows; other models cost the default."""
-    known = log.join(F.broadcast(prices.limit(1000)), "model_used", "left")
+    """log with `cost`. prices: model_used, price_in, price_out per million tokens; other models cost the default. A model that is
+    listed twice costs what its dearer row says."""
+    once = prices.groupBy("model_used").agg(F.max(F.struct("price_in", "price_out")).alias("_p")).select("model_used", "_p.price_in", "_p.price_out")
+    known = log.join(once, "model_used", "left")
     money = lambda c, d: F.coalesce(c, F.lit(d)).cast("decimal(8,4)")
     plain = F.col("tokens_in") - F.col("cache_write_tokens") - F.col("cache_read_tokens")
     cost = usage_cost(F.greatest(plain, F.lit(0)), F.col("tokens_out"), F.col("cache_write_tokens"), F.col("cache_read_tokens"), money("price_in", default[0]), money("price_out", default[1]))

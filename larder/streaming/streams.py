@@ -5,21 +5,14 @@ Windows carry a watermark of ten minutes; late rows stay in the raw tables and a
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-LATE = "10 minutes"
-
+from larder.sources.scratch import scratch
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one only where the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+LATE = "10 minutes"
 
 
 def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -94,13 +87,14 @@ def rate_limit(events: DataFrame, key: str = "ip_hash", most: int = 15, span: in
     """events: key, id, created_at. Adds allowed: fewer than `most` accepted ones of the key in the last `span` seconds.
 
     State: the times accepted last, at most `most` a key; only accepted ones count. It goes when the watermark has passed them.
+    Rows are judged as they come: within a micro-batch by time, a late one after those of the batches before.
     """
 
     def run(k, frames, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
+        rows = pd.concat(list(frames)).sort_values(["at", "id"])  # one key's rows of one micro-batch, bounded by its trigger
         held = list(state.get[0]) if state.exists else []
         verdicts, held = accepted(rows["at"].tolist(), held, most, span)
         state.update((held,))
@@ -112,18 +106,27 @@ def rate_limit(events: DataFrame, key: str = "ip_hash", most: int = 15, span: in
 
 
 def rate_limit_batch(events: DataFrame, key: str = "ip_hash", most: int = 15, span: int = 3600) -> DataFrame:
-    """The same over a table."""
+    """The same over a table: each key's rows in order of time, walked one by one with its last accepted times in hand."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["at", "id"])
-        return pd.DataFrame({"id": rows["id"], key: rows[key], "allowed": accepted(rows["at"].tolist(), [], most, span)[0]})
+    def run(frames):
+        now, held = None, []
+        for pdf in frames:
+            allowed = []
+            for k, at in zip(pdf[key].tolist(), pdf["at"].tolist()):
+                if k != now:
+                    now, held = k, []
+                (verdict,), held = accepted([at], held, most, span)
+                allowed.append(verdict)
+            yield pd.DataFrame({"id": pdf["id"], key: pdf[key], "allowed": allowed})
 
-    return events.select(key, "id", F.unix_seconds("created_at").alias("at")).groupBy(key).applyInPandas(run, f"id bigint, {key} string, allowed boolean")
+    rows = events.select(key, "id", F.unix_seconds("created_at").alias("at"))
+    return rows.repartition(key).sortWithinPartitions(key, "at", "id").mapInPandas(run, f"id bigint, {key} string, allowed boolean")
 
 
 def vote_ingest(votes: DataFrame, taken: DataFrame, most: int = 10) -> DataFrame:
     """votes: id, email, city, country, ip_hash, created_at; taken: earlier accepted votes, a table. Repeats are dropped for
-    free, against the table and within the stream; of the others an address may cast so many a day."""
+    free, against the table and within the stream, which holds every vote's key without end; of the others an address may
+    cast so many a day."""
     key = ["email", "city", "country"]
     named = votes.withColumns({c: F.lower(F.coalesce(c, F.lit(""))) for c in key})
     old = taken.select(*(F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in key)).distinct()
