@@ -110,4 +110,8 @@ def _decide(t: Column, x: Column, y: Column) -> Column:
 
 
 def with_dish_role(df: DataFrame, section: str, name: str, into: str = "verdict") -> DataFrame:
-    return df.withColumn(into, dish_role(F.col(section), F.col(name)))
+    """df with the role of each dish. Menus repeat their words, so each distinct (section, name) is judged once and joined back."""
+    said = df.select(F.col(section).alias("_section"), F.col(name).alias("_name")).distinct()
+    told = said.withColumn(into, dish_role(F.col("_section"), F.col("_name")))
+    same = F.col(section).eqNullSafe(F.col("_section")) & F.col(name).eqNullSafe(F.col("_name"))
+    return df.drop(into).join(told, same, "left").drop("_section", "_name")

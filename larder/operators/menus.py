@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 from larder.functions.dish_role import with_dish_role
 from larder.functions.misc import FLAG_REPORTS, MIN_DISHES, held_back_reason, is_thin_result
 from larder.functions.text import format_price, is_non_main_section, is_veg, menu_as_dish_reason, norm_dish_insights, parse_price
+from larder.sources.scratch import stored
 
 #: The section of dishes without one, and its place after all others.
 NO_SECTION, LAST = "Menu", 999
 
 
 def menu_dishes(dishes: DataFrame, sections: DataFrame, include_deleted: bool = False) -> DataFrame:
-    """dishes with section, menu_label and section_order; deleted ones only on demand."""
+    """dishes with section, menu_label, section_order and whether a section has them; deleted ones only on demand."""
     live = dishes if include_deleted else dishes.filter("deleted_at is null")
-    s = sections.select("restaurant_id", F.col("id").alias("section_id"), F.col("name").alias("section"), "menu_label", F.col("display_order").alias("section_order"))
+    s = sections.select("restaurant_id", F.col("id").alias("section_id"), F.col("name").alias("section"), "menu_label", F.col("display_order").alias("section_order"), F.lit(True).alias("in_section"))
     out = live.join(s, ["restaurant_id", "section_id"], "left")
-    return out.withColumns({"section": F.coalesce("section", F.lit(NO_SECTION)), "section_order": F.coalesce("section_order", F.lit(LAST))})
+    return out.withColumns({"section": F.coalesce("section", F.lit(NO_SECTION)), "section_order": F.coalesce("section_order", F.lit(LAST)), "in_section": F.coalesce("in_section", F.lit(False))})
 
 
 def price_level(dishes: DataFrame) -> DataFrame:
@@ -34,10 +35,14 @@ def price_level(dishes: DataFrame) -> DataFrame:
 
 def judged(dishes: DataFrame, sections: DataFrame) -> DataFrame:
     """Live dishes in their menus, with key, veg, role, counted by name alone, and counted once the price has its say."""
-    placed = with_dish_role(menu_dishes(dishes, sections).withColumn("amount", parse_price(F.col("price"))), "section", "name").join(price_level(dishes), "restaurant_id", "left")
+    return _judged(menu_dishes(dishes, sections))
+
+
+def _judged(placed: DataFrame) -> DataFrame:
+    roles = with_dish_role(placed.withColumn("amount", parse_price(F.col("price"))), "section", "name").join(price_level(placed), "restaurant_id", "left")
     by_name = F.col("verdict.role") == "counted"
     cheap = F.col("amount") < 0.5 * F.col("level")
-    return placed.withColumns(
+    return roles.withColumns(
         {"key": norm_dish_insights(F.col("name"), F.col("id")), "veg": F.coalesce(is_veg(F.col("classification")), F.lit(False)), "by_name": by_name, "counted": F.when(F.col("verdict.ambiguous") & cheap.isNotNull(), ~cheap).otherwise(by_name)}
     )
 
@@ -55,11 +60,11 @@ def menu_tallies(rows: DataFrame) -> DataFrame:
     )
 
 
-def menu_order(dishes: DataFrame, sections: DataFrame) -> DataFrame:
-    """(restaurant_id, menu_label, first_place): menus in the order of their first sections."""
+def menu_order(rows: DataFrame, sections: DataFrame) -> DataFrame:
+    """(restaurant_id, menu_label, first_place): menus in the order of their first sections. rows: menu_dishes."""
     own = sections.select("restaurant_id", "menu_label", F.col("display_order").alias("o"))
-    orphans = dishes.filter("deleted_at is null").join(sections.select("restaurant_id", F.col("id").alias("section_id")), ["restaurant_id", "section_id"], "left_anti")
-    return own.union(orphans.select("restaurant_id", F.lit(None).cast("string"), F.lit(LAST))).groupBy("restaurant_id", "menu_label").agg(F.min("o").alias("first_place"))
+    orphans = rows.filter("not in_section").select("restaurant_id", F.lit(None).cast("string"), F.lit(LAST))
+    return own.union(orphans).groupBy("restaurant_id", "menu_label").agg(F.min("o").alias("first_place"))
 
 
 def highlights(rows: DataFrame, most: int = 3) -> DataFrame:
@@ -73,10 +78,24 @@ def highlights(rows: DataFrame, most: int = 3) -> DataFrame:
     return ranked.groupBy("restaurant_id").agg(F.transform(F.array_sort(F.collect_list(shown)), lambda x: F.struct(x["name"].alias("name"), x["price"].alias("price"))).alias("highlights"), thin.alias("highlights_thin"))
 
 
+#: What the guide reads of judged dishes.
+GUIDE_COLUMNS = ["id", "restaurant_id", "menu_label", "section", "section_order", "in_section", "created_at", "name", "description", "price", "classification", "amount", "key", "veg", "by_name", "counted"]
+
+
+def judged_once(dishes: DataFrame, sections: DataFrame) -> DataFrame:
+    """judged for the several aggregates of a guide. Dishes meet their sections once: what prices, names and roles are then read
+    from, and what the guide reads, are scratch tables."""
+    return stored(_judged(stored(menu_dishes(dishes, sections), "placed")).select(*GUIDE_COLUMNS), "judged")
+
+
 def guide_insights(dishes: DataFrame, sections: DataFrame) -> DataFrame:
     """One row a restaurant: its best menu, that menu's split and asides, totals and highlights."""
-    rows = judged(dishes, sections)
-    menus = menu_order(dishes, sections).alias("m").join(menu_tallies(rows).alias("t"), (F.col("m.restaurant_id") == F.col("t.restaurant_id")) & F.col("m.menu_label").eqNullSafe(F.col("t.menu_label")), "left")
+    return insights_of(judged_once(dishes, sections), sections)
+
+
+def insights_of(rows: DataFrame, sections: DataFrame) -> DataFrame:
+    """The same of judged dishes."""
+    menus = menu_order(rows, sections).alias("m").join(menu_tallies(rows).alias("t"), (F.col("m.restaurant_id") == F.col("t.restaurant_id")) & F.col("m.menu_label").eqNullSafe(F.col("t.menu_label")), "left")
     zero = lambda c: F.coalesce(F.col(f"t.{c}"), F.lit(0)).alias(c)
     menus = menus.select("m.restaurant_id", "m.menu_label", "m.first_place", zero("veg_counted"), zero("veg_aside"), zero("vegan_counted"))
     best = W.partitionBy("restaurant_id").orderBy(F.desc("veg_counted"), "first_place", F.asc_nulls_first("menu_label"))
@@ -119,8 +138,9 @@ def public_guide(restaurants: DataFrame, featured_rows: DataFrame, dishes: DataF
     """The ranked guide of every city: public restaurants by their best menu, then by their place."""
     chosen = featured(featured_rows, restaurants)
     own = dishes.join(chosen.select(F.col("id").alias("restaurant_id")).distinct(), "restaurant_id", "left_semi")
-    flags = review_flags(menu_dishes(own, sections)).withColumnRenamed("restaurant_id", "id")
-    insights = guide_insights(own, sections).withColumnRenamed("restaurant_id", "id")
+    rows = judged_once(own, sections)
+    flags = review_flags(rows).withColumnRenamed("restaurant_id", "id")
+    insights = insights_of(rows, sections).withColumnRenamed("restaurant_id", "id")
     shown = chosen.join(flags, "id").filter(is_public(F.col("status"), F.col("live_dishes"), F.col("guide_approved_at"), F.col("menu_as_dish"))).join(insights, "id")
     rank = F.row_number().over(W.partitionBy("guide").orderBy(F.desc("max_veg"), "display_order", "id"))
     return shown.select("guide", rank.alias("rank"), "id", "name", "max_veg", "aside", "best_menu", "vegan", "vegetarian", "total_dishes", "highlights", "highlights_thin")
