@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.sources.scratch import dropped, scratch, stored  # noqa: F401
+
 #: ASCII white space as the operators' contracts name it: [\x20\x09-\x0D].
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 
@@ -19,19 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one only where the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to a scratch table and read back: cuts lineage, so a lost executor costs a reread."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def least_count(counted: DataFrame, most: int) -> int:
     """The smallest count from which on at most so many rows are left; rows of equal counts stay or go together.
 
@@ -52,6 +39,45 @@ def least_counts(counted: DataFrame, by: str, most: int) -> dict:
     return {x: least.get(x, 1) for x in rows}
 
 
+# --- blocked Bloom filter: a relation (block, mask) of 64-bit blocks, DataFrame functions only ---------------------------
+
+#: Bits of a block that a key sets; bits of the filter for each key; bytes up to which a filter goes to every task.
+BITS, PER_KEY, SENT = 6, 16, 64 << 20
+
+
+def block_of(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks))
+
+
+def mask_of(key: Column) -> Column:
+    """The bits of a key inside its block, from six slices of a second hash."""
+    h = F.xxhash64(F.lit("bits"), key)
+    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 10 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(BITS)]
+    out = bits[0]
+    for b in bits[1:]:
+        out = out.bitwiseOR(b)
+    return out
+
+
+def bloom_blocks(listed: DataFrame, key: str, blocks: int) -> DataFrame:
+    """(block, mask) of the keys."""
+    return listed.select(block_of(F.col(key), blocks).alias("block"), mask_of(F.col(key)).alias("m")).groupBy("block").agg(F.bit_or("m").alias("mask"))
+
+
+def blocks_for(keys: int) -> int:
+    """Blocks that give each key PER_KEY bits."""
+    return max(1, -(-keys * PER_KEY // 64))
+
+
+def with_possible(df: DataFrame, key: Column, bits: DataFrame, blocks: int, into: str) -> DataFrame:
+    """df with a column `into`: whether the filter may hold the key. A filter of at most SENT bytes (16 a block) goes to every
+    task; a larger one meets the rows by block, in a join that can be split."""
+    filled = bits.select(F.col("block").alias("_bloom_block"), F.col("mask").alias("_bloom_mask"))
+    filled = F.broadcast(filled) if 16 * blocks <= SENT else filled
+    hit = mask_of(key).bitwiseAND(F.col("_bloom_mask")) == mask_of(key)
+    return df.join(filled, block_of(key, blocks) == F.col("_bloom_block"), "left").withColumn(into, F.coalesce(hit, F.lit(False))).drop("_bloom_block", "_bloom_mask")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -156,16 +182,18 @@ def shingle_hashes(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def char_shingle_hashes(text: str, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of `size` code points; a shorter text makes one, an empty one none."""
+def char_shingle_hashes(text: str, size: int, below: int = 2**64) -> np.ndarray:
+    """Sorted distinct hashes under `below` of the runs of `size` code points. A shorter text is one run, whose hash is always
+    under `below`; an empty one has none."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     n = len(points)
     if not n:
         return points
     points = mixed(points)
     if n < size:
-        return mixed((points * _PLACE[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n))
+        return mixed((points * _PLACE[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n)) // np.uint64(2**64 // below)
     total = points[: n - size + 1] * _PLACE[0]
     for k in range(1, size):
         total = total + points[k : n - size + 1 + k] * _PLACE[k]
-    return np.unique(mixed(total))
+    hashes = mixed(total)
+    return np.unique(hashes[hashes <= np.uint64(below - 1)])

@@ -1,78 +1,69 @@
 """Document fingerprints: threshold-scaled sketches of shingle hashes.
 
-A sketch keeps every 64-bit shingle hash below a fixed fraction of the hash range. The same threshold for all documents makes
-sketches mergeable (the sketch of two texts together is the union of theirs) and lets a short document be looked for in a very
-long one. A text of few shingles, whose share below the fraction would be empty, keeps them all; it is marked so, and is cut
-to the fraction whenever it meets a sketch that is.
+A sketch keeps every shingle hash below one fixed fraction (1 in SCALE) of the hash range, whatever the text's length. So
+sketches merge exactly (the sketch of two texts together is the union of theirs) and a short document can be looked for in a
+very long one. A kept hash is written with 48 bits: the text form is the sorted hashes, 6 bytes each, in base64.
 
-The text form is one mark (`s` scaled, `w` whole) and the sorted hashes, 16 hexadecimal digits each.
+A text shorter than a shingle is one shingle of its own kind, whose hash always lies in the kept range; a text of n shingles
+has an empty sketch with probability (1 - 1/SCALE)^n.
 
-Defined results: a null text is an empty one, whose sketch is `w`; two empty sketches are alike by 1, an empty and another by
-0. The next document follows by descending id, ties by descending text, null ids last; the last one's next is the first.
-Repeated rows are documents of their own. A single document is its own next. An empty table gives an empty result.
+Defined results: a null text is an empty one, with an empty sketch; two empty sketches are alike by 1, an empty and another by
+0. The next document follows by descending id, ties in the order of a hash of their texts or of the texts, null ids last; the
+last one's next is the first. Repeated rows are documents of their own. A single document is its own next. Extra columns are
+not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batched, char_shingle_hashes, partitions, slices, table
 
-#: One hash in SCALE is kept; texts of at most WHOLE shingles keep all.
-SCALE, SHINGLE, WHOLE = 32, 8, 256
-_LIMIT = np.uint64(2**64 // SCALE)
+#: One hash in SCALE is kept.
+SCALE, SHINGLE, WIDTH = 4, 8, 6
+_SHIFT = np.uint64(64 - 8 * WIDTH - int(math.log2(SCALE)))
 
 
-def sketch(text: str | None) -> tuple[bool, np.ndarray]:
-    """(scaled, sorted hashes)."""
-    s = char_shingle_hashes(text or "", SHINGLE)
-    return (True, s[: np.searchsorted(s, _LIMIT)]) if len(s) > WHOLE else (False, s)
+def sketch(text: str | None) -> np.ndarray:
+    """Sorted kept hashes."""
+    return np.unique(char_shingle_hashes(text or "", SHINGLE, 2**64 // SCALE) >> _SHIFT)
 
 
-def to_text(sk: tuple[bool, np.ndarray]) -> str:
-    return ("s" if sk[0] else "w") + sk[1].astype(">u8").tobytes().hex()
+def to_text(sk: np.ndarray) -> str:
+    return base64.b64encode(sk.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :].tobytes()).decode()
 
 
-def from_text(text: str) -> tuple[bool, np.ndarray]:
-    return text[0] == "s", np.frombuffer(bytes.fromhex(text[1:]), ">u8").astype(np.uint64)
-
-
-def _level(a, b):
-    """The hashes of both under the coarser of their thresholds."""
-    if a[0] == b[0]:
-        return a[1], b[1]
-    cut = lambda x: x[1][: np.searchsorted(x[1], _LIMIT)]
-    return cut(a), cut(b)
+def from_text(text: str) -> np.ndarray:
+    kept = np.frombuffer(base64.b64decode(text), np.uint8).reshape(-1, WIDTH)
+    return np.pad(kept, ((0, 0), (8 - WIDTH, 0))).view(">u8").reshape(-1).astype(np.uint64)
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     return len(np.intersect1d(x, y, assume_unique=True))
 
 
-def likeness(a, b) -> float:
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated Jaccard similarity of the shingle sets."""
-    x, y = _level(a, b)
-    if not len(x) and not len(y):
-        return float(a[0] == b[0] and not len(a[1]) and not len(b[1]))
-    k = _common(x, y)
-    return k / (len(x) + len(y) - k)
+    k = _common(a, b)
+    return k / (len(a) + len(b) - k) if len(a) or len(b) else 1.0
 
 
-def containment(a, b) -> float:
+def containment(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated share of a's shingles that b has."""
-    x, y = _level(a, b)
-    return _common(x, y) / len(x) if len(x) else 0.0
+    return _common(a, b) / len(a) if len(a) else 0.0
 
 
-def merged(a, b):
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of both texts' shingles together."""
-    x, y = _level(a, b)
-    return a[0] or b[0], np.union1d(x, y)
+    return np.union1d(a, b)
 
 
 def edited(text: str, following: str) -> str:
@@ -91,28 +82,49 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fingerprint string")
 
 
+#: Null ids come after all others; a tie within an id that fills several ranges is ordered by so many values of a hash.
+LEAST, TIES = -(2**63), 1 << 20
+
+
+def _cuts_above(key: Column, cuts: list[int]) -> Column:
+    """How many of the falling cuts are greater than key: whole blocks of them first, then those of one block."""
+    if not cuts:
+        return F.lit(0)
+    side = math.isqrt(len(cuts)) + 1
+    lasts = cuts[side - 1 :: side]
+    more = lambda of: F.size(F.filter(of, lambda c: c > key))
+    whole = more(F.lit(lasts)) if lasts else F.lit(0)
+    return whole * side + more(F.slice(F.lit(cuts), whole * side + 1, F.lit(side)))
+
+
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
-    """(range, guest, doc_id, text), sorted within partitions so that each row's next document is the row below it.
+    """(range, guest, doc_id, text), a range a partition, sorted so that each row's next document is the row below it.
 
-    Ids are cut into ranges; the first id of each range (its documents, should the id repeat) also goes, as a guest, to the
-    end of the range before. One shuffle of the texts; the driver sees two numbers a range.
+    Ids are cut into ranges of about equally many rows; an id (or null) that fills several is dealt over them by a hash of its
+    texts. The first row of each range also goes, as a guest, to the end of the range before. One shuffle of the texts; the
+    driver sees two numbers a range.
     """
-    ids = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(2, ranges)
-    cuts = ids.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    above = F.size(F.filter(F.lit(cuts), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
-    placed = ids.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(above).cast("int"))
-    firsts = {r["range"]: r.m for r in placed.groupBy("range").agg(F.max("doc_id").alias("m")).collect()}
-    order = sorted(firsts)
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n, key = max(2, ranges), F.coalesce("doc_id", F.lit(LEAST))
+    found = Counter(ids.agg(F.percentile_approx(key, [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0] or [])
+    cuts = sorted(found, reverse=True)
+    filled = [found[c] for c in cuts] + [1]  # ranges that end with the cut
+    starts = [sum(filled[:i]) for i in range(len(filled))]
+    at = lambda values: F.element_at(F.lit(values), F.col("_above") + 1)
+    several = (key == at([*cuts, LEAST])) & (at(filled) > 1)
+    placed = ids.withColumn("_above", _cuts_above(key, cuts)).withColumn("_tie", F.when(several, F.pmod(F.xxhash64("text"), F.lit(TIES))).otherwise(0).cast("int"))
+    placed = placed.select("doc_id", "text", "_tie", (at(starts) + F.when(several, F.floor(F.col("_tie") * at(filled) / TIES)).otherwise(0)).cast("int").alias("range"))
+    rows = placed.groupBy("range").agg(F.max(F.struct(key.alias("k"), (-F.col("_tie")).alias("t"))).alias("first")).collect()
+    first = {r["range"]: (r["first"].k, -r["first"].t) for r in rows}
+    order = sorted(first)
     before = {r: order[i - 1] for i, r in enumerate(order)}  # of the first range: the last one
-    at = F.col("range") + 1
-    first = F.element_at(F.array(*(F.lit(firsts.get(r)).cast("bigint") for r in range(len(cuts) + 1))), at)
-    home = F.struct("range", F.lit(0).alias("guest"))
-    other = F.struct(F.element_at(F.array(*(F.lit(before.get(r, 0)) for r in range(len(cuts) + 1))), at).alias("range"), F.lit(1).alias("guest"))
-    homes = F.when(F.col("doc_id").eqNullSafe(first), F.array(home, other)).otherwise(F.array(home))
-    rows = placed.select("doc_id", "text", F.explode(homes).alias("home")).select("home.range", "home.guest", "doc_id", "text")
-    return rows.repartition(partitions(docs.sparkSession), "range").sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), F.desc("text"))
+    total = starts[-1] + 1
+    of = lambda values: F.element_at(F.lit([values.get(r, 0) for r in range(total)]), F.col("range") + 1)
+    leads = (key == of({r: k for r, (k, _) in first.items()})) & (F.col("_tie") == of({r: t for r, (_, t) in first.items()}))
+    home, other = F.struct("range", F.lit(0).alias("guest")), F.struct(of(before).cast("int").alias("range"), F.lit(1).alias("guest"))
+    homes = F.explode(F.when(leads, F.array(home, other)).otherwise(F.array(home))).alias("home")
+    rows = placed.select("doc_id", "text", "_tie", homes).select("home.range", "home.guest", "doc_id", "text", "_tie")
+    return rows.repartitionById(total, F.col("range")).sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), "_tie", "text").drop("_tie")
 
 
 _FIELDS = pa.schema(
@@ -135,7 +147,7 @@ def _compared(batches):
                     yield above_id, len(above), hashlib.sha256(new.encode()).hexdigest(), to_text(sk), to_text(changed), likeness(sk, changed), likeness(sk, own)
                 last = None if guest else (place, doc_id, text, own)
 
-    yield from batched(rows(), _FIELDS, 1024)
+    yield from batched(rows(), _FIELDS, 512)
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -444,3 +444,48 @@ def test_toxicity_held_out(spark, sf_dir):
     rows = tox.op10_toxicity(spark, base).join(spark.read.parquet(f"{base}/labels.parquet"), "doc_id").filter("held_out").collect()
     hits = sum(r.predicted == 1 and r.toxic == 1 for r in rows)
     assert hits >= 0.85 * sum(r.toxic for r in rows) and hits >= 0.85 * sum(r.predicted for r in rows)
+
+
+# 1, against brute force ---------------------------------------------------------------------------------------------
+
+
+def char_shingles(text):
+    return {text[i : i + fp.SHINGLE] for i in range(len(text) - fp.SHINGLE + 1)} if len(text) >= fp.SHINGLE else {text} - {""}
+
+
+def test_sketches_estimate_true_likeness():
+    """Mean error over texts of each length near zero, and single errors within what a sample of 1 in SCALE allows."""
+    rng = random.Random(8)
+    for length, allowed in ((60, 0.5), (300, 0.2), (3000, 0.07), (30_000, 0.025)):
+        gaps, inside = [], []
+        for _ in range(30):
+            a = "".join(rng.choice("abcdefghij ") for _ in range(length))
+            k = rng.randrange(length)
+            b = a[:k] + "".join(rng.choice("klmnop") for _ in range(rng.randrange(length // 2)))
+            x, y = char_shingles(a), char_shingles(b)
+            gaps.append(fp.likeness(fp.sketch(a), fp.sketch(b)) - len(x & y) / len(x | y))
+            inside.append(fp.containment(fp.sketch(b), fp.sketch(a)) - len(x & y) / len(y))
+        assert max(map(abs, gaps)) <= allowed and abs(np.mean(gaps)) <= allowed / 3
+        assert sorted(map(abs, inside))[20] <= allowed
+
+
+def test_sketches_merge_exactly_at_every_length():
+    rng = random.Random(9)
+    for n, m in ((0, 5), (3, 7), (5, 200), (40, 41), (200, 200), (200, 20_000), (9000, 9000)):
+        a, b = ("".join(rng.choice("abcdefgh") for _ in range(k)) for k in (n, m))
+        kept = {int(h) for t in (a, b) for s in char_shingles(t) for h in fp.sketch(s)}
+        assert set(fp.merged(fp.sketch(a), fp.sketch(b)).tolist()) == kept
+        assert np.array_equal(fp.from_text(fp.to_text(fp.sketch(b))), fp.sketch(b))
+        if n >= 200:  # a passage of a long text is found there
+            assert fp.containment(fp.sketch(b[: n // 2]), fp.sketch(b)) == 1.0
+
+
+def test_next_of_one_id_over_many_ranges(spark):
+    """An id, or null, with most of the rows is dealt over several ranges; every row still has exactly one next row."""
+    rows = [(5, f"text {i}") for i in range(60)] + [(None, f"none {i}") for i in range(50)] + [(i, f"t{i}") for i in range(100, 140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"range": F.lit("x"), "guest": F.lit(1), "_tie": F.lit(2)})
+    placed = fp.with_next(df, 12)
+    sizes = [r["count"] for r in placed.filter("guest = 0").groupBy("range").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 40
+    got = placed.mapInArrow(fp._compared, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").collect()
+    assert sorted(r.doc_id or -1 for r in got) == sorted(i or -1 for i, _ in rows) and len({r.fingerprint for r in got}) > 140
