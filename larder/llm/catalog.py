@@ -6,7 +6,7 @@ from .op01_fingerprint import op1_fingerprint
 from .op02_stream_dedup import OP2_SQL, op2_stream_dedup
 from .op03_chat import OP3_SQL, op3_chat_format
 from .op04_sentencepiece import op4_sentencepiece
-from .op05_stupid_backoff import op5_stupid_backoff
+from .op05_stupid_backoff import OP5_SQL, op5_stupid_backoff
 from .op06_language_id import op6_language_id
 from .op07_packing import op7_packing
 from .op08_url_filter import OP8_SQL, op8_url_filter
@@ -14,4 +14,4 @@ from .op09_minhash import op9_minhash
 from .op10_toxicity import op10_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_stream_dedup, op3_chat_format, op4_sentencepiece, op5_stupid_backoff, op6_language_id, op7_packing, op8_url_filter, op9_minhash, op10_toxicity)}
-SQL = {"op2_stream_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op8_url_filter": OP8_SQL}
+SQL = {"op2_stream_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op5_stupid_backoff": OP5_SQL, "op8_url_filter": OP8_SQL}

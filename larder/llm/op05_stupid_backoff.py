@@ -1,23 +1,24 @@
 """LM scoring by stupid backoff over bigrams, computed relationally.
 
-1. Words are counted over all documents. The most frequent, at most `most_words`, get numbers, and their counts go to every task;
-   the others keep their own counts in a table. Pairs that a bounded sample shows as very frequent are counted exactly in the
-   same pass.
-2. Every document's bigrams (a pair of word numbers, with its count in the document) are dealt by a hash of the pair, packed
-   into one row a bucket and slice of documents. In a bucket, the rows give the pair's corpus count, and the same rows are
-   joined with it: counts and the n-grams they are joined to share one exchange. The very frequent pairs, whose counts are
-   known, are scored where they are read, so no pair holds a large part of a bucket.
-3. Pairs with a word beyond the numbered ones are dealt as word hashes. Their bucket tells their count, so which of the two words
-   counts; what a document needs of the logarithm of a rare word's count goes on by the word's hash, to where the table's
-   counts are dealt.
-4. Partial sums are added up by document.
+1. Words are counted over all documents: a table (word, n). Bigrams that a bounded sample shows as very frequent are counted
+   exactly in the same pass, at most `most_pairs` of them.
+2. Documents are exploded to rows (document, first, second, n), each distinct bigram once a document. They are dealt by bigram,
+   and a sum over each bigram's rows gives every row the bigram's count: the count table and its join with the n-grams share one
+   exchange and one sort. The very frequent bigrams, whose counts are known, are scored where the text is read, so no bigram
+   holds a large part of a partition.
+3. Which of its two words a bigram needs follows from its count. Counts of the `most_words` most frequent words go to every
+   task; what is needed of other words is summed by (document, word), dealt by word and joined with the table of word counts.
+4. Scores are summed by document.
+
+A word is named by a number if frequent, else by a 63-bit hash; numbers only shorten rows, and no word is left out.
 
 A bigram seen at least `least` times scores log10(count / count of its first word); another backs off to
-log10(0.4 * count of its second word / words in all). A document's first word scores as a single one.
+log10(0.4 * count of its second word / words in all). A document's first word scores as a single one. A corpus that scores
+itself has seen each of its bigrams, so with `least` 1 nothing ever backs off; the default asks for a second occurrence.
 
 Defined results: a null text or one without words has n_words 0, score null. Words are runs of other than ASCII white space,
-A-Z taken as a-z. A repeated row counts, and its scores are given once, over both; rows of a null id likewise. Extra columns
-are not read; an empty table gives an empty result.
+A-Z taken as a-z. Repeated rows count, and each gets its score; rows of one id, or null, with different words are documents
+of their own. Extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,20 +28,20 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batched, groups, least_count, mixed, partitions, slices, stored, table, word_hashes
+from .common import least_count, mixed, partitions, slices, stored, table, word_hashes
 
 BACKOFF = 0.4
-#: Words that one bucket should have.
-BUCKET = 1_500_000
-#: Kinds of packed rows: a slice's documents; bigrams by numbers; by hashes; rare first words; sums; parts of rare words; their counts.
-HEAD, NUMBERED, HASHED, FIRST, SUMS, TERMS, COUNTS = range(7)
+#: Rows of bigrams that one partition should have.
+BUCKET = 4_000_000
 _KEYS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+_RARE = np.uint64(1 << 63)
 
 
-def _pairs(words: np.ndarray) -> np.ndarray:
-    return mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
+def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed(first * np.uint64(0x9E3779B97F4A7C15) + second)
 
 
 def _tally(kinds_of, most: int = 1_500_000):
@@ -61,305 +62,165 @@ def _tally(kinds_of, most: int = 1_500_000):
                     if len(keys):
                         held.setdefault(kind, []).append(keys)
                         size += len(keys)
-            if size > most:
-                yield from packed(held)
-                held, size = {}, 0
+                if size > most:
+                    yield from packed(held)
+                    held, size = {}, 0
         yield from packed(held)
 
     return run
 
 
-class Vocabulary:
-    """Numbers of the frequent words' hashes (0: a rare word), counts by number, and pair hashes with known counts."""
+def _place(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of `of` in the sorted keys, and whether they are there."""
+    at = np.minimum(np.searchsorted(keys, of), max(0, len(keys) - 1))
+    return at, (keys[at] == of if len(keys) else np.zeros(len(of), bool))
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, rare: int, hot: np.ndarray, hot_counts: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.rare = hashes[order], rare  # rare: how often rare words occur in all
-        self.counts = np.concatenate([[1], counts[order]]).astype(np.float64)
-        self.total = float(counts.sum() + rare)
-        order = np.argsort(hot)
-        self.hot, self.hot_counts = hot[order], hot_counts[order].astype(np.float64)
 
-    def numbers(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(words), np.uint64)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, at + 1, 0).astype(np.uint64)
+class Known:
+    """Counts that go to every task: of the frequent words, in order of their hashes, and of the very frequent pairs."""
 
-    def logs(self, pair_counts: np.ndarray, first: np.ndarray, second: np.ndarray, least: int) -> np.ndarray:
-        seen = pair_counts >= least
-        return np.log10(np.where(seen, pair_counts / np.maximum(self.counts[first], 1), BACKOFF * np.maximum(self.counts[second], 1) / self.total))
+    def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, total: int):
+        order = np.argsort(words)
+        self.words, self.counts, self.total = words[order], counts[order], total
+        order = np.argsort(pairs)
+        self.pairs, self.pair_counts = pairs[order], pair_counts[order]
 
+    def names(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of the frequent words; hashes of the others, as negative ones."""
+        at, there = _place(self.words, words)
+        return np.where(there, at.astype(np.uint64), words | _RARE).view(np.int64)
 
-def vocabulary(docs: DataFrame, most_words: int = 400_000, most_pairs: int = 4_096, sample: int = 4_000) -> tuple[Vocabulary, DataFrame]:
-    """Counts over every document: of the frequent words, and a table (key, n) of all others. Only the choice of pairs to count
-    ahead comes from a sample."""
-    spark = docs.sparkSession
-    texts = docs.select("text")
-    n = docs.count()
-    share = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1, sample / max(1, n)))).select("text")
+
+def counts_of(corpus: DataFrame, most_words: int, most_pairs: int, sample: int) -> tuple[Known, DataFrame]:
+    """Known, and the table (word, count) of all other words, from every document. Only which pairs to count ahead comes from
+    a sample."""
+    spark = corpus.sparkSession
+    n = corpus.count()
+    share = corpus.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1, sample / max(1, n)))).select("text")
     schema = "kind int, key bigint, n bigint"
-    frequent = share.mapInArrow(_tally(lambda w: [(1, np.unique(_pairs(w)))]), schema).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 3")
-    hot = np.sort(np.array([r.key for r in frequent.orderBy(F.desc("n"), "key").limit(most_pairs).collect()], np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(hot)
+    frequent = share.mapInArrow(_tally(lambda w: [(1, np.unique(_pairs(w[:-1], w[1:])))]), schema).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 3")
+    ahead = np.sort(np.array([r.key for r in frequent.orderBy(F.desc("n"), "key").limit(most_pairs).collect()], np.int64).view(np.uint64))
+    shared = spark.sparkContext.broadcast(ahead)
 
     def kinds_of(words):
-        own = _pairs(words) if len(words) > 1 else words[:0]
-        h = shared.value
-        at = np.minimum(np.searchsorted(h, own), max(0, len(h) - 1))
-        return [(0, words), (1, own[h[at] == own] if len(h) else own[:0])]
-
-    counts = stored(texts.mapInArrow(_tally(kinds_of), schema).groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    known = counts.filter("kind = 0")
-    least = least_count(known, most_words)
-    top = known.filter(F.col("n") >= least).select("key", "n").toArrow()  # at most most_words rows of 16 bytes
+        own = _pairs(words[:-1], words[1:])
+        return [(0, words), (1, own[_place(shared.value, own)[1]])]
+
+    counts = stored(corpus.select("text").mapInArrow(_tally(kinds_of), schema).groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    words = counts.filter("kind = 0")
+    least = least_count(words, most_words)
+    column = lambda t, c: t.column(c).to_numpy().astype(np.int64)
+    top = words.filter(F.col("n") >= least).select("key", "n").toArrow()  # at most most_words rows of 16 bytes
     pairs = counts.filter("kind = 1").select("key", "n").toArrow()  # at most most_pairs rows
-    total = counts.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    number = lambda t, c: t.column(c).to_numpy().astype(np.int64)
-    n = number(top, "n")
-    v = Vocabulary(number(top, "key").view(np.uint64), n, int(total - n.sum()), number(pairs, "key").view(np.uint64), number(pairs, "n"))
-    return v, known.filter(F.col("n") < least).select("key", "n")
-
-
-_PACKED = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
-_PACKED_SQL = "bucket bigint, slice bigint, kind int, a binary, b binary, c binary, d binary"
-_SUMS = pa.schema([("doc_id", pa.int64()), ("known", pa.bool_()), ("words", pa.int64()), ("score", pa.float64())])
-
-
-def _cuts(sorted_keys: np.ndarray):
-    """(start, end) of each run of equal keys."""
-    starts = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.empty(0, np.int64)
-    return zip(starts.tolist(), np.append(starts[1:], len(sorted_keys)).tolist())
-
-
-def _dealt(kind: int, name: int, buckets: int, keys: np.ndarray, at: np.ndarray, columns):
-    """Packed rows of one slice: each key once a document, with its count. columns(places) gives what to write of them."""
-    if not len(keys):
-        return
-    bucket = (mixed(keys) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((keys, bucket))  # stable, so each key's documents stay in order
-    keys, at, bucket = keys[order], at[order], bucket[order]
-    new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (at[1:] != at[:-1])))
-    n = np.diff(np.append(new, len(keys))).astype(np.uint32)
-    at, bucket = at[new], bucket[new]
-    first, second = columns(order[new])
-    for i, j in _cuts(bucket):
-        yield int(bucket[i]), name, kind, first[i:j].tobytes(), second[i:j].tobytes(), at[i:j].tobytes(), n[i:j].tobytes()
-
-
-def _deal(shared, buckets: int, least: int):
-    """Bucket -1: ids of a slice's documents, whether each is known, words, and what is scored already. Else: bigrams of one
-    bucket and slice, as (first, second) numbers or hashes, the document's place in the slice, count; or rare first words."""
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    known = Known(column(top, "key").view(np.uint64), column(top, "n"), column(pairs, "key").view(np.uint64), column(pairs, "n"), total)
+    rare = F.col("key").bitwiseOR(F.lit(-(2**63))).alias("word")
+    return known, words.filter(F.col("n") < least).select(rare, F.col("n").alias("count"))
+
+
+_ROWS = pa.schema([("doc_id", pa.int64()), ("words", pa.int64()), ("first", pa.int64()), ("second", pa.int64()), ("n", pa.int32()), ("part", pa.float64()), ("size", pa.int64())])
+_ROWS_SQL = "doc_id bigint, words bigint, first bigint, second bigint, n int, part double, size bigint"
+
+
+def _explode(shared, least: int, most: int = 65_536):
+    """Rows of every document, named by its id and a hash of its words (`words`):
+
+    * one with its size and the score of the bigrams known ahead: first is any number, second null, n 0;
+    * its first word: second null, n 1;
+    * every other distinct bigram: first, second, n.
+    """
+
+    def document(known, doc_id, text):
+        words = word_hashes(text or "")
+        named = known.names(words)
+        key = int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True)
+        pairs, at, n = np.unique(_pairs(words[:-1], words[1:]), return_index=True, return_counts=True)
+        place, there = _place(known.pairs, pairs)
+        part = 0.0
+        if there.any():
+            (one, has_one), (two, has_two) = (_place(known.words, words[at + k]) for k in (0, 1))
+            there &= has_one & has_two
+            c, one, two = known.pair_counts[place[there]], known.counts[one[there]], known.counts[two[there]]
+            part = float((n[there] * np.log10(np.where(c >= least, c / one, BACKOFF * two / known.total))).sum())
+        at, n = at[~there], n[~there]
+        first = np.concatenate([[key], named[:1], named[at]])
+        second = np.concatenate([np.zeros(len(first) - len(at), np.int64), named[at + 1]])
+        n = np.concatenate([[0], np.ones(len(named[:1]), np.int32), n]).astype(np.int32)
+        alone = np.arange(len(first)) < len(first) - len(at)
+        head = np.arange(len(first)) == 0
+        return (
+            pa.array(np.full(len(first), doc_id or 0), mask=np.full(len(first), doc_id is None)), pa.array(np.full(len(first), key)), pa.array(first), pa.array(second, mask=alone),
+            pa.array(n), pa.array(np.where(head, part, 0.0)), pa.array(np.full(len(first), len(words)), mask=~head),
+        )
 
     def run(batches):
-        v = shared.value
-
-        def rows():
-            for batch in slices(batches, 400):
-                ids = batch.column(0).to_pylist()
-                doc_ids = np.array([x or 0 for x in ids], np.int64)
-                name = int.from_bytes(hashlib.blake2b(doc_ids.tobytes(), digest_size=8).digest(), "little", signed=True)
-                words_n, score = np.zeros(len(ids), np.int64), np.zeros(len(ids))
-                none, nowhere = np.empty(0, np.uint64), np.empty(0, np.uint16)
-                keys, at = [none], [nowhere]
-                left, right, pairs, hashed_at = [none], [none], [none], [nowhere]
-                heads, heads_at = [], []
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    words = word_hashes(text or "")
-                    words_n[i] = len(words)
-                    if not len(words):
-                        continue
-                    number = v.numbers(words)
-                    score[i] = np.log10(v.counts[number[0]] / v.total)
-                    if not number[0]:
-                        heads.append(words[0])
-                        heads_at.append(i)
-                    own = _pairs(words) if len(words) > 1 else words[:0]
-                    first, second = number[:-1], number[1:]
-                    rare = (first == 0) | (second == 0)
-                    if rare.any():
-                        left.append(words[:-1][rare])
-                        right.append(words[1:][rare])
-                        pairs.append(own[rare])
-                        hashed_at.append(np.full(int(rare.sum()), i, np.uint16))
-                        first, second, own = first[~rare], second[~rare], own[~rare]
-                    if len(v.hot) and len(own):
-                        h = np.minimum(np.searchsorted(v.hot, own), len(v.hot) - 1)
-                        hit = v.hot[h] == own
-                        score[i] += v.logs(v.hot_counts[h[hit]], first[hit], second[hit], least).sum()
-                        first, second = first[~hit], second[~hit]
-                    keys.append(first << np.uint64(32) | second)
-                    at.append(np.full(len(first), i, np.uint16))
-                yield -1, name, HEAD, doc_ids.tobytes(), np.array([x is not None for x in ids]).tobytes(), words_n.tobytes(), score.tobytes()
-                keys = np.concatenate(keys)
-                yield from _dealt(NUMBERED, name, buckets, keys, np.concatenate(at), lambda x: ((keys[x] >> np.uint64(32)).astype(np.uint32), keys[x].astype(np.uint32)))  # noqa: B023
-                left, right = np.concatenate(left), np.concatenate(right)
-                yield from _dealt(HASHED, name, buckets, np.concatenate(pairs), np.concatenate(hashed_at), lambda x: (left[x], right[x]))  # noqa: B023
-                heads = np.array(heads, np.uint64)
-                yield from _dealt(FIRST, name, buckets, heads, np.array(heads_at, np.uint16), lambda x: (heads[x], none))  # noqa: B023
-
-        yield from batched(rows(), _PACKED, 64)
-
-    return run
-
-
-def _sums(names: list[int], places: list[np.ndarray], logs: np.ndarray):
-    """Rows of each slice's sums by document."""
-    end = 0
-    for name, at in zip(names, places):
-        sums = np.bincount(at, logs[end : end + len(at)])
-        end += len(at)
-        present = np.unique(at)
-        yield -1, name, SUMS, present.tobytes(), sums[present].tobytes(), b"", b""
-
-
-def _joined(members: list[tuple], k: int, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(m[k] for m in members), kind)
-
-
-def _score(shared, least: int, word_buckets: int):
-    """Per bucket: counts of its pairs, joined with the same rows; per slice, the sums of its documents. What hangs on the count
-    of a rare word goes on as (hash, slice, place, how often the logarithm counts) by the word's bucket. Bucket -1 passes."""
-
-    def run(batches):
-        v = shared.value
-
-        def terms(bucket, words, names, at, n):
-            to = (mixed(words) % np.uint64(word_buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            to, words, names, at, n = to[order], words[order], names[order], at[order], n[order]
-            for i, j in _cuts(to):
-                yield int(to[i]), bucket, TERMS, words[i:j].tobytes(), names[i:j].tobytes(), at[i:j].tobytes(), n[i:j].tobytes()
-
-        def rows():
-            for (bucket,), members in groups(batches, 1):
-                if bucket < 0:
-                    yield from ((bucket, *m) for m in members)
-                    continue
-                own = {k: [m for m in members if m[1] == k] for k in (NUMBERED, HASHED, FIRST)}
-                del members
-                for kind, some in own.items():
-                    if not some:
-                        continue
-                    places = [np.frombuffer(m[4], np.uint16) for m in some]
-                    names = [m[0] for m in some]
-                    n = _joined(some, 5, np.uint32)
-                    if kind == NUMBERED:
-                        first, second = _joined(some, 2, np.uint32), _joined(some, 3, np.uint32)
-                        _, inverse = np.unique(first.astype(np.uint64) << np.uint64(32) | second, return_inverse=True)
-                        yield from _sums(names, places, v.logs(np.bincount(inverse, n)[inverse], first, second, least) * n)
-                        continue
-                    by_entry = np.repeat(np.array(names, np.int64), [len(p) for p in places])
-                    if kind == FIRST:
-                        yield from terms(bucket, _joined(some, 2, np.uint64), by_entry, np.concatenate(places), n.astype(np.int32))
-                        continue
-                    first, second = _joined(some, 2, np.uint64), _joined(some, 3, np.uint64)
-                    _, inverse = np.unique(mixed(first * np.uint64(0x9E3779B97F4A7C15) + second), return_inverse=True)
-                    counts = np.bincount(inverse, n)[inverse]
-                    seen = counts >= least
-                    word, times = np.where(seen, first, second), np.where(seen, -n.astype(np.int32), n.astype(np.int32))
-                    number = v.numbers(word)
-                    logs = np.where(seen, np.log10(counts), np.log10(BACKOFF / v.total)) * n + np.log10(v.counts[number]) * times
-                    yield from _sums(names, places, logs)
-                    rare = number == 0
-                    yield from terms(bucket, word[rare], by_entry[rare], np.concatenate(places)[rare], times[rare])
-
-        yield from batched(rows(), _PACKED, 64)
-
-    return run
-
-
-def _pack_counts(word_buckets: int, most: int = 1_000_000):
-    """The table of rare words' counts as packed rows of the words' buckets."""
-
-    def packed(held):
-        keys, n = (np.concatenate(x) for x in zip(*held))
-        to = (mixed(keys) % np.uint64(word_buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        to, keys, n = to[order], keys[order], n[order]
-        for i, j in _cuts(to):
-            yield int(to[i]), -1, COUNTS, keys[i:j].tobytes(), n[i:j].tobytes(), b"", b""
-
-    def run(batches):
-        def rows():
-            held, size = [], 0
-            for batch in batches:
-                held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
-                size += batch.num_rows
+        known, held, size = shared.value, [], 0
+        for batch in slices(batches):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append(document(known, doc_id, text))
+                size += len(held[-1][0])
                 if size >= most:
-                    yield from packed(held)
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], schema=_ROWS)
                     held, size = [], 0
-            if size:
-                yield from packed(held)
-
-        yield from batched(rows(), _PACKED, 64)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], schema=_ROWS)
 
     return run
 
 
-def _word_terms(batches):
-    """Per bucket of rare words: their counts meet what documents need of them; per slice, the sums. Bucket -1 passes."""
-
-    def rows():
-        for (bucket,), members in groups(batches, 1):
-            if bucket < 0:
-                yield from ((bucket, *m) for m in members)
-                continue
-            counted, needed = [m for m in members if m[1] == COUNTS], [m for m in members if m[1] == TERMS]
-            del members
-            if not needed:
-                continue
-            keys, n = _joined(counted, 2, np.uint64), _joined(counted, 3, np.int64)
-            order = np.argsort(keys)
-            keys, logs = keys[order], np.log10(n[order])
-            words, names, at = _joined(needed, 2, np.uint64), _joined(needed, 3, np.int64), _joined(needed, 4, np.uint16)
-            part = logs[np.searchsorted(keys, words)] * _joined(needed, 5, np.int32)
-            order = np.argsort(names, kind="stable")
-            names, at, part = names[order], at[order], part[order]
-            runs = list(_cuts(names))
-            yield from _sums([int(names[i]) for i, _ in runs], [at[i:j] for i, j in runs], part)
-
-    yield from batched(rows(), _PACKED, 256)
-
-
-def _by_document(batches):
-    """Per slice: its documents with all their sums."""
-
-    def rows():
-        for _, members in groups(batches, 1):
-            heads = [m for m in members if m[3]]
-            ids, known = np.frombuffer(heads[0][0], np.int64), np.frombuffer(heads[0][1], bool)
-            words = np.sum([np.frombuffer(m[2], np.int64) for m in heads], axis=0)
-            score = np.sum([np.frombuffer(m[3]) for m in heads], axis=0)
-            for at, sums, _, head in members:
-                if not head:
-                    score[np.frombuffer(at, np.uint16)] += np.frombuffer(sums)
-            yield from zip(ids.tolist(), known.tolist(), words.tolist(), score.tolist())
-
-    yield from batched(rows(), _SUMS, 8192)
-
-
-def backoff_scores(docs: DataFrame, least: int = 2, most_words: int = 400_000, bucket: int = BUCKET) -> DataFrame:
+def backoff_scores(docs: DataFrame, least: int = 2, most_words: int = 400_000, bucket: int = BUCKET, most_pairs: int = 4_096, sample: int = 4_000) -> DataFrame:
     """(doc_id, n_words, score, mean_score): log10 of stupid backoff, summed over the words, and by word."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    v, rare = vocabulary(docs, most_words)
-    shared = spark.sparkContext.broadcast(v)
-    buckets, word_buckets = (max(partitions(spark), int(n // bucket) + 1) for n in (v.total, v.rare))
-    packed = docs.mapInArrow(_deal(shared, buckets, least), _PACKED_SQL)
-    # slices' heads and sums go to any task; they need no bucket
-    home = F.when(F.col("bucket") < 0, F.col("slice")).otherwise(F.col("bucket"))
-    dealt = packed.repartition(max(partitions(spark), buckets), home).sortWithinPartitions("bucket", "slice")
-    partial = dealt.mapInArrow(_score(shared, least, word_buckets), _PACKED_SQL)
-    if v.rare:
-        parts = partial.union(rare.mapInArrow(_pack_counts(word_buckets), _PACKED_SQL))
-        partial = parts.repartition(max(partitions(spark), word_buckets), home).sortWithinPartitions("bucket", "slice").mapInArrow(_word_terms, _PACKED_SQL)
-    partial = partial.select("slice", "a", "b", "c", "d")
-    sums = partial.repartition(partitions(spark), "slice").sortWithinPartitions("slice").mapInArrow(_by_document, "doc_id bigint, known boolean, words bigint, score double")
-    by_doc = sums.groupBy("doc_id", "known").agg(F.sum("words").alias("n_words"), F.sum("score").alias("total"))
-    score = F.when(F.col("n_words") > 0, F.col("total"))
-    return by_doc.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "n_words", score.alias("score"), (score / F.when(F.col("n_words") > 0, F.col("n_words"))).alias("mean_score"))
+    known, rare_words = counts_of(docs, most_words, most_pairs, sample)
+    shared = spark.sparkContext.broadcast(known)
+    tasks = max(partitions(spark), known.total // bucket + 1)
+    dealt = docs.mapInArrow(_explode(shared, least), _ROWS_SQL).repartition(int(tasks), "first", "second")
+    rows = dealt.withColumn("count", F.sum("n").over(W.partitionBy("first", "second")))
+    alone, n = F.col("second").isNull(), F.col("n")
+    seen = ~alone & (F.col("count") >= least)
+    word = F.when(alone | seen, F.col("first")).otherwise(F.col("second"))
+    times = F.when(seen, -n).otherwise(n)
+    total = F.lit(float(max(1, known.total)))
+    part = F.col("part") + F.when(seen, n * F.log10("count")).when(alone, -n * F.log10(total)).otherwise(n * (F.log10(F.lit(BACKOFF)) - F.log10(total)))
+    rows = rows.select("doc_id", "words", "size", word.alias("word"), times.alias("times"), part.alias("part"))
+    frequent = spark.createDataFrame(pa.table({"word": np.arange(len(known.counts)), "log": np.log10(known.counts)}))
+    rows = rows.join(F.broadcast(frequent), "word", "left")  # at most most_words rows
+    open_ = (F.col("word") < 0) & (F.col("times") != 0)
+    needed = rows.groupBy("doc_id", "words", F.when(open_, F.col("word")).alias("need")).agg(
+        F.sum(F.col("part") + F.when(F.col("times") != 0, F.col("times") * F.coalesce("log", F.lit(0.0))).otherwise(0.0)).alias("part"), F.sum(F.when(open_, F.col("times"))).alias("times"), F.sum("size").alias("size"), F.count("size").alias("copies")
+    )
+    # rows that need no word are dealt by their document
+    placed = needed.withColumn("at", F.coalesce("need", F.xxhash64("doc_id", "words")))
+    met = placed.join(rare_words, (F.col("at") == F.col("word")) & F.col("need").isNotNull(), "left")
+    whole = F.col("part") + F.coalesce(F.col("times") * F.log10("count"), F.lit(0.0))
+    by_doc = met.groupBy("doc_id", "words").agg(F.sum(whole).alias("score"), F.sum("size").alias("size"), F.sum("copies").cast("int").alias("copies"))
+    each = by_doc.select("doc_id", (F.col("size") / F.col("copies")).cast("bigint").alias("n_words"), (F.col("score") / F.col("copies")).alias("score"), F.explode(F.sequence(F.lit(1), "copies")))
+    score = F.when(F.col("n_words") > 0, F.col("score"))
+    return each.select("doc_id", "n_words", score.alias("score"), (score / F.when(F.col("n_words") > 0, F.col("n_words"))).alias("mean_score"))
 
 
 def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_scores(table(spark, sf_dir, "documents"))
+    """Scores of every document by the counts of them all, to six digits, in which SQL and Spark agree whatever the order of sums."""
+    scored = backoff_scores(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("score", 6).alias("score"), F.round("mean_score", 6).alias("mean_score"))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), one AS (
+  SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM d) GROUP BY word
+), pairs AS (
+  SELECT r, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:]) AS b FROM d
+), two AS (
+  SELECT a, b, count(*) AS n FROM pairs GROUP BY a, b
+), words AS (
+  SELECT sum(n) AS total FROM one
+), later AS (
+  SELECT r, sum(log10(CASE WHEN two.n >= 2 THEN two.n / x.n ELSE 0.4 * y.n / total END)) AS s
+  FROM pairs JOIN two USING (a, b) JOIN one x ON x.word = a JOIN one y ON y.word = b, words GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, round(log10(one.n / total) + coalesce(s, 0), 6) AS score, round((log10(one.n / total) + coalesce(s, 0)) / len(w), 6) AS mean_score
+FROM d LEFT JOIN one ON one.word = w[1] LEFT JOIN later USING (r), words
+"""

@@ -489,3 +489,22 @@ def test_next_of_one_id_over_many_ranges(spark):
     assert len(sizes) >= 8 and max(sizes) <= 40
     got = placed.mapInArrow(fp._compared, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").collect()
     assert sorted(r.doc_id or -1 for r in got) == sorted(i or -1 for i, _ in rows) and len({r.fingerprint for r in got}) > 140
+
+
+# 5, rows of their own -----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_backoff_scores_of_repeated_rows_and_null_ids(spark, least):
+    rows = [(0, "a b c"), (None, "c d"), (None, "c d"), (None, "a b"), (0, "a b c"), (0, "c d e"), (3, None), (3, ""), (4, " A  B C ")] + [(i, "the very hot pair") for i in range(10, 40)]
+    w = [words(t) for _, t in rows]
+    one, two = collections.Counter(x for v in w for x in v), collections.Counter(p for v in w for p in zip(v, v[1:]))
+    total = sum(one.values())
+    want = []
+    for (i, _), v in zip(rows, w):
+        s = np.log10(one[v[0]] / total) + sum(np.log10(two[p] / one[p[0]] if two[p] >= least else 0.4 * one[p[1]] / total) for p in zip(v, v[1:])) if v else None
+        want.append((str(i), len(v), None if s is None else round(float(s), 6)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"words": F.lit("x"), "first": F.lit(1), "part": F.lit(2.0), "count": F.lit(3)})
+    for most_words, most_pairs in ((400_000, 4096), (0, 4096), (3, 0)):
+        got = [(str(r.doc_id), r.n_words, r.score if r.score is None else round(r.score, 6)) for r in lm.backoff_scores(df, least, most_words=most_words, most_pairs=most_pairs, bucket=20).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
