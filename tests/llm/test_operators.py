@@ -508,3 +508,76 @@ def test_backoff_scores_of_repeated_rows_and_null_ids(spark, least):
     for most_words, most_pairs in ((400_000, 4096), (0, 4096), (3, 0)):
         got = [(str(r.doc_id), r.n_words, r.score if r.score is None else round(r.score, 6)) for r in lm.backoff_scores(df, least, most_words=most_words, most_pairs=most_pairs, bucket=20).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
+
+
+# 6, against a plain version ------------------------------------------------------------------------------------------
+
+
+def plain_language(rows, text):
+    """Words first, then n-grams of falling length, straight from the definition; every count is kept."""
+    of = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    by_word, by_gram = collections.Counter(), collections.Counter()
+    for t, x in rows:
+        by_word.update((x, w) for w in of(t))
+    by_gram.update((x, f"<{w}>"[i : i + n]) for x, w in by_word for n in range(1, 6) for i in range(len(w) + 3 - n))
+    names = sorted({x for x, _ in by_word})
+    every = lambda counts, term: sum(n for (_, w), n in counts.items() if w == term) / sum(counts.values())
+    whole = lambda counts, x: sum(n for (y, _), n in counts.items() if y == x)
+    told = {x: np.log(sum(y == x for _, y in rows) / len(rows)) for x in names}
+
+    def add(counts, term, weight):
+        for x in names:
+            p = (counts[x, term] + lang.WEIGHT * every(counts, term)) / (whole(counts, x) + lang.WEIGHT) / every(counts, term)
+            told[x] += weight * np.log(max(p, lang.FLOOR) if counts[x, term] else lang.FLOOR)
+
+    for w in of(text):
+        if any((x, w) in by_word for x in names):
+            add(by_word, w, 1)
+            continue
+        for n in range(5, 0, -1):
+            known = [g for g in (f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)) if any((x, g) in by_gram for x in names)]
+            for g in known:
+                add(by_gram, g, 1 / len(known))
+            if known:
+                break
+    best = max(names, key=lambda x: (told[x], [-ord(c) for c in x]))
+    return best, float(1 / sum(np.exp(v - told[best]) for v in told.values()))
+
+
+def test_language_is_the_plain_version(spark):
+    rng = random.Random(12)
+    letters = {"aa": "abcdeklm", "bb": "defghilm", "cc": "stuvwxyz"}
+    word = lambda x: "".join(rng.choice(letters[x]) for _ in range(rng.randrange(1, 7)))
+    pool = {x: [word(x) for _ in range(15)] for x in letters}
+    rows = [(" ".join(rng.choice(pool[x]) for _ in range(rng.randrange(1, 8))), x) for x in ["aa"] * 20 + ["bb"] * 12 + ["cc"] * 2]
+    model = lang.fit(spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string"))
+    for x in letters:
+        for _ in range(12):
+            text = " ".join(rng.choice([rng.choice(pool[x]), word(x)]) for _ in range(rng.randrange(1, 6)))
+            name, score = model.predict(text)
+            want = plain_language(rows, text)
+            assert name == want[0] and abs(score - want[1]) < 1e-9
+
+
+def test_one_short_document_of_a_new_language_changes_nothing(spark, sf_dir):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    before, after = lang.fit(docs), lang.fit(docs.union(spark.createDataFrame([(10**9, "zorbl quux flim", "xx")], docs.schema)))
+    texts = [r.text for r in docs.limit(400).collect()]
+    assert [before.predict(t)[0] for t in texts] == [after.predict(t)[0] for t in texts] and "xx" in after.names
+    assert after.predict("zorbl quux flim zorbl")[0] == "xx"
+
+
+def test_text_without_spaces_is_read_to_its_end(spark):
+    rows = [(i, t, x) for i, (t, x) in enumerate([("abcde bcdea cdeab", "aa"), ("vwxyz wxyzv xyzvw", "bb")] * 20)]
+    model = lang.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.predict("abcde" * 20 + "vwxyz" * 2000)[0] == "bb" and model.predict("vwxyz" * 20 + "abcde" * 2000)[0] == "aa"
+    long = "abcdefghij" * 1000
+    grams = {g for r in lang.runs_of(long) for g in lang.grams_of(r, 5)}
+    assert grams == set(lang.grams_of(f"<{long}>", 5)) and sum(len(lang.grams_of(r, 5)) for r in lang.runs_of(long)) == len(long) + 2 - 4
+    assert all(lang.runs_of("x" * n) for n in range(1, 80))
+
+
+def test_many_languages(spark):
+    rows = [(i, f"only{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} word", f"lang{i:04d}") for i in range(1500)]
+    model = lang.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.names) == 1500 and all(model.predict(rows[i][1])[0] == rows[i][2] for i in range(0, 1500, 100))
