@@ -2,8 +2,12 @@
 
 Only DataFrame functions: nothing of this module runs Python on the executors.
 
+The filter is sized by a count of the list, 16 bits a url. Up to 64 MB it goes to every task; a larger one meets the urls by
+block. Only urls that it lets pass go to the exact join.
+
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule, has an empty canonical form
-and is never listed. Repeated rows are judged alike, each on its own. Extra columns pass through. An empty list lets all pass.
+and is never listed. Repeated rows are judged alike, each on its own. Extra columns pass through; those named host, path,
+canonical, rule or verdict are replaced. An empty list lets all pass.
 """
 
 from __future__ import annotations
@@ -11,15 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import blocks_for, bloom_blocks, stored, table, with_possible
 
 #: (host, path, verdict); fixed values of the query.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: A block is one 64-bit word; every key sets BITS of them.
-BITS = 6
 
 
 def host_of(url: Column) -> Column:
@@ -45,54 +47,28 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
     return out
 
 
-def _word(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks))
-
-
-def _mask(key: Column) -> Column:
-    """The bits of a key inside its block, from six slices of a second hash."""
-    h = F.xxhash64(F.lit("bits"), key)
-    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 10 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(BITS)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return out
-
-
-def bloom_blocks(listed: DataFrame, key: str, blocks: int) -> DataFrame:
-    """(block, mask): at most `blocks` rows of 16 bytes, whatever the list holds."""
-    return listed.filter(F.col(key) != "").select(_word(F.col(key), blocks).alias("block"), _mask(F.col(key)).alias("m")).groupBy("block").agg(F.bit_or("m").alias("mask"))
-
-
-def listed_keys(keys: DataFrame, listed: DataFrame, key: str = "canonical", blocks: int = 1 << 16) -> DataFrame:
-    """The distinct keys that are in the list.
-
-    The filter goes to every task: its size is bounded by `blocks` (16 bytes each, at most 2^20), not by the list. A fuller
-    filter lets more false positives through; the exact join on the key removes them all.
-    """
-    if blocks > 1 << 20:
-        raise ValueError("at most 2^20 blocks: the filter is broadcast")
-    bits = bloom_blocks(listed, key, blocks)
+def listed_keys(keys: DataFrame, listed: DataFrame, key: str = "canonical", blocks: int | None = None) -> DataFrame:
+    """The distinct keys that are in the list. blocks: size of the filter, else by a count of the list."""
+    known = listed.select(key).filter(F.col(key) != "").distinct()
+    blocks = blocks or blocks_for(known.count())
     distinct = keys.select(key).filter(F.col(key) != "").distinct()
-    possible = (
-        distinct.withColumns({"block": _word(F.col(key), blocks), "m": _mask(F.col(key))})
-        .join(F.broadcast(bits), "block")
-        .filter(F.col("m").bitwiseAND(F.col("mask")) == F.col("m"))
-        .select(key)
-    )
-    return possible.join(listed.select(key).distinct().hint("shuffle_hash"), key, "left_semi")
+    possible = with_possible(distinct, F.col(key), bloom_blocks(known, key, blocks), blocks, "_possible").filter("_possible").select(key)
+    return possible.join(known.hint("shuffle_hash"), key, "left_semi")
 
 
-def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = RULES, blocks: int = 1 << 16) -> DataFrame:
+def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = RULES, blocks: int | None = None) -> DataFrame:
     """pages with host, path, canonical, rule and verdict; listed has a column `canonical`."""
-    judged = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "canonical": canonical_url(F.col(url))})
-    judged = judged.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    hits = listed_keys(judged, listed, "canonical", blocks).withColumn("_listed", F.lit(True))
-    return (
-        judged.join(hits, "canonical", "left")
-        .withColumns({"rule": F.col("_rule.rule"), "verdict": F.coalesce(F.col("_rule.verdict"), F.when(F.col("_listed"), "block").otherwise("allow"))})
-        .drop("_rule", "_listed")
-    )
+    known = stored(listed.select("canonical").filter("canonical <> ''").distinct(), "listed")
+    blocks = blocks or blocks_for(known.count())
+    out = ["host", "path", "canonical", "rule", "verdict"]
+    rows = pages.select(F.struct("*").alias("page"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), canonical_url(F.col(url)).alias("canonical"))
+    rows = rows.withColumn("told", rule_of(F.col("host"), F.col("path"), rules))
+    rows = with_possible(rows, F.col("canonical"), bloom_blocks(known, "canonical", blocks), blocks, "possible")
+    passed = rows.filter("possible and canonical <> ''").join(known.withColumn("listed", F.lit(True)), "canonical", "left")
+    judged = rows.filter("not possible or canonical = ''").withColumn("listed", F.lit(False)).unionByName(passed)
+    verdict = F.coalesce(F.col("told.verdict"), F.when(F.col("listed"), "block").otherwise("allow"))
+    kept = [F.col("page").getField(c).alias(c) for c in pages.columns if c not in out]
+    return judged.select(*kept, "host", "path", "canonical", F.col("told.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def repeated_urls(pages: DataFrame, url: str = "url") -> DataFrame:
