@@ -7,7 +7,7 @@ longest conversation behind it), so a first turn that very many conversations sh
 against the absorbed ones leaves the maximal conversations, whose turns are rendered one row each.
 
 Defined results: a null role is `user`, a null text an empty one; turns are in order of turn, then role, then text, null turns
-first; repeated rows are turns of their own; a null conv_id is dropped; extra columns are not read; an empty table gives an
+first; a mark inside a role or text is rendered with a space in it, a line break in a role as a space; repeated rows are turns of their own; a null conv_id is dropped; extra columns are not read; an empty table gives an
 empty result.
 """
 
@@ -58,7 +58,9 @@ def collapse(rolled: DataFrame) -> DataFrame:
 
 
 def rendered(role: Column, text: Column) -> Column:
-    return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), text, F.lit("<|im_end|>\n"))
+    """A turn between marks; the start of a mark inside role or text gets a space, so that no turn can end itself or forge another."""
+    plain = lambda c: F.replace(c, F.lit("<|im_"), F.lit("< |im_"))
+    return F.concat(F.lit("<|im_start|>"), F.replace(plain(role), F.lit("\n"), F.lit(" ")), F.lit("\n"), plain(text), F.lit("<|im_end|>\n"))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
@@ -79,7 +81,7 @@ WITH t AS (
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS pos
   FROM conversations WHERE conv_id IS NOT NULL
 ), r AS (
-  SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t
+  SELECT *, '<|im_start|>' || replace(replace(role, '<|im_', '< |im_'), chr(10), ' ') || chr(10) || replace(text, '<|im_', '< |im_') || '<|im_end|>' || chr(10) AS rendered, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t
 ), p AS (
   SELECT conv_id, pos, n_turns, string_agg(md5(role || chr(0) || text), ',') OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix FROM r
 ), best AS (
