@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def _large_star(e: DataFrame) -> DataFrame:
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(e.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = e.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -27,14 +27,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): every node that has an edge to another, with the least node it reaches.
 
     edges: two columns of node ids, in any direction; loops, nulls and repeats are dropped. Each round is written to a
-    scratch table; the driver sees a count and a checksum. Hot nodes only meet in aggregates with a map-side part and in
+    scratch table, the one before it is dropped; the driver sees a count and a checksum. Hot nodes only meet in aggregates with a map-side part and in
     joins whose large side can be split.
     """
     a, b = edges.columns
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
     e, seen = stored(e, "edges"), None
     for _ in range(most_rounds):
-        e = stored(_small_star(_large_star(e)), "stars")
+        before, e = e, stored(_small_star(_large_star(e)), "stars")
+        dropped(before)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:
             stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
