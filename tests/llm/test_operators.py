@@ -116,8 +116,9 @@ def test_exact_duplicates(spark, docs, digest):
 def test_exact_duplicates_edges(spark, docs, nothing):
     assert dd.exact_duplicates(nothing).count() == 0
     rows = spark.createDataFrame([(7, "a b"), (7, "a b"), (3, "ab"), (None, "a b"), (1, None), (2, "")], "doc_id long, text string")
-    got = {r.doc_id: (r.keep_id, r.group_size) for r in dd.exact_duplicates(rows).collect()}
-    assert got == {7: (7, 3), 3: (7, 3), None: (7, 3), 1: (1, 2), 2: (1, 2)}
+    got = collections.Counter((r.doc_id, r.keep_id, r.group_size) for r in dd.exact_duplicates(rows).collect())
+    assert got == {(7, 7, 4): 2, (3, 7, 4): 1, (None, 7, 4): 1, (1, 1, 2): 1, (2, 1, 2): 1}  # every row counts
+    assert sorted(r.doc_id for r in dd.distinct_documents(rows).collect()) == [1, 7]
     kept = dd.distinct_documents(docs.union(docs))
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({k for k, _ in brute_groups(enumerate(TEXTS)).values()})
@@ -629,3 +630,34 @@ def test_minima_estimate_likeness():
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         assert abs((mh.minima(a, 200) == mh.minima(b, 200)).mean() - true) < 0.06
     assert (mh.bands_for(85), mh.bands_for(80)) == (26, 38)
+
+
+# 2, deliveries -------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("digest", ["full", "weak"])
+def test_deliveries_share_their_state(spark, tmp_path, digest):
+    weak = (lambda t: F.substring(F.sha2(t, 256), 1, 1)) if digest == "weak" else (lambda t: F.sha2(t, 256))
+    rng = random.Random(21)
+    texts = [rng.choice(["a b", "ab", " ab ", "c", "", None, f"x{i % 4} y", "x1y"]) for i in range(60)]
+    home, folder = str(tmp_path / "home"), str(tmp_path / "docs")
+    seen = []
+    for part in (range(0, 25), range(25, 26), range(26, 60)):
+        seen += [(i, texts[i]) for i in part]
+        spark.createDataFrame([(i, texts[i]) for i in part], "doc_id long, text string").repartition(3).write.mode("append").parquet(folder)
+        got = dd.exact_duplicates(spark.read.parquet(folder), weak, home=home)
+        assert {r.doc_id: (r.keep_id, r.group_size) for r in got.collect()} == brute_groups(seen) and got.count() == len(seen)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    again = dd.exact_duplicates(spark.read.parquet(folder), weak, home=home)  # nothing new
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in again.collect()} == brute_groups(seen)
+    assert "RocksDB" not in before  # the caller's session is left alone
+
+
+def test_derived_deliveries(spark, tmp_path):
+    home = str(tmp_path / "home")
+    one = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string").filter("doc_id > 0")
+    two = spark.createDataFrame([(3, "ab"), (4, "d")], "doc_id long, text string").filter("doc_id > 0")
+    dd.exact_duplicates(one, home=home).count()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in dd.exact_duplicates(two, home=home).collect()} == {1: (1, 2), 3: (1, 2), 2: (2, 1), 4: (4, 1)}
+    clash = one.withColumns({c: F.lit(c) for c in ("_file", "_row", "file", "row", "doc", "best", "first", "digest")})
+    assert {r._file + r.row for r in dd.distinct_documents(clash).collect()} == {"_filerow"}
