@@ -5,12 +5,14 @@
 2. Documents are exploded to rows (document, first, second, n), each distinct bigram once a document. They are dealt by bigram,
    and a sum over each bigram's rows gives every row the bigram's count: the count table and its join with the n-grams share one
    exchange and one sort. The very frequent bigrams, whose counts are known, are scored where the text is read, so no bigram
-   holds a large part of a partition.
+   holds a large part of a partition. So are bigrams with a word that occurs less than `least` times: a Bloom filter tells most
+   of these words, and their bigrams can't be seen often enough either.
 3. Which of its two words a bigram needs follows from its count. Counts of the `most_words` most frequent words go to every
    task; what is needed of other words is summed by (document, word), dealt by word and joined with the table of word counts.
 4. Scores are summed by document.
 
-A word is named by a number if frequent, else by a 63-bit hash; numbers only shorten rows, and no word is left out.
+A word is named by a number if frequent, else by a 63-bit hash; a bigram by both numbers in one, or by a 63-bit hash. Numbers
+only shorten rows, and no word is left out.
 
 A bigram seen at least `least` times scores log10(count / count of its first word); another backs off to
 log10(0.4 * count of its second word / words in all). A document's first word scores as a single one. A corpus that scores
@@ -24,6 +26,7 @@ of their own. Extra columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,8 @@ BACKOFF = 0.4
 BUCKET = 4_000_000
 _KEYS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 _RARE = np.uint64(1 << 63)
+#: Where the slices of a word's hash begin that set bits of its block; most blocks of 8 bytes.
+_SLICES, MOST_BLOCKS = (22, 28, 34, 40, 46, 52), 1 << 20
 
 
 def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -77,21 +82,46 @@ def _place(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Known:
-    """Counts that go to every task: of the frequent words, in order of their hashes, and of the very frequent pairs."""
+    """What goes to every task: counts of the frequent words, in order of their hashes, and of the very frequent pairs; a filter
+    of the other words that occur `least` times or more."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, total: int):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, total: int, masks: np.ndarray):
+        self.masks = masks
         order = np.argsort(words)
         self.words, self.counts, self.total = words[order], counts[order], total
+        self.shift = len(words).bit_length()  # what a word's number takes
         order = np.argsort(pairs)
         self.pairs, self.pair_counts = pairs[order], pair_counts[order]
 
+    def below(self, words: np.ndarray, named: np.ndarray) -> np.ndarray:
+        """Which of the words are sure to occur less than `least` times."""
+        bits = np.zeros(len(words), np.uint64)
+        for s in _SLICES:
+            bits |= np.uint64(1) << (words >> np.uint64(s) & np.uint64(63))
+        return (named < 0) & (self.masks[words & np.uint64(len(self.masks) - 1)] & bits != bits)
+
     def names(self, words: np.ndarray) -> np.ndarray:
         """Numbers of the frequent words; hashes of the others, as negative ones."""
         at, there = _place(self.words, words)
         return np.where(there, at.astype(np.uint64), words | _RARE).view(np.int64)
 
 
-def counts_of(corpus: DataFrame, most_words: int, most_pairs: int, sample: int) -> tuple[Known, DataFrame]:
+def _filter(words: DataFrame) -> np.ndarray:
+    """Masks of a blocked Bloom filter, some 16 bits a word as long as MOST_BLOCKS allow; a fuller one only lets more through."""
+    blocks = 1
+    while blocks * 4 < words.count() and blocks < MOST_BLOCKS:
+        blocks *= 2
+    bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned("key", s).bitwiseAND(F.lit(63)).cast("int"))
+    mask = bit(_SLICES[0])
+    for s in _SLICES[1:]:
+        mask = mask.bitwiseOR(bit(s))
+    set_ = words.groupBy(F.col("key").bitwiseAND(F.lit(blocks - 1)).alias("block")).agg(F.bit_or(mask).alias("mask")).toArrow()  # at most MOST_BLOCKS rows
+    out = np.zeros(blocks, np.uint64)
+    out[set_.column("block").to_numpy()] = set_.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
+def counts_of(corpus: DataFrame, fewest: int, most_words: int, most_pairs: int, sample: int) -> tuple[Known, DataFrame]:
     """Known, and the table (word, count) of all other words, from every document. Only which pairs to count ahead comes from
     a sample."""
     spark = corpus.sparkSession
@@ -113,44 +143,65 @@ def counts_of(corpus: DataFrame, most_words: int, most_pairs: int, sample: int)
     top = words.filter(F.col("n") >= least).select("key", "n").toArrow()  # at most most_words rows of 16 bytes
     pairs = counts.filter("kind = 1").select("key", "n").toArrow()  # at most most_pairs rows
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    known = Known(column(top, "key").view(np.uint64), column(top, "n"), column(pairs, "key").view(np.uint64), column(pairs, "n"), total)
+    masks = _filter(words.filter((F.col("n") < least) & (F.col("n") >= fewest)))
+    known = Known(column(top, "key").view(np.uint64), column(top, "n"), column(pairs, "key").view(np.uint64), column(pairs, "n"), total, masks)
     rare = F.col("key").bitwiseOR(F.lit(-(2**63))).alias("word")
     return known, words.filter(F.col("n") < least).select(rare, F.col("n").alias("count"))
 
 
-_ROWS = pa.schema([("doc_id", pa.int64()), ("words", pa.int64()), ("first", pa.int64()), ("second", pa.int64()), ("n", pa.int32()), ("part", pa.float64()), ("size", pa.int64())])
-_ROWS_SQL = "doc_id bigint, words bigint, first bigint, second bigint, n int, part double, size bigint"
+_ROWS = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("key", pa.int64()), ("second", pa.int64()), ("n", pa.int32()), ("part", pa.float64()), ("size", pa.int64())])
+_ROWS_SQL = "id bigint, tag int, key bigint, second bigint, n int, part double, size bigint"
+
+
+def _named(doc_id: int | None, words: np.ndarray) -> tuple[int, int, int]:
+    """A document's id and tag, and a number to deal it by. The tag tells rows of one id apart by their words; it is negative
+    where there is no id, whose place a hash of the words takes."""
+    digest = hashlib.blake2b(words.tobytes(), digest_size=12).digest()
+    number, tag = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little") >> 1
+    return (number, -1 - tag, number) if doc_id is None else (doc_id, tag, number)
 
 
 def _explode(shared, least: int, most: int = 65_536):
-    """Rows of every document, named by its id and a hash of its words (`words`):
+    """Rows of every document:
 
-    * one with its size and the score of the bigrams known ahead: first is any number, second null, n 0;
-    * its first word: second null, n 1;
-    * every other distinct bigram: first, second, n.
+    * one with its size and the score of what is known ahead: n 0, any key;
+    * a rare word that counts as a single one, n times: the word as key and first, -n;
+    * every other distinct bigram that may be seen `least` times: n, its key, and if one of its words is rare, the first's name
+      as key and the second's name.
     """
 
     def document(known, doc_id, text):
         words = word_hashes(text or "")
+        name, tag, spread = _named(doc_id, words)
         named = known.names(words)
-        key = int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True)
+        below = known.below(words, named)
         pairs, at, n = np.unique(_pairs(words[:-1], words[1:]), return_index=True, return_counts=True)
+        one, two = named[at], named[at + 1]
+        rare, unseen = (one < 0) | (two < 0), below[at] | below[at + 1]
         place, there = _place(known.pairs, pairs)
+        there &= ~rare
         part = 0.0
         if there.any():
-            (one, has_one), (two, has_two) = (_place(known.words, words[at + k]) for k in (0, 1))
-            there &= has_one & has_two
-            c, one, two = known.pair_counts[place[there]], known.counts[one[there]], known.counts[two[there]]
-            part = float((n[there] * np.log10(np.where(c >= least, c / one, BACKOFF * two / known.total))).sum())
-        at, n = at[~there], n[~there]
-        first = np.concatenate([[key], named[:1], named[at]])
-        second = np.concatenate([np.zeros(len(first) - len(at), np.int64), named[at + 1]])
-        n = np.concatenate([[0], np.ones(len(named[:1]), np.int32), n]).astype(np.int32)
-        alone = np.arange(len(first)) < len(first) - len(at)
-        head = np.arange(len(first)) == 0
+            c = known.pair_counts[place[there]]
+            part = float((n[there] * np.log10(np.where(c >= least, c / known.counts[one[there]], BACKOFF * known.counts[two[there]] / known.total))).sum())
+        # single words: the first, and the second ones of bigrams that can't be seen often enough
+        single, times, lone = np.append(two[unseen], named[:1]), np.append(n[unseen], np.ones(len(named[:1]), np.int64)), np.append(below[at + 1][unseen], below[:1])
+        part += float(n[unseen].sum() * math.log10(BACKOFF))
+        sure = single >= 0
+        part += float((times[sure] * np.log10(known.counts[single[sure]] / known.total)).sum())
+        if least == 2:  # a word that is not seen twice is seen once
+            part -= float(times[lone].sum() * math.log10(known.total)) if lone.any() else 0.0
+            sure |= lone
+        single, times = single[~sure], times[~sure]
+        left = ~there & ~unseen
+        key = np.where(rare, one, one << known.shift | two)[left]
+        k = 1 + len(single)
+        key, n = np.concatenate([[spread], single, key]).astype(np.int64), np.concatenate([[0], -times, n[left]]).astype(np.int32)
+        second = np.concatenate([np.zeros(k, np.int64), two[left]])
+        row = np.arange(len(key))
         return (
-            pa.array(np.full(len(first), doc_id or 0), mask=np.full(len(first), doc_id is None)), pa.array(np.full(len(first), key)), pa.array(first), pa.array(second, mask=alone),
-            pa.array(n), pa.array(np.where(head, part, 0.0)), pa.array(np.full(len(first), len(words)), mask=~head),
+            pa.array(np.full(len(key), name)), pa.array(np.full(len(key), tag, np.int32)), pa.array(key), pa.array(second, mask=np.append(np.ones(k, bool), ~rare[left])),
+            pa.array(n), pa.array(np.where(row == 0, part, 0.0)), pa.array(np.full(len(key), len(words)), mask=row > 0),
         )
 
     def run(batches):
@@ -168,34 +219,35 @@ def _explode(shared, least: int, most: int = 65_536):
     return run
 
 
-def backoff_scores(docs: DataFrame, least: int = 2, most_words: int = 400_000, bucket: int = BUCKET, most_pairs: int = 4_096, sample: int = 4_000) -> DataFrame:
+def backoff_scores(docs: DataFrame, least: int = 2, most_words: int = 400_000, bucket: int = BUCKET, most_pairs: int = 65_536, sample: int = 16_000) -> DataFrame:
     """(doc_id, n_words, score, mean_score): log10 of stupid backoff, summed over the words, and by word."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    known, rare_words = counts_of(docs, most_words, most_pairs, sample)
+    known, rare_words = counts_of(docs, least, most_words, most_pairs, sample)
     shared = spark.sparkContext.broadcast(known)
     tasks = max(partitions(spark), known.total // bucket + 1)
-    dealt = docs.mapInArrow(_explode(shared, least), _ROWS_SQL).repartition(int(tasks), "first", "second")
-    rows = dealt.withColumn("count", F.sum("n").over(W.partitionBy("first", "second")))
-    alone, n = F.col("second").isNull(), F.col("n")
+    dealt = docs.mapInArrow(_explode(shared, least), _ROWS_SQL).repartition(int(tasks), "key", "second")
+    n, alone = F.col("n"), F.col("n") <= 0
+    rows = dealt.withColumn("count", F.sum(F.greatest("n", F.lit(0))).over(W.partitionBy("key", "second")))
     seen = ~alone & (F.col("count") >= least)
-    word = F.when(alone | seen, F.col("first")).otherwise(F.col("second"))
-    times = F.when(seen, -n).otherwise(n)
-    total = F.lit(float(max(1, known.total)))
-    part = F.col("part") + F.when(seen, n * F.log10("count")).when(alone, -n * F.log10(total)).otherwise(n * (F.log10(F.lit(BACKOFF)) - F.log10(total)))
-    rows = rows.select("doc_id", "words", "size", word.alias("word"), times.alias("times"), part.alias("part"))
+    first = F.when(alone | F.col("second").isNotNull(), F.col("key")).otherwise(F.shiftright("key", known.shift))
+    second = F.coalesce("second", F.col("key").bitwiseAND(F.lit((1 << known.shift) - 1)))
+    word, times = F.when(alone | seen, first).otherwise(second), F.when(alone | seen, -n).otherwise(n)
+    total = math.log10(max(1, known.total))
+    part = F.col("part") + F.when(seen, n * F.log10("count")).when(alone, n * F.lit(total)).otherwise(n * F.lit(math.log10(BACKOFF) - total))
+    rows = rows.select("id", "tag", "size", word.alias("word"), times.alias("times"), part.alias("part"))
     frequent = spark.createDataFrame(pa.table({"word": np.arange(len(known.counts)), "log": np.log10(known.counts)}))
     rows = rows.join(F.broadcast(frequent), "word", "left")  # at most most_words rows
     open_ = (F.col("word") < 0) & (F.col("times") != 0)
-    needed = rows.groupBy("doc_id", "words", F.when(open_, F.col("word")).alias("need")).agg(
+    needed = rows.groupBy("id", "tag", F.when(open_, F.col("word")).alias("need")).agg(
         F.sum(F.col("part") + F.when(F.col("times") != 0, F.col("times") * F.coalesce("log", F.lit(0.0))).otherwise(0.0)).alias("part"), F.sum(F.when(open_, F.col("times"))).alias("times"), F.sum("size").alias("size"), F.count("size").alias("copies")
     )
     # rows that need no word are dealt by their document
-    placed = needed.withColumn("at", F.coalesce("need", F.xxhash64("doc_id", "words")))
+    placed = needed.withColumn("at", F.coalesce("need", F.xxhash64("id", "tag")))
     met = placed.join(rare_words, (F.col("at") == F.col("word")) & F.col("need").isNotNull(), "left")
     whole = F.col("part") + F.coalesce(F.col("times") * F.log10("count"), F.lit(0.0))
-    by_doc = met.groupBy("doc_id", "words").agg(F.sum(whole).alias("score"), F.sum("size").alias("size"), F.sum("copies").cast("int").alias("copies"))
-    each = by_doc.select("doc_id", (F.col("size") / F.col("copies")).cast("bigint").alias("n_words"), (F.col("score") / F.col("copies")).alias("score"), F.explode(F.sequence(F.lit(1), "copies")))
+    by_doc = met.groupBy("id", "tag").agg(F.sum(whole).alias("score"), F.sum("size").alias("size"), F.sum("copies").cast("int").alias("copies"))
+    each = by_doc.select(F.when(F.col("tag") >= 0, F.col("id")).alias("doc_id"), (F.col("size") / F.col("copies")).cast("bigint").alias("n_words"), (F.col("score") / F.col("copies")).alias("score"), F.explode(F.sequence(F.lit(1), "copies")))
     score = F.when(F.col("n_words") > 0, F.col("score"))
     return each.select("doc_id", "n_words", score.alias("score"), (score / F.when(F.col("n_words") > 0, F.col("n_words"))).alias("mean_score"))
 
