@@ -49,7 +49,7 @@ def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first * np.uint64(0x9E3779B97F4A7C15) + second)
 
 
-def _tally(kinds_of, most: int = 1_500_000):
+def _tally(kinds_of, most: int = 3_000_000):
     """Counts of keys by kind, summed in the task while they are few enough to hold."""
 
     def packed(held):
@@ -108,8 +108,8 @@ class Known:
 
 def _filter(words: DataFrame) -> np.ndarray:
     """Masks of a blocked Bloom filter, some 16 bits a word as long as MOST_BLOCKS allow; a fuller one only lets more through."""
-    blocks = 1
-    while blocks * 4 < words.count() and blocks < MOST_BLOCKS:
+    blocks, n = 1, words.count()
+    while blocks * 4 < n and blocks < MOST_BLOCKS:
         blocks *= 2
     bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned("key", s).bitwiseAND(F.lit(63)).cast("int"))
     mask = bit(_SLICES[0])
@@ -219,7 +219,7 @@ def _explode(shared, least: int, most: int = 65_536):
     return run
 
 
-def backoff_scores(docs: DataFrame, least: int = 2, most_words: int = 400_000, bucket: int = BUCKET, most_pairs: int = 65_536, sample: int = 16_000) -> DataFrame:
+def backoff_scores(docs: DataFrame, least: int = 2, most_words: int = 400_000, bucket: int = BUCKET, most_pairs: int = 65_536, sample: int = 8_000) -> DataFrame:
     """(doc_id, n_words, score, mean_score): log10 of stupid backoff, summed over the words, and by word."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
