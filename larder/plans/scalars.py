@@ -69,7 +69,7 @@ add("doc_filename", "urls", "page_id", lambda: U.doc_filename(u()), rf"CASE WHEN
 add("doc_url_candidates", "urls", "page_id", lambda: F.array_join(U.doc_url_candidates(u()), " "), "url")
 add("link_kind", "urls", "page_id", lambda: U.link_kind(u()), r"CASE WHEN regexp_matches(split_part(lower(url), '?', 1), '\.pdf$|/pdf/|menu\.pdf') THEN 'pdf' WHEN regexp_matches(split_part(lower(url), '?', 1), '\.(jpe?g|png|webp)$') THEN 'image' ELSE 'other' END")
 add("arrival_source", "urls", "page_id", lambda: U.arrival_source(F.when(F.col("page_id") % 5 == 0, "share"), F.regexp_extract(u(), r"^https?://[^/]+(/[^?#]*)", 1)), r"CASE WHEN page_id % 5 = 0 THEN 'share' WHEN regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) = '/' THEN 'search' WHEN regexp_matches(regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1), '(?i)^/[a-z0-9-]+/?$') THEN 'guide' ELSE 'direct' END")
-add("candidate_id", "urls", "page_id", lambda: U.candidate_id(F.lit("pdf"), F.substring(u(), 1, 3)), "lpad(printf('%x', list_reduce(list_prepend(2166136261::bigint, list_transform(string_split('pdf|' || substr(url, 1, 3), ''), lambda c: ascii(c)::bigint)), lambda a, c: (xor(a, c) * 16777619) % 4294967296)), 8, '0')")
+add("candidate_id", "urls", "page_id", lambda: U.candidate_id(F.lit("pdf"), u()), "lpad(printf('%x', list_reduce(list_prepend(2166136261::bigint, list_transform(string_split('pdf|' || url, ''), lambda c: ascii(c)::bigint)), lambda a, c: (xor(a, c) * 16777619) % 4294967296)), 8, '0')")
 add("candidate_id_whole", "urls", "page_id", lambda: U.candidate_id(F.lit("pdf"), u()), "")
 
 n = lambda: F.col("name")
