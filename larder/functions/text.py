@@ -74,11 +74,13 @@ def text_looks_like_menu_loose(text: Column) -> Column:
     return F.lower(text).rlike("|".join(COURSE_WORDS)) | (F.regexp_count(text, F.lit(r"[€£]\s*\d+")) > 3)
 
 
-def text_is_english(text: Column) -> Column:
-    """Under 40 words: yes. Else whether at least one in fifty is a frequent English word."""
-    sample = F.substring(F.coalesce(text, F.lit("")), 1, 4000)
-    words = F.regexp_count(sample, F.lit(r"\S+"))
-    return (words < 40) | (F.regexp_count(sample, F.lit(rf"(?i)\b({STOP_WORDS})\b")) >= 0.02 * words)
+def text_is_english(text: Column, most: int | None = None) -> Column:
+    """Under 40 words: yes. Else whether at least one in fifty is a frequent English word. Reads the whole text, or its first
+    `most` characters."""
+    read = F.coalesce(text, F.lit(""))
+    read = read if most is None else F.substring(read, 1, most)
+    words = F.regexp_count(read, F.lit(r"\S+"))
+    return (words < 40) | (F.regexp_count(read, F.lit(rf"(?i)\b({STOP_WORDS})\b")) >= 0.02 * words)
 
 
 def is_drink_source(text: Column) -> Column:

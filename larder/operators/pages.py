@@ -78,7 +78,7 @@ _IMAGE = pa.struct([("url", pa.string()), ("alt", pa.string()), ("size", pa.int3
 _SIGNALS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("links", pa.list_(_LINK)), ("images", pa.list_(_IMAGE))])
 
 
-def _read(batches):
+def _read(batches, most: int | None):
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             rows = []
@@ -87,14 +87,14 @@ def _read(batches):
                 p.feed(html or "")
                 links = [{"kind": x["kind"], "href": x["href"], "url": _absolute(x["href"], url or ""), "text": (" ".join(x["text"].split()) or x["title"].strip()), "lang": x["lang"]} for x in p.links]
                 images = [{"url": _absolute(x["src"], url or ""), "alt": x["alt"], "size": x["size"]} for x in p.images]
-                rows.append({"page_id": page_id, "url": url, "text": " ".join(" ".join(p.text).split())[:40000], "links": links, "images": images})
+                rows.append({"page_id": page_id, "url": url, "text": " ".join(" ".join(p.text).split())[:most], "links": links, "images": images})
             yield pa.RecordBatch.from_pylist(rows, schema=_SIGNALS)
 
 
-def page_signals(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, links, images) of every page."""
+def page_signals(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """(page_id, url, text, links, images) of every page; text whole, or its first `most` characters."""
     schema = "page_id bigint, url string, text string, links array<struct<kind:string,href:string,url:string,text:string,lang:string>>, images array<struct<url:string,alt:string,size:int>>"
-    return pages.select("page_id", "url", "html").mapInArrow(_read, schema)
+    return pages.select("page_id", "url", "html").mapInArrow(lambda batches: _read(batches, most), schema)
 
 
 def page_links(signals: DataFrame) -> DataFrame:
@@ -153,9 +153,10 @@ def menu_images(signals: DataFrame, most: int = 3) -> DataFrame:
     return _top(scored, F.substring_index("url", "?", 1), most).select("page_id", F.substring_index("url", "?", 1).alias("url"), "score", "rank")
 
 
-def english_variants(signals: DataFrame) -> DataFrame:
-    """(page_id, variant): of pages not in English, the first alternate in English, else the first link to an English path."""
-    other = signals.filter(~text_is_english(F.col("text")))
+def english_variants(signals: DataFrame, most: int | None = None) -> DataFrame:
+    """(page_id, variant): of pages not in English, the first alternate in English, else the first link to an English path. The
+    whole text is judged, or its first `most` characters."""
+    other = signals.filter(~text_is_english(F.col("text"), most))
     links = page_links(other).filter(url_same_site(F.col("url"), F.col("page")) & (url_same_page_key(F.col("url")) != url_same_page_key(F.col("page"))))
     level = F.when(F.lower("lang").startswith("en"), 0).when((F.col("kind") == "a") & (url_path_english(F.col("url")) | F.lower(F.trim("text")).isin("en", "eng", "english")), 1)
     return links.withColumn("level", level).filter("level is not null").groupBy("page_id").agg(F.min(F.struct("level", "ord", "url")).getField("url").alias("variant"))

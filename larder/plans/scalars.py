@@ -93,7 +93,7 @@ add("vote_key", "restaurants", "id", lambda: T.vote_key(F.col("city"), F.when(F.
 add("custom_city_norm", "restaurants", "id", lambda: T.custom_city_norm(F.concat(F.lit("  "), F.col("name"), F.lit("\t x "))), r"trim(regexp_replace('  ' || name || chr(9) || ' x ', '\s+', ' ', 'g'))")
 
 FRENCH = "text_is_english"
-add(FRENCH, "docs", "doc_id", lambda: T.text_is_english(F.col("text")), r"len(regexp_extract_all(substr(text, 1, 4000), '\S+')) < 40 OR len(regexp_extract_all(substr(text, 1, 4000), '(?i)\b(the|and|with|our|for|from|your|are|this|that|you|served|please)\b')) >= 0.02 * len(regexp_extract_all(substr(text, 1, 4000), '\S+'))")
+add(FRENCH, "docs", "doc_id", lambda: T.text_is_english(F.col("text")), r"len(regexp_extract_all(coalesce(text, ''), '\S+')) < 40 OR len(regexp_extract_all(text, '(?i)\b(the|and|with|our|for|from|your|are|this|that|you|served|please)\b')) >= 0.02 * len(regexp_extract_all(text, '\S+'))")
 add("price_tokens_review", "docs", "doc_id", lambda: T.price_tokens_review(F.col("text")).cast("bigint"), r"len(regexp_extract_all(text, '[€£$]\s?[0-9]|\b[0-9]{1,3}\.[0-9]{2}\b'))")
 add("text_looks_like_menu_loose", "docs", "doc_id", lambda: T.text_looks_like_menu_loose(F.col("text")), r"regexp_matches(lower(text), 'starter|main course|mains|dessert|entrée|appetizer|para picar|à la carte|a la carte') OR len(regexp_extract_all(text, '[€£]\s*[0-9]+')) > 3")
 add("is_non_food_menu", "docs", "doc_id", lambda: T.is_non_food_menu(F.col("text")), f"regexp_matches(text, {_q('(?i)' + chr(92) + 'b' + T.NON_FOOD_WORDS + chr(92) + 'b')})")

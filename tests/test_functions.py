@@ -26,6 +26,12 @@ def test_format_price(spark):
     table(spark, T.format_price, {"4": "€4", "14.50": "€14.50", "12 / 18": "€12 / €18", "€7.50": "€7.50", "12 USD": "12 USD", "market price": None})
 
 
+def test_whole_texts_are_judged(spark):
+    late = "the soup and bread " * 250 + "le potage du jour avec pain " * 20_000
+    assert each(spark, T.text_is_english, [late, "the soup and bread " * 250, "le potage", None]) == [False, True, True, True]
+    assert each(spark, lambda c: T.text_is_english(c, most=4_000), [late]) == [True]
+
+
 def test_url_identity(spark):
     keys = each(spark, U.url_dedup_key, ["https://dohertysbar.ie", "https://www.dohertysbar.ie/menu/", "http://DohertysBar.ie/menu/lunch", "dohertysbar.ie"])
     assert set(keys) == {"dohertysbar.ie"}

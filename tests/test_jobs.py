@@ -91,6 +91,12 @@ def test_page_signals(spark):
     assert "About" not in signals.filter("page_id = 1").first().text
 
 
+def test_page_text_is_whole(spark):
+    pages = spark.createDataFrame([(1, "https://place.ie/", f"<body><p>{'soup ' * 20_000}bread</p></body>")], "page_id long, url string, html string")
+    assert P.page_signals(pages).first().text == "soup " * 20_000 + "bread"
+    assert P.page_signals(pages, most=40_000).first().text == ("soup " * 8_000)
+
+
 def test_rate_limit_counts_accepted_only():
     rng = random.Random(5)
     times = sorted(rng.randrange(0, 20_000) for _ in range(300))
