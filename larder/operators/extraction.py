@@ -7,11 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larder.functions.misc import FLAG_REPORTS, MIN_DISHES
-from larder.functions.text import header_item, is_drink_dish, is_drink_section, is_header_dish, is_non_food_menu, norm_dish_merge, norm_dish_verify
-from larder.functions.urls import url_lang, url_lang_key
+from larder.functions.text import header_item, is_drink_dish, is_drink_section, is_drink_source, is_header_dish, is_non_food_menu, norm_dish_merge, norm_dish_verify
+from larder.functions.urls import url_hint, url_lang, url_lang_key
+
+from .identity import label_suffix
 
 #: Which format stands for a menu that comes in several; candidates a site may offer.
 FORMATS, MOST_CANDIDATES = {"pdf": 0, "subpage": 1, "text": 2, "image": 3}, 6
+# Fixed value: words by which a page names itself a menu.
+MENU_NAMES = r"(?i)\bmenus?\b|menukaart|speisekarte|carte"
 
 
 def clean_menu(rows: DataFrame) -> DataFrame:
@@ -85,6 +89,26 @@ def pick_formats(rows: DataFrame) -> DataFrame:
     return one.withColumn("_n", F.row_number().over(W.partitionBy("site").orderBy("ord"))).filter(F.col("_n") <= MOST_CANDIDATES).drop("_n")
 
 
+def discover_candidates(rows: DataFrame, verdicts: DataFrame, primary: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(site, type, ref, label): the menus a site offers, at most six, from what its pages showed.
+
+    rows: site, type, ref, hint, validated, ord. verdicts: site, type, ref, label, distinct_menu, drink_only, grp (rows of one
+    grp are one menu in several formats); a candidate without one is a distinct menu named by its hint. primary: site, url of
+    the page in use. fallback: site, type, ref, ord; its first row stands for a site of which no candidate is left. Of several
+    verdicts on one candidate the least holds.
+    """
+    key = ["site", "type", "ref"]
+    found = dedupe_candidates(drop_primary_variants(rows.select(*key, "hint", "validated", "ord"), primary)).withColumn("_words", F.concat_ws(" ", "hint", url_hint(F.col("ref"))))
+    found = prefer_english(found.filter(~is_non_food_menu(F.col("_words")) & ((F.col("type") == "text") | ~is_drink_source(F.col("_words")))))
+    told = verdicts.groupBy(*key).agg(F.min(F.struct("label", "distinct_menu", "drink_only", "grp")).alias("_told"))
+    judged = found.join(told, key, "left").withColumns({"label": F.coalesce(F.nullif("_told.label", F.lit("")), F.nullif("hint", F.lit("")), F.lit("Menu")), "grp": F.coalesce("_told.grp", F.concat_ws("|", "type", "ref"))})
+    sure = F.col("type").isin("text", "pdf") | F.coalesce("validated", F.lit(False)) | ((F.col("type") == "subpage") & F.col("_words").rlike(MENU_NAMES))
+    kept = judged.filter(~F.coalesce("_told.drink_only", F.lit(False)) & ~is_non_food_menu(F.concat_ws(" ", "label", "_words")) & (F.coalesce("_told.distinct_menu", F.lit(True)) | sure))
+    offered = label_suffix(pick_formats(kept), F.col("label"), ["site"], ["ord"]).select(*key, "label")
+    first = fallback.groupBy("site").agg(F.min_by(F.struct("type", "ref"), "ord").alias("_f")).join(offered.select("site"), "site", "left_anti")
+    return offered.unionByName(first.select("site", "_f.type", "_f.ref", F.lit("Menu").alias("label")))
+
+
 def match_verified(old: DataFrame, new: DataFrame) -> DataFrame:
     """old: restaurant_id, old_id, name, section; new: restaurant_id, id, name, section, ord. Each old dish's new id, or null.
 

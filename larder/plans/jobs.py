@@ -47,6 +47,22 @@ add("join_lang_sibling", lambda s, d: X.prefer_english(load(s, d, "candidates"))
 add("join_lang_primary", lambda s, d: X.drop_primary_variants(load(s, d, "candidates"), load(s, d, "candidates").selectExpr("site", "concat('https://site.ie/fr/menu', site % 6) as url").distinct()).select("ord", "type"), ["candidates"], "SELECT ord, type FROM candidates WHERE type <> 'subpage' OR NOT regexp_matches(ref, '/(en|nl|de)/menu') OR NOT ends_with(ref, 'menu' || cast(site % 6 AS varchar))")
 add("join_exclude_pdfs", lambda s, d: X.exclude_candidate_pdfs(load(s, d, "candidates").filter("type <> 'pdf'").select("site", "ref", "ord"), load(s, d, "candidates")).select("ord"), ["candidates"], "SELECT ord FROM candidates c WHERE type <> 'pdf' AND NOT EXISTS (SELECT 1 FROM candidates p WHERE p.type = 'pdf' AND p.site = c.site AND p.ref = c.ref)")
 add("win_format_pref", lambda s, d: X.pick_formats(load(s, d, "candidates")).select("site", "grp", "ord"), ["candidates"], "SELECT site, grp, ord FROM (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY site, grp ORDER BY CASE type WHEN 'pdf' THEN 0 WHEN 'subpage' THEN 1 ELSE 3 END, ord) = 1) QUALIFY row_number() OVER (PARTITION BY site ORDER BY ord) <= 6")
+
+
+def _discovered(s, d):
+    rows = load(s, d, "candidates")
+    k = rows.filter("not endswith(ref, '0')").selectExpr("site", "type", "ref", "cast(right(ref, 1) as int) as k").distinct()
+    verdicts = k.selectExpr("site", "type", "ref", "case k when 2 then 'Dinner' else 'Lunch' end as label", "k <> 2 as distinct_menu", "k = 5 as drink_only", "case when k in (3, 4) then 'a' else 'b' end as grp")
+    primary = rows.selectExpr("site", "concat('https://site.ie/fr/menu', site % 6) as url").distinct()
+    return X.discover_candidates(rows, verdicts, primary, rows.filter("type = 'image'").selectExpr("site + 5 as site", "type", "ref", "ord"))
+
+
+add("job_discover_candidates", _discovered, ["candidates"], """WITH r AS (SELECT * FROM candidates WHERE type <> 'subpage' OR NOT regexp_matches(ref, '/(en|nl|de)/menu') OR NOT ends_with(ref, 'menu' || cast(site % 6 AS varchar))),
+d AS (SELECT *, cast(right(ref, 1) AS int) AS k FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY site, type, ref ORDER BY validated DESC, ord) = 1) WHERE hint = 'menu'),
+j AS (SELECT *, CASE k WHEN 0 THEN hint WHEN 2 THEN 'Dinner' ELSE 'Lunch' END AS name, CASE WHEN k = 0 THEN type || ref WHEN k IN (3, 4) THEN 'a' ELSE 'b' END AS g FROM d WHERE k <> 5 AND (k <> 2 OR validated)),
+p AS (SELECT *, row_number() OVER (PARTITION BY site, name ORDER BY ord) AS n FROM (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY site, g ORDER BY CASE type WHEN 'pdf' THEN 0 WHEN 'subpage' THEN 1 ELSE 3 END, ord) = 1) QUALIFY row_number() OVER (PARTITION BY site ORDER BY ord) <= 6)
+SELECT site, type, ref, CASE WHEN n = 1 THEN name ELSE name || ' ' || n END AS label FROM p
+UNION ALL SELECT site + 5, 'image', arg_min(ref, ord), 'Menu' FROM candidates WHERE type = 'image' AND site + 5 NOT IN (SELECT site FROM p) GROUP BY 1""")
 OLD = "(SELECT id, restaurant_id, lower(trim(name)) AS k, CASE WHEN origin = 'admin' THEN 'Drinks' ELSE 'Food' END AS section FROM dishes WHERE human_verified)"
 HIT = f"(SELECT o.id AS old_id, arg_min(n.id, (CASE WHEN n.section = o.section THEN 0 ELSE 1 END, n.ord)) AS new_id FROM {OLD} o LEFT JOIN extracted n ON n.restaurant_id = o.restaurant_id AND lower(trim(n.name)) = o.k GROUP BY o.id)"
 add("join_verified", lambda s, d: X.match_verified(_old(s, d).filter("human_verified"), load(s, d, "extracted")), ["extracted"], f"SELECT * FROM {HIT}")

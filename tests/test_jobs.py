@@ -124,3 +124,22 @@ def test_partitions_do_not_matter(spark, sf_dir):
     d, s = load(spark, sf_dir, "dishes"), load(spark, sf_dir, "menu_sections")
     once = O.guide_insights(d.coalesce(1), s.coalesce(1)).drop("highlights").collect()
     assert sorted(map(str, once)) == sorted(map(str, O.guide_insights(d.repartition(7), s.repartition(3)).drop("highlights").collect()))
+
+
+def test_discover_candidates(spark):
+    at = "https://x.nl"
+    rows = spark.createDataFrame(
+        [
+            (1, "text", "", "Main Menu", None, 1), (1, "pdf", f"{at}/a1.pdf", "Lunch", False, 2), (1, "pdf", f"{at}/a1.pdf", "Lunch", True, 3),
+            (1, "subpage", f"{at}/nl/menu", "Menukaart", False, 4), (1, "subpage", f"{at}/eng/menu", "Menu", False, 5), (1, "pdf", f"{at}/wine-list.pdf", None, False, 6),
+            (1, "subpage", f"{at}/de/karte", "Karte", True, 7), (1, "subpage", f"{at}/news", "News", False, 8), (1, "pdf", f"{at}/b2.pdf", "Lunch", False, 9), (2, "pdf", f"{at}/kids-menu.pdf", "Kids menu", True, 1),
+        ],
+        "site int, type string, ref string, hint string, validated boolean, ord int",
+    )
+    verdicts = spark.createDataFrame([(1, "subpage", f"{at}/news", "News", False, False, "n"), (1, "text", "", "", True, False, "m"), (1, "subpage", f"{at}/eng/menu", "Menu", False, False, "m")], "site int, type string, ref string, label string, distinct_menu boolean, drink_only boolean, grp string")
+    primary = spark.createDataFrame([(1, f"{at}/en/karte")], "site int, url string")
+    fallback = spark.createDataFrame([(1, "image", f"{at}/1.png", 1), (2, "image", f"{at}/3.png", 2), (2, "image", f"{at}/2.png", 1)], "site int, type string, ref string, ord int")
+    found = X.discover_candidates(rows, verdicts, primary, fallback)
+    # a1 once; the English sibling stands for the text of its group; no wine list, variant of the page in use, or page told not to be a menu
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "pdf", f"{at}/a1.pdf", "Lunch"), (1, "pdf", f"{at}/b2.pdf", "Lunch 2"), (1, "subpage", f"{at}/eng/menu", "Menu"), (2, "image", f"{at}/2.png", "Menu")]
+    assert X.discover_candidates(rows.limit(0), verdicts, primary, fallback.limit(0)).count() == 0
