@@ -135,6 +135,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[*WHITE_SPACE.encode()]] = True
 _BASE = int(_odd(1)[0])
 _PLACE = _odd(64)
+_CASED = _odd(256)
 _POWERS = np.ones(1, np.uint64)
 
 
@@ -153,8 +154,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each run of other than ASCII white space, A-Z taken as a-z, in order."""
+def word_hashes(text: str, cased: bool = False) -> np.ndarray:
+    """A 64-bit hash of each run of other than ASCII white space, in order; A-Z are taken as a-z unless cased."""
     data = np.frombuffer(text.encode(), np.uint8)
     inside = ~_SPACE[data]
     edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
@@ -164,7 +165,7 @@ def word_hashes(text: str) -> np.ndarray:
     lengths = ends - starts
     heads = np.cumsum(lengths) - lengths
     within = np.arange(int(lengths.sum())) - np.repeat(heads, lengths)
-    values = _BYTE[data[inside]] * _powers(int(lengths.max()))[within]
+    values = (_CASED if cased else _BYTE)[data[inside]] * _powers(int(lengths.max()))[within]
     return mixed(np.add.reduceat(values, heads) + lengths.astype(np.uint64))
 
 

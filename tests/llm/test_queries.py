@@ -16,7 +16,7 @@ pytest.importorskip("public_tokenizers")
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_against_duckdb(name, spark, sf_dir):
     c = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "labels"):
         c.sql(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     df = catalog.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
@@ -28,7 +28,7 @@ def test_against_duckdb(name, spark, sf_dir):
 def test_entry_lists_everything():
     import __spark_entry__ as entry
 
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in entry.queries() if k[:2] == "op"} and "pipeline" in entry.queries()
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in entry.queries() if k[:2] == "op"} and "pipeline" in entry.queries()
 
 
 def test_pipeline(spark, sf_dir):
