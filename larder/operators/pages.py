@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from larder.functions.text import text_is_english
 from larder.functions.urls import raw_host, url_homepage_score, url_is_ordering_host, url_is_pdf, url_is_restaurant_site, url_path, url_path_english, url_same_page_key, url_same_site, url_segments
 
+from .locations import page_locations  # noqa: F401
+
 # Words of menu links, images and navigation.
 LINK_WORDS = ["menu", "food", "eat", "dishes", "cuisine", "carte", "speisekarte", "kaart", "menukaart", "order", "lunch", "dinner", "brunch", "breakfast", "tasting", "specials", "sharing", "sunday", "à la carte", "a la carte", "a-la-carte", "set menu", "set-menu", "early bird", "early-bird", "pre-theatre", "pre theatre", "neighbourhood"]
 IMAGE_WORDS = ["menu", "food", "carte", "speise", "dish", "notions"]
@@ -188,18 +190,3 @@ def first_labels(links: DataFrame) -> DataFrame:
     """(page_id, url, label): the first text of at most 60 characters of each linked url."""
     rows = links.filter((F.col("kind") == "a") & F.length("text").between(1, 60))
     return rows.groupBy("page_id", "url").agg(F.min_by("text", "ord").alias("label"))
-
-
-def page_locations(pages: DataFrame) -> DataFrame:
-    """(page_id, source, address): addresses of structured data and of <address> elements."""
-    text = F.col("html")
-    ld = F.explode(F.regexp_extract_all(text, F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), 1)).alias("json")
-    part = "struct<streetAddress:string,addressLocality:string,addressRegion:string,postalCode:string,addressCountry:string>"
-    kind = "(?i)restaurant|foodestablishment|localbusiness|cafeorcoffeeshop|barorpub"
-    item = lambda c: F.from_json(c, f"struct<`@type`:string,address:{part}>")
-    nodes = pages.select("page_id", ld).select("page_id", F.explode(F.concat(F.array("json"), F.coalesce(F.from_json(F.get_json_object("json", "$.@graph"), "array<string>"), F.array().cast("array<string>")))).alias("node")).select("page_id", item(F.col("node")).alias("n")).filter(F.col("n.@type").rlike(kind))
-    fields = [F.nullif(F.trim(F.regexp_replace(F.col(f"n.address.{x}"), r"\s+", " ")), F.lit("")) for x in ("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry")]
-    a = nodes.select("page_id", F.lit("website_jsonld").alias("source"), F.concat_ws(", ", *fields).alias("address")).filter("address <> ''")
-    element = F.explode(F.regexp_extract_all(text, F.lit("(?is)<address[^>]*>(.*?)</address>"), 1)).alias("raw")
-    b = pages.select("page_id", element).select("page_id", F.lit("website_address_element").alias("source"), F.trim(F.regexp_replace(F.regexp_replace("raw", "<[^>]*>", " "), r"\s+", " ")).alias("address")).filter(F.length("address").between(8, 300))
-    return a.unionByName(b)

@@ -131,6 +131,7 @@ def _timed(df: DataFrame) -> DataFrame:
 def _over(spark: SparkSession, name: str, read) -> DataFrame:
     text = with_tables([name], f"SELECT * FROM {name}")
     used = {b: _timed(read(b)) for b in BASE if re.search(rf"\b(FROM|JOIN) {b}\b", text)}
+    text = text.replace("{", "{{").replace("}", "}}")  # braces name tables
     for b in used:
         text = re.sub(rf"\b(FROM|JOIN) {b}\b", rf"\1 {{{b}}}", text)
     return spark.sql(text, **used)

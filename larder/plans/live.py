@@ -10,6 +10,7 @@ from larder.operators import telemetry as T
 from larder.sources import tables as S
 from larder.streaming import streams as R
 
+from . import fixtures
 from .fixtures import load, load_stream, with_tables
 
 QUERIES: dict = {}
@@ -45,6 +46,26 @@ add("page_homepage_url", lambda s, d: P.homepage_urls(_pages(s, d)))
 add("top_homepage_url", lambda s, d: P.homepage_urls(_pages(s, d).withColumn("html", F.concat("html", F.lit('"https://own.ie/a/b" "https://own.ie"')))), (), "SELECT page_id, 'https://own.ie' AS homepage FROM pages")
 add("page_external_site", lambda s, d: P.external_sites(_links(s, d)))
 add("page_locations", lambda s, d: P.page_locations(_pages(s, d)))
+# the given pages publish no addresses, so each gets one of seven kinds of contact block
+fixtures.TABLES["located_pages"] = """
+SELECT page_id, url, html || CASE page_id % 7
+  WHEN 0 THEN '<footer><p>' || cast(page_id AS varchar(20)) || ' Main Street<br>Dublin 2 D02 X2Y3<br>Phone: 01 234 5678</p></footer>'
+  WHEN 1 THEN '<div class="contact"><p>hello@place.ie ' || cast(page_id AS varchar(20)) || ' Quai Vert Lyon</p></div>'
+  WHEN 2 THEN '<script type="application/ld+json">{"@graph":[{"@type":["Thing","Restaurant"],"name":" The  Place ","address":{"streetAddress":"' || cast(page_id AS varchar(20)) || ' Harbour Road","addressLocality":"Dublin"},"geo":{"latitude":"53.5","longitude":-6.25}}]}</script><address>' || cast(page_id AS varchar(20)) || ' Harbour Road<br>Dublin, Ireland</address>'
+  WHEN 3 THEN '<a href="https://www.google.com/maps?q=' || cast(page_id AS varchar(20)) || '+Fade+Street%2C+Dublin+2">map</a>'
+  WHEN 4 THEN '<iframe src="https://www.google.com/maps/@53.25,-6.5,17z"></iframe><a href="https://maps.app.goo.gl/x?q=1.5,200">bad</a>'
+  WHEN 5 THEN '<p>From 2016 to 2019 we cooked on a corner of Dublin, ' || cast(page_id AS varchar(20)) || ' days a year</p><p>Room 5 Hidden Lane</p>'
+  ELSE '<ul><li id="our-address">' || cast(page_id AS varchar(20)) || ' Ranelagh, Dublin 6<li>Address: 1' || cast(page_id AS varchar(20)) || ' Keizersgracht, 1015 CJ Amsterdam <a href="https://www.google.com/maps/place/x/@52.25,4.75">pin</a></ul>' END AS html
+FROM pages"""
+add("page_locations_given", lambda s, d: P.page_locations(load(s, d, "located_pages")), ["located_pages"], """
+WITH f AS (SELECT page_id, page_id % 7 AS k FROM located_pages)
+SELECT page_id, 'website_address_element' AS source, page_id || ' Main Street Dublin 2 D02 X2Y3' AS address, NULL AS label, CAST(NULL AS double) AS latitude, CAST(NULL AS double) AS longitude, 'medium' AS confidence FROM f WHERE k = 0
+UNION ALL SELECT page_id, 'website_address_element', page_id || ' Quai Vert Lyon', NULL, NULL, NULL, 'medium' FROM f WHERE k = 1
+UNION ALL SELECT page_id, 'website_address_element', page_id || ' Harbour Road Dublin, Ireland', 'The Place', 53.5, -6.25, 'high' FROM f WHERE k = 2
+UNION ALL SELECT page_id, 'website_map_link', page_id || ' Fade Street, Dublin 2', NULL, NULL, NULL, 'medium' FROM f WHERE k = 3
+UNION ALL SELECT page_id, 'website_map_link', '', NULL, 53.25, -6.5, 'low' FROM f WHERE k = 4
+UNION ALL SELECT page_id, 'website_address_element', page_id || ' Ranelagh, Dublin 6', NULL, NULL, NULL, 'medium' FROM f WHERE k = 6
+UNION ALL SELECT page_id, 'website_address_element', '1' || page_id || ' Keizersgracht, 1015 CJ Amsterdam', NULL, NULL, NULL, 'medium' FROM f WHERE k = 6""")
 add("page_contact_links", lambda s, d: P.contact_links(_links(s, d)))
 add("win_first_label", lambda s, d: P.first_labels(_links(s, d)))
 add("win_link_topk", lambda s, d: P.nav_links(_links(s, d), 3))
