@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from larder.functions.misc import attempt_outcome, error_code
 from larder.functions.urls import url_domain
 
+from .funnels import funnel  # noqa: F401
+
 
 def build_attempts(raw: DataFrame) -> DataFrame:
     """Attempts with domain, error_code and outcome."""
@@ -65,23 +67,6 @@ def histogram(events: DataFrame, prop: str, bins: int) -> DataFrame:
     return values.crossJoin(F.broadcast(ends)).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def funnel(events: DataFrame, steps: list[Column], hours: int = 24) -> DataFrame:
-    """(step, users): users who did the steps in order, each within so many hours of the first. One pass by user."""
-    which = F.coalesce(*(F.when(s, i) for i, s in enumerate(steps)))
-    rows = events.filter("not internal").withColumn("step", which).filter("step is not null")
-    seen = F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), F.col("step").alias("s"))))
-    by_user = rows.groupBy("user_id").agg(seen.alias("seen"))
-    limit = hours * 3_600_000_000
-    start = F.struct(F.lit(0).alias("done"), F.lit(0).cast("bigint").alias("since"))
-
-    def walk(acc: Column, e: Column) -> Column:
-        hit = (e["s"] == acc["done"]) & ((acc["done"] == 0) | (e["t"] - acc["since"] <= limit))
-        return F.struct(F.when(hit, acc["done"] + 1).otherwise(acc["done"]).alias("done"), F.when(hit & (acc["done"] == 0), e["t"]).otherwise(acc["since"]).alias("since"))
-
-    done = by_user.select(F.aggregate("seen", start, walk, lambda a: a["done"]).alias("done"))
-    return done.select(F.explode(F.sequence(F.lit(1), F.lit(len(steps)))).alias("step"), "done").groupBy("step").agg(F.count_if(F.col("done") >= F.col("step")).alias("users"))
-
-
 def retention(events: DataFrame, event: str, weeks: int = 9) -> DataFrame:
     """(cohort, offset, users): people by the week of their first event, and in which later weeks they came again."""
     week = F.date_trunc("week", "ts").cast("date")

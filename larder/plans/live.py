@@ -8,6 +8,8 @@ from larder.operators import evaluation as E
 from larder.operators import pages as P
 from larder.operators import telemetry as T
 from larder.sources import tables as S
+from larder.sources.scratch import scratch
+from larder.streaming import limits as M
 from larder.streaming import streams as R
 
 from . import fixtures
@@ -82,6 +84,33 @@ add("st_sessions", lambda s, d: R.replay(R.sessions(load_stream(s, d, "product_e
   SELECT *, sum(CASE WHEN ts - prev < interval '30' minute THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, id) AS g FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, id) AS prev FROM product_events)) GROUP BY user_id, g""")
 add("st_search_join", lambda s, d: R.replay(R.search_join(load_stream(s, d, "attempts").filter("stage = 'discover'"), load_stream(s, d, "attempts").filter("stage = 'analyze'"))).filter("analyze_id is not null"), A, "SELECT d.id AS discover_id, a.id AS analyze_id FROM attempts d JOIN attempts a ON a.stage = 'analyze' AND d.stage = 'discover' AND a.anon_id = d.anon_id AND a.url = d.url AND a.created_at >= d.created_at AND a.created_at <= d.created_at + interval '1' hour")
 add("st_dedupe_events", lambda s, d: R.replay(R.distinct_views(load_stream(s, d, "product_events"))).select("user_id", "domain", "event"))
-add("st_rate_limit", lambda s, d: R.replay(R.rate_limit(load_stream(s, d, "reports"), most=2, span=86_400)))
+add("st_rate_limit", lambda s, d: M.rate_limit(load_stream(s, d, "reports"), most=2, span=86_400))
 add("rate_limit_batch", lambda s, d: R.rate_limit_batch(load(s, d, "reports"), most=2, span=86_400))
-add("st_vote_ingest", lambda s, d: R.replay(R.vote_ingest(load_stream(s, d, "reports").selectExpr("id", "dish_id as email", "issue_type as city", "cast(null as string) as country", "ip_hash", "created_at"), load(s, d, "reports").filter("restaurant_id = 3").selectExpr("dish_id as email", "issue_type as city", "cast(null as string) as country"))))
+VOTE = ["id", "dish_id as email", "issue_type as city", "cast(null as string) as country", "ip_hash", "created_at"]
+
+
+def _votes(s, d):
+    taken = load(s, d, "reports").filter("restaurant_id = 3").selectExpr(*VOTE)
+    return M.vote_ingest(load_stream(s, d, "reports").selectExpr(*VOTE), scratch(s, "votes"), taken=taken, most=2)
+
+
+add("st_vote_ingest", lambda s, d: _votes(s, d)[1])
+# votes for cities of the list, for others, without a region, from addresses that are no hashes; some twice, from two addresses
+fixtures.TABLES["vote_cities"] = """
+SELECT 'Town ' || cast(n_nationkey AS varchar(20)) AS city, 'country' || cast(n_nationkey AS varchar(20)) AS country, 'region' || cast(n_nationkey % 4 AS varchar(20)) AS region FROM nation"""
+fixtures.TABLES["sent_votes"] = """
+SELECT cast(event_id AS bigint) AS id, ' Voter' || cast(user_id % 300 AS varchar(20)) || '@mail.ie ' AS email, CASE WHEN event_id % 9 = 0 THEN 'Some Place' ELSE ' town  ' || cast(event_id % 25 AS varchar(20)) END AS city,
+  'country' || cast(event_id % 25 AS varchar(20)) AS country, CASE WHEN event_id % 11 <> 0 THEN 'region' || cast(event_id % 25 % 4 AS varchar(20)) END AS region, event_id % 9 = 0 AS is_custom,
+  CASE WHEN event_id % 13 = 0 THEN 'plain' ELSE lpad(cast(event_id % 50 AS varchar(20)), 16, 'a') END AS ip_hash, ts AS created_at
+FROM events WHERE event_id % 3 = 0"""
+
+
+def _checked(s, d):
+    told = M.vote_ingest(load_stream(s, d, "sent_votes"), scratch(s, "votes"), cities=load(s, d, "vote_cities"), most=1_000_000)
+    return told[1]
+
+
+add("st_vote_ingest_checked", _checked, ["sent_votes", "vote_cities"], """
+SELECT id, CASE WHEN error IS NOT NULL THEN 'invalid: ' || error WHEN row_number() OVER (PARTITION BY error, email, city, place ORDER BY sec, id) = 1 THEN 'accepted' ELSE 'repeat' END AS verdict
+FROM (SELECT v.id, email, city, floor(epoch(created_at)) AS sec, CASE WHEN NOT is_custom THEN country END AS place,
+  CASE WHEN region IS NULL THEN CASE WHEN is_custom THEN 'region' ELSE 'not listed' END WHEN NOT regexp_full_match(ip_hash, '[0-9a-f]{16}') THEN 'ip_hash' END AS error FROM sent_votes v)""")

@@ -62,6 +62,17 @@ b AS (SELECT a.user_id, min(e.ts) AS t FROM a JOIN product_events e ON e.user_id
 c AS (SELECT b.user_id, min(e.ts) AS t FROM b JOIN product_events e ON e.user_id = b.user_id AND e.ts > b.t AND NOT internal AND event = 'results_engaged' GROUP BY 1),
 f AS (SELECT c.user_id, min(e.ts) AS t FROM c JOIN product_events e ON e.user_id = c.user_id AND e.ts > c.t AND NOT internal AND event = 'share_clicked' GROUP BY 1)
 SELECT 1 AS step, count(*) AS users FROM a UNION ALL SELECT 2, count(*) FROM b UNION ALL SELECT 3, count(*) FROM c UNION ALL SELECT 4, count(*) FROM f""")
+# within a day of its start; whoever starts again has another chance
+add("agg_funnel_day", lambda s, d: T.funnel(load(s, d, "product_events"), [F.expr(x) for x in STEPS], 24), E, """
+WITH e AS (SELECT user_id, epoch_us(ts) AS t, CASE event WHEN 'search_submitted' THEN 0 WHEN 'results_viewed' THEN 1 WHEN 'results_engaged' THEN 2 WHEN 'share_clicked' THEN 3 END AS s FROM product_events WHERE NOT internal),
+a AS (SELECT *, max(CASE WHEN s = 0 THEN t END) OVER (PARTITION BY user_id ORDER BY t, s ROWS UNBOUNDED PRECEDING) AS l FROM e WHERE s IS NOT NULL),
+b AS (SELECT user_id, t, s, CASE WHEN s = 1 AND t - l <= 86400000000 THEN l END AS r FROM a),
+c AS (SELECT *, max(r) OVER (PARTITION BY user_id ORDER BY t, s ROWS UNBOUNDED PRECEDING) AS l FROM b),
+d AS (SELECT user_id, t, s, CASE WHEN s = 2 AND t - l <= 86400000000 THEN l END AS r FROM c),
+f AS (SELECT *, max(r) OVER (PARTITION BY user_id ORDER BY t, s ROWS UNBOUNDED PRECEDING) AS l FROM d),
+g AS (SELECT user_id, CASE WHEN s = 3 AND t - l <= 86400000000 THEN l END AS r FROM f)
+SELECT 1 AS step, count(DISTINCT user_id) AS users FROM e WHERE s = 0 UNION ALL SELECT 2, count(DISTINCT user_id) FROM b WHERE r IS NOT NULL
+UNION ALL SELECT 3, count(DISTINCT user_id) FROM d WHERE r IS NOT NULL UNION ALL SELECT 4, count(DISTINCT user_id) FROM g WHERE r IS NOT NULL""")
 add("agg_retention", lambda s, d: T.retention(load(s, d, "product_events"), "search_submitted"), E, "SELECT cohort, cast(date_diff('day', cohort, week) // 7 AS int) AS offset, count(*) AS users FROM (SELECT user_id, week, min(week) OVER (PARTITION BY user_id) AS cohort FROM (SELECT DISTINCT user_id, cast(date_trunc('week', ts) AS date) AS week FROM product_events WHERE NOT internal AND event = 'search_submitted')) GROUP BY 1, 2")
 add("agg_domain_success", lambda s, d: T.domain_outcomes(load(s, d, "product_events")), E, "SELECT domain, count(*) FILTER (event = 'search_submitted') AS searches, count(*) FILTER (event = 'results_viewed' AND outcome = 'menu') AS successes, count(*) FILTER (event = 'error_shown') AS failures FROM product_events GROUP BY 1")
 add("agg_by_code", lambda s, d: T.error_breakdown(load(s, d, "product_events")), E, "SELECT code, surface, count(*) AS n FROM product_events WHERE event = 'error_shown' GROUP BY 1, 2")

@@ -8,7 +8,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larder.sources.scratch import scratch
 
@@ -83,30 +82,9 @@ def accepted(times: list[int], held: list[int], most: int, span: int) -> tuple[l
     return verdicts, held
 
 
-def rate_limit(events: DataFrame, key: str = "ip_hash", most: int = 15, span: int = 3600) -> DataFrame:
-    """events: key, id, created_at. Adds allowed: fewer than `most` accepted ones of the key in the last `span` seconds.
-
-    State: the times accepted last, at most `most` a key; only accepted ones count. It goes when the watermark has passed them.
-    Rows are judged as they come: within a micro-batch by time, a late one after those of the batches before.
-    """
-
-    def run(k, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])  # one key's rows of one micro-batch, bounded by its trigger
-        held = list(state.get[0]) if state.exists else []
-        verdicts, held = accepted(rows["at"].tolist(), held, most, span)
-        state.update((held,))
-        state.setTimeoutTimestamp(max((held[-1] + span) * 1000, state.getCurrentWatermarkMs() + 1000))
-        yield pd.DataFrame({"id": rows["id"], key: k[0], "allowed": verdicts})
-
-    rows = events.withWatermark("created_at", LATE).select(key, "id", "created_at", F.unix_seconds("created_at").alias("at"))
-    return rows.groupBy(key).applyInPandasWithState(run, f"id bigint, {key} string, allowed boolean", "held array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def rate_limit_batch(events: DataFrame, key: str = "ip_hash", most: int = 15, span: int = 3600) -> DataFrame:
-    """The same over a table: each key's rows in order of time, walked one by one with its last accepted times in hand."""
+    """events: key, id, created_at. Adds allowed: fewer than `most` accepted ones of the key in the last `span` seconds. Each key's
+    rows are walked in order of time, one by one, with its last accepted times in hand."""
 
     def run(frames):
         now, held = None, []
@@ -121,14 +99,3 @@ def rate_limit_batch(events: DataFrame, key: str = "ip_hash", most: int = 15, sp
 
     rows = events.select(key, "id", F.unix_seconds("created_at").alias("at"))
     return rows.repartition(key).sortWithinPartitions(key, "at", "id").mapInPandas(run, f"id bigint, {key} string, allowed boolean")
-
-
-def vote_ingest(votes: DataFrame, taken: DataFrame, most: int = 10) -> DataFrame:
-    """votes: id, email, city, country, ip_hash, created_at; taken: earlier accepted votes, a table. Repeats are dropped for
-    free, against the table and within the stream, which holds every vote's key without end; of the others an address may
-    cast so many a day."""
-    key = ["email", "city", "country"]
-    named = votes.withColumns({c: F.lower(F.coalesce(c, F.lit(""))) for c in key})
-    old = taken.select(*(F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in key)).distinct()
-    fresh = named.join(old, key, "left_anti").dropDuplicates(key)
-    return rate_limit(fresh, "ip_hash", most, 86_400)
