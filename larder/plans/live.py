@@ -75,14 +75,15 @@ add("win_link_topk", lambda s, d: P.nav_links(_links(s, d), 3))
 A, E2 = ["attempts"], ["product_events"]
 OUT = "CASE WHEN NOT success THEN 'error' WHEN dish_count IS NULL THEN NULL WHEN dish_count < 7 THEN 'thin' ELSE 'menu' END"
 CODE = "CASE error_message WHEN 'Request timed out' THEN 'timeout' WHEN 'Could not find a menu' THEN 'no_menu_readable' WHEN 'HTTP 429 too many requests' THEN 'rate_limited' WHEN 'fetch failed: ECONNREFUSED' THEN 'network' WHEN 'odd failure' THEN 'unknown' END"
-add("st_attempts", lambda s, d: R.replay(R.attempts_by_hour(T.build_attempts(load_stream(s, d, "attempts"))), "complete"), A, f"SELECT date_trunc('hour', created_at)::timestamp AS hour, {OUT} AS outcome, {CODE} AS error_code, count(*) AS n FROM attempts GROUP BY 1, 2, 3")
-add("st_success_ratio", lambda s, d: R.replay(R.success_ratio(load_stream(s, d, "product_events")), "complete"), E2, "SELECT start, count(*) FILTER (event = 'results_viewed' AND outcome = 'menu') AS ok, count(*) FILTER (event = 'search_submitted') AS searches, count(*) FILTER (event = 'results_viewed' AND outcome = 'menu') / nullif(count(*) FILTER (event = 'search_submitted'), 0) AS ratio, coalesce(count(*) FILTER (event = 'results_viewed' AND outcome = 'menu') / nullif(count(*) FILTER (event = 'search_submitted'), 0) < 0.6, false) AS low FROM (SELECT *, (date_trunc('hour', ts)::timestamp - k * interval '1' hour) AS start FROM product_events, (SELECT unnest(range(24)) AS k)) GROUP BY 1")
-add("st_thin_share", lambda s, d: R.replay(R.thin_share(load_stream(s, d, "product_events")), "complete"), E2, "SELECT date_trunc('hour', ts)::timestamp AS hour, count(*) FILTER (outcome = 'thin') AS thin, count(*) AS n FROM product_events WHERE event = 'results_viewed' GROUP BY 1")
-add("st_spend", lambda s, d: R.replay(R.spend_by_hour(load_stream(s, d, "usage_log")), "complete").withColumn("cost", F.col("cost").cast("double")), ["usage_log"], "SELECT date_trunc('day', created_at)::timestamp AS day, source, cast(sum(cost_usd) AS double) AS cost, count(*) FILTER (restaurant_id IS NULL AND url IS NULL) AS unattributed FROM usage_log GROUP BY 1, 2")
+add("st_attempts", lambda s, d: R.replay_closed(lambda x: R.attempts_by_hour(T.build_attempts(x)), (load_stream(s, d, "attempts"), "created_at")), A, f"SELECT date_trunc('hour', created_at)::timestamp AS hour, {OUT} AS outcome, {CODE} AS error_code, count(*) AS n FROM attempts GROUP BY 1, 2, 3")
+add("st_success_ratio", lambda s, d: R.replay_closed(R.success_ratio, (load_stream(s, d, "product_events"), "ts")), E2, "SELECT start, count(*) FILTER (event = 'results_viewed' AND outcome = 'menu') AS ok, count(*) FILTER (event = 'search_submitted') AS searches, count(*) FILTER (event = 'results_viewed' AND outcome = 'menu') / nullif(count(*) FILTER (event = 'search_submitted'), 0) AS ratio, coalesce(count(*) FILTER (event = 'results_viewed' AND outcome = 'menu') / nullif(count(*) FILTER (event = 'search_submitted'), 0) < 0.6, false) AS low FROM (SELECT *, (date_trunc('hour', ts)::timestamp - k * interval '1' hour) AS start FROM product_events, (SELECT unnest(range(24)) AS k)) GROUP BY 1")
+add("st_thin_share", lambda s, d: R.replay_closed(R.thin_share, (load_stream(s, d, "product_events"), "ts", {"event": "results_viewed"})), E2, "SELECT date_trunc('hour', ts)::timestamp AS hour, count(*) FILTER (outcome = 'thin') AS thin, count(*) AS n FROM product_events WHERE event = 'results_viewed' GROUP BY 1")
+add("st_spend", lambda s, d: R.replay_closed(R.spend_by_hour, (load_stream(s, d, "usage_log"), "created_at")).withColumn("cost", F.col("cost").cast("double")), ["usage_log"], "SELECT date_trunc('day', created_at)::timestamp AS day, source, cast(sum(cost_usd) AS double) AS cost, count(*) FILTER (restaurant_id IS NULL AND url IS NULL) AS unattributed FROM usage_log GROUP BY 1, 2")
 add("st_report_flag", lambda s, d: R.replay(R.report_flags(load_stream(s, d, "reports")), "complete"), ["reports"], "SELECT dish_id, count(*) AS reports, count(*) >= 3 AS flagged FROM reports GROUP BY 1")
-add("st_sessions", lambda s, d: R.replay(R.sessions(load_stream(s, d, "product_events")), "complete"), E2, """SELECT user_id, min(ts) AS start, count(*) AS n, count(*) FILTER (event = 'search_submitted') > 0 AND count(*) FILTER (event IN ('results_viewed', 'error_shown')) = 0 AS abandoned FROM (
+add("st_sessions", lambda s, d: R.replay_closed(R.sessions, (load_stream(s, d, "product_events"), "ts")), E2, """SELECT user_id, min(ts) AS start, count(*) AS n, count(*) FILTER (event = 'search_submitted') > 0 AND count(*) FILTER (event IN ('results_viewed', 'error_shown')) = 0 AS abandoned FROM (
   SELECT *, sum(CASE WHEN ts - prev < interval '30' minute THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, id) AS g FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, id) AS prev FROM product_events)) GROUP BY user_id, g""")
-add("st_search_join", lambda s, d: R.replay(R.search_join(load_stream(s, d, "attempts").filter("stage = 'discover'"), load_stream(s, d, "attempts").filter("stage = 'analyze'"))).filter("analyze_id is not null"), A, "SELECT d.id AS discover_id, a.id AS analyze_id FROM attempts d JOIN attempts a ON a.stage = 'analyze' AND d.stage = 'discover' AND a.anon_id = d.anon_id AND a.url = d.url AND a.created_at >= d.created_at AND a.created_at <= d.created_at + interval '1' hour")
+_stage = lambda s, d, stage: load_stream(s, d, "attempts").filter(F.col("stage") == stage)
+add("st_search_join", lambda s, d: R.replay_closed(R.search_join, (_stage(s, d, "discover"), "created_at"), (_stage(s, d, "analyze"), "created_at", R.NO_MATCH)), A, "SELECT d.id AS discover_id, a.id AS analyze_id FROM (SELECT * FROM attempts WHERE stage = 'discover') d LEFT JOIN attempts a ON a.stage = 'analyze' AND a.anon_id = d.anon_id AND a.url = d.url AND a.created_at >= d.created_at AND a.created_at <= d.created_at + interval '1' hour")
 add("st_dedupe_events", lambda s, d: R.replay(R.distinct_views(load_stream(s, d, "product_events"))).select("user_id", "domain", "event"))
 add("st_rate_limit", lambda s, d: M.rate_limit(load_stream(s, d, "reports"), most=2, span=86_400))
 add("rate_limit_batch", lambda s, d: R.rate_limit_batch(load(s, d, "reports"), most=2, span=86_400))

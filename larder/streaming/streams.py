@@ -18,13 +18,71 @@ def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and gives its result: all rows of append or update, the last state of complete."""
     spark = stream.sparkSession
     out = scratch(spark, "stream")
+    _run(stream, out, scratch(spark, "checkpoint"), mode)
+    read = spark.read.schema(f"{_ddl(stream)}, batch bigint").parquet(out)
+    if mode == "complete":
+        read = read.filter(F.col("batch") == F.lit(read.agg(F.max("batch")).first()[0]))
+    return read.drop("batch")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _run(stream: DataFrame, out: str, checkpoint: str, mode: str) -> None:
+    """What the stream has not given yet goes to out, each batch under its number, so that one done again is there once."""
 
     def keep(df: DataFrame, k: int) -> None:
-        df.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        df.write.mode("overwrite").parquet(f"{out}/batch={k}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+
+
+#: A time behind all others.
+END = "2999-01-01 00:00:00"
+
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).foreachBatch(keep).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+class Replay:
+    """A stream in append mode, delivery by delivery, and closed at its end.
+
+    In append mode a window or an unmatched row comes out only when the watermark has passed it, so the last ones need something
+    behind them. `close` delivers a row far in the future to each source, empty but for its time, and then another: the first
+    moves the watermark, the second lets it act. Neither ever comes out itself.
+    """
+
+    def __init__(self, build, *sources: tuple):
+        """build makes the stream of the sources; each is a stream, its time column and, where build looks at some rows only, the
+        values by which it takes the last row for one of them."""
+        self.spark = sources[0][0].sparkSession
+        self.out, self.checkpoint = scratch(self.spark, "stream"), scratch(self.spark, "checkpoint")
+        self.ends, opened = [], []
+        for stream, at, *like in sources:
+            folder = scratch(self.spark, "end")
+            last = {at: END} | (like[0] if like else {})
+            columns = [F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in stream.schema]
+            self.ends.append((folder, self.spark.range(1).select(*columns)))
+            self.spark.range(0).select(*columns).write.parquet(folder)
+            opened.append(stream.unionByName(self.spark.readStream.schema(stream.schema).parquet(folder)))
+        self.stream = build(*opened)
+
+    def run(self) -> DataFrame:
+        """All rows that have come out so far, after what the sources have by now."""
+        _run(self.stream, self.out, self.checkpoint, "append")
+        return self.spark.read.schema(f"{_ddl(self.stream)}, batch bigint").parquet(self.out).drop("batch")
+
+    def close(self) -> DataFrame:
+        """All rows, those included that waited for the watermark."""
+        self.run()
+        for _ in range(2):
+            for folder, end in self.ends:
+                end.write.mode("append").parquet(folder)
+            rows = self.run()
+        return rows
+
+
+def replay_closed(build, *sources: tuple) -> DataFrame:
+    """The whole result of a stream in append mode over what its sources have."""
+    return Replay(build, *sources).close()
 
 
 def attempts_by_hour(attempts: DataFrame) -> DataFrame:
@@ -66,6 +124,10 @@ def search_join(discover: DataFrame, analyze: DataFrame, within: str = "1 hour")
     return d.join(a, F.expr(f"anon_id = anon and url = u and then >= at and then <= at + interval {within}"), "leftOuter").select("discover_id", "analyze_id")
 
 
+#: For the last row of the analyze attempts: those without a person or url never reach the join, and so move no watermark.
+NO_MATCH = {"anon_id": "", "url": ""}
+
+
 def distinct_views(events: DataFrame) -> DataFrame:
     """One results_viewed a user and result within the watermark."""
     return events.filter("event = 'results_viewed'").withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["user_id", "domain"])
