@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.misc import usage_cost
+from larder.sources.sinks import append_stream
 
 
 def _sum(c: str, digits: int) -> Column:
@@ -114,3 +115,8 @@ def ledger_rows(usage: DataFrame) -> DataFrame:
 
 def append_usage(usage: DataFrame, path: str) -> None:
     ledger_rows(usage).write.mode("append").partitionBy("date").parquet(path)
+
+
+def append_usage_stream(usage: DataFrame, path: str, checkpoint: str, by: str = "day") -> None:
+    """Adds what the stream `usage` has not given yet to a ledger in partitions `part` of a day, week or month, each row once."""
+    append_stream(usage, path, checkpoint, lambda df: ledger_rows(df).withColumn("part", F.to_date(F.date_trunc(by, "created_at"))), "part")

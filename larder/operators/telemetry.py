@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.misc import attempt_outcome, error_code
 from larder.functions.urls import url_domain
+from larder.sources.sinks import append_stream
 
 from .funnels import funnel  # noqa: F401
 
@@ -19,6 +20,11 @@ def build_attempts(raw: DataFrame) -> DataFrame:
     return raw.withColumns({"domain": url_domain(F.col("url")), "error_code": code, "outcome": attempt_outcome(given, F.col("success"), F.col("dish_count"))})
 
 
+def append_attempts_stream(raw: DataFrame, path: str, checkpoint: str) -> None:
+    """Adds the attempts that the stream `raw` has not given yet to a table by date, each row once."""
+    append_stream(raw, path, checkpoint, lambda df: build_attempts(df).withColumn("date", F.to_date("created_at")))
+
+
 def search_sessions(attempts: DataFrame) -> DataFrame:
     """Each analyze attempt with the latest earlier discover attempt of the same person and url. Unknown people stay unpaired."""
     before = W.partitionBy("anon_id", "url").orderBy("created_at", F.when(F.col("stage") == "discover", 0).otherwise(1), "id").rowsBetween(W.unboundedPreceding, -1)

@@ -93,12 +93,12 @@ def csv_cell(c: Column, always: bool = True) -> Column:
 
 def write_csv_quoted(df: DataFrame, path: str) -> None:
     """Every cell quoted."""
-    df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns)).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', emptyValue="")
+    df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns)).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Cells quoted where they must be."""
-    df.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue="")
+    df.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def error_log_lines(corrections: DataFrame) -> DataFrame:
