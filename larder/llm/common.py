@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +78,14 @@ def with_possible(df: DataFrame, key: Column, bits: DataFrame, blocks: int, into
     return df.join(filled, block_of(key, blocks) == F.col("_bloom_block"), "left").withColumn(into, F.coalesce(hit, F.lit(False))).drop("_bloom_block", "_bloom_mask")
 
 
+def free_name(taken: Iterable[str], name: str) -> str:
+    """The name, with as many `_` before it as keep it from being one of those taken, in any case of letters."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -44,13 +44,22 @@ def normalised(text: Column) -> Column:
 
 
 def _addressable(docs: DataFrame, home: str) -> DataFrame:
-    """(file, row, doc): docs where Spark's reader found them. A derived table is first added to what home has of such tables."""
-    where = lambda df: df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.struct(*(F.col(c) for c in docs.columns)).alias("doc"))
-    try:
-        return where(docs)
-    except AnalysisException:
-        docs.write.mode("append").parquet(f"{home}/content")
-        return where(docs.sparkSession.read.schema(docs.schema).parquet(f"{home}/content"))
+    """(file, row, doc): docs where Spark's reader found them. A derived table, in which a row of a file may stand several times or
+    none at all, is first added to what home has of such tables."""
+    spark, doc = docs.sparkSession, F.struct(*(F.col(c) for c in docs.columns)).alias("doc")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    if "_metadata" not in (c.lower() for c in docs.columns):
+        try:
+            found = docs.select(*place, doc)
+        except AnalysisException as e:
+            if not (e.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+                raise
+        else:  # only places are read for this
+            if found.groupBy("file", "row").agg(F.count("*").alias("n")).filter("n > 1 or file is null or row is null").isEmpty():
+                return found
+    content = docs.select(doc)
+    content.write.mode("append").parquet(f"{home}/content")
+    return spark.read.schema(content.schema).parquet(f"{home}/content").select(*place, "doc")
 
 
 def _log(spark: SparkSession, home: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, least_counts, slices, table
+from .common import batched, free_name, least_counts, slices, table
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Longest n-grams; characters of a run of a long word; how many words of evidence all languages together weigh.
@@ -207,7 +207,7 @@ def predictions(docs: DataFrame, model: Languages, *keep: str, into: tuple[str,
             told = [m.predict(t) for t in text.to_pylist()]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64())], names=[*keep, *into])
 
-    return docs.select(*keep, F.col("text").alias("_read")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias(free_name(keep, "read"))).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, slices, table
+from .common import batched, free_name, slices, table
 
 #: Terms that name a group; within a tuple, each is swapped for the next. Fixed values.
 IDENTITY_TERMS = [
@@ -175,7 +175,7 @@ def scores(docs: DataFrame, model: Toxicity, *keep: str, into: str = "score") ->
             *rest, text = batch.columns
             yield pa.RecordBatch.from_arrays([*rest, pa.array([m.score(t) for t in text.to_pylist()], pa.float64())], names=[*keep, into])
 
-    return docs.select(*keep, F.col("text").alias("_read")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias(free_name(keep, "read"))).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:

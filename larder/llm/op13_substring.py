@@ -135,8 +135,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (doc_id, mark, ...) with the texts it names."""
     texts, blocks = _marked(docs), blocks_for(wanted.count())
     if 16 * blocks <= SENT:  # a filter that has to be joined itself spares nothing
-        bits = stored(bloom_blocks(wanted, "mark", blocks), "bits")
-        texts = with_possible(texts, F.col("mark"), bits, blocks, "_possible").filter("_possible").drop("_possible")
+        texts = with_possible(texts, F.col("mark"), bloom_blocks(wanted, "mark", blocks), blocks, "_possible").filter("_possible").drop("_possible")
     named = wanted.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}).hint("shuffle_hash")
     return texts.join(named, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
 
@@ -238,7 +237,7 @@ def kept_words(docs: DataFrame, window: int = 35, text: bool = True) -> DataFram
     in_part = F.col("n_removed").between(1, F.col("n_words") - 1)
     none = F.unhex(F.sha2(F.lit("").cast("binary"), 256))
     rest = spans.filter(~in_part).select("doc_id", "n_words", "n_removed", F.when(F.col("n_removed") == 0, F.col("words_sha")).otherwise(none).alias("kept"))
-    return rest.unionByName(read(stored(spans.filter(in_part), "in_part")))
+    return rest.unionByName(read(spans.filter(in_part)))
 
 
 def op13_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

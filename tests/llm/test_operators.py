@@ -661,3 +661,40 @@ def test_derived_deliveries(spark, tmp_path):
     assert {r.doc_id: (r.keep_id, r.group_size) for r in dd.exact_duplicates(two, home=home).collect()} == {1: (1, 2), 3: (1, 2), 2: (2, 1), 4: (4, 1)}
     clash = one.withColumns({c: F.lit(c) for c in ("_file", "_row", "file", "row", "doc", "best", "first", "digest")})
     assert {r._file + r.row for r in dd.distinct_documents(clash).collect()} == {"_filerow"}
+
+
+def test_derived_tables_count_every_row(spark, tmp_path):
+    """Rows of a file that stand several times, by a join, an explode or a union, are copies of their own."""
+    folder = str(tmp_path / "docs")
+    spark.createDataFrame([(i, f"text {i % 20}") for i in range(30)], "doc_id long, text string").write.parquet(folder)
+    docs = spark.read.parquet(folder)
+    twice = {
+        "join": docs.join(spark.range(2).select(F.col("id").alias("k")), F.lit(True)).drop("k"),
+        "explode": docs.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).drop("k"),
+        "union": docs.union(docs),
+    }
+    size = lambda i: 2 * (2 if i % 20 < 10 else 1)
+    for how, df in twice.items():
+        got = dd.exact_duplicates(df).collect()
+        assert len(got) == 60 and all(r.group_size == size(r.doc_id) and r.keep_id == r.doc_id % 20 for r in got), how
+        assert sorted(r.doc_id for r in dd.distinct_documents(df).collect()) == list(range(20)), how
+    part = docs.filter("doc_id < 12").join(spark.range(5, 40).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    assert sorted(r.doc_id for r in dd.distinct_documents(part).collect()) == list(range(5, 12))
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    """Columns named like those that a stage makes for itself, or like the reader's own."""
+    words = "the cat sat on the mat with a hat and the dog ran to the house by the river".split()
+    rows = [(i, " ".join(words[i % 3 :]), "en" if i % 2 else None) for i in range(12)]
+    names = ["_metadata", "read", "_read", "_READ1", "page", "_above", "file", "row", "doc", "score", "lang_pred", "text_"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(c) for c in names})
+    docs.write.parquet(str(tmp_path / "docs"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    for df in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        same = lambda out: out.filter(" or ".join(f"`{c}` <> '{c}'" for c in names)).count() == 0
+        kept = dd.distinct_documents(df)
+        assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2] and kept.columns == df.columns and same(kept)
+        told = lang.predictions(df, lang.fit(df), *df.columns, into=("a", "b"))
+        assert told.count() == 12 and same(told)
+        scored = tox.scores(df, tox.fit(df, labels), *df.columns, into="c")
+        assert scored.count() == 12 and same(scored)
