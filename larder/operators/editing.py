@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -61,19 +63,21 @@ class Added(NamedTuple):
 
 def add_menus(restaurants: DataFrame, sections: DataFrame, menus: DataFrame) -> Added:
     """menus: restaurant_id, label, ord, section, name, description, price, classification, confidence; a row a dish, in the order
-    `ord` of its section; a section without dishes has one row without a name.
+    `ord` of its section; a section without dishes has one row without a name. Label and section may be null.
 
     Sections go on after the restaurant's last one; dishes count as checked by a person; the restaurant is live again, without
     its verdict of having no menu; the menu is a correct one of the golden set. Only new sections and dishes are returned.
     """
     laid = menus.groupBy("restaurant_id", "label", "ord", "section").agg(F.count("name").alias("n"))
     placed = next_order(sections, laid, "restaurant_id")
+    # a menu without a label has an id of one part less; its place is its own among all of the restaurant's sections
     new_id = F.concat_ws("-", F.col("restaurant_id").cast("string"), F.col("label"), F.col("display_order").cast("string"))
     placed = placed.withColumn("id", new_id)
     fresh = placed.select("id", "restaurant_id", F.col("section").alias("name"), "display_order", F.col("label").alias("menu_label"))
-    at = placed.select("restaurant_id", "label", "ord", "section", F.col("id").alias("section_id"))
     same = ["restaurant_id", "label", "ord", "section"]
-    dishes = menus.filter("name is not null").join(at, same).select("restaurant_id", "section_id", "name", "description", "price", "classification", "confidence", F.lit(True).alias("human_verified"))
+    at = placed.select(*(F.col(c).alias(f"_{c}") for c in same), F.col("id").alias("section_id"))
+    met = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same))
+    dishes = menus.filter("name is not null").join(at, met).select("restaurant_id", "section_id", "name", "description", "price", "classification", "confidence", F.lit(True).alias("human_verified"))
     live = menus.select(F.col("restaurant_id").alias("id")).distinct().withColumn("_live", F.lit(True))
     back = F.coalesce("_live", F.lit(False))
     changed = {"status": F.when(back, "done").otherwise(F.col("status"))}

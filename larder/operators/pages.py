@@ -164,11 +164,35 @@ def english_variants(signals: DataFrame, most: int | None = None) -> DataFrame:
     return links.withColumn("level", level).filter("level is not null").groupBy("page_id").agg(F.min(F.struct("level", "ord", "url")).getField("url").alias("variant"))
 
 
-def homepage_urls(pages: DataFrame) -> DataFrame:
-    """(page_id, homepage): the likeliest own site among the urls quoted in a listing page."""
-    quoted = pages.select("page_id", F.posexplode(F.array_distinct(F.regexp_extract_all(F.replace("html", F.lit("\\/"), F.lit("/")), F.lit(r'"(https?://[^"\\]{5,300})"'), 1))).alias("ord", "url"))
-    scored = quoted.filter(url_is_restaurant_site(F.col("url"))).withColumn("score", url_homepage_score(F.col("url")))
-    return scored.groupBy("page_id").agg(F.max_by("url", F.struct("score", -F.col("ord"))).alias("homepage"))
+# Where listing pages keep a place's own site: fields by name, and first places of lists; slashes unescaped.
+_URL = r'"(https?://[^"\\]+)"'
+SITE_FIELDS = [
+    r'website_uri[^"]{0,30}' + _URL,
+    r'"website"\s*:\s*' + _URL,
+    r'"primaryUrl"\s*:\s*' + _URL,
+    r"\[" + _URL + ",null,null,null",
+    r"\[" + _URL + r",null,null\]",
+    r"externalLinks[^\[]{0,50}\[" + _URL,
+]
+QUOTED_URLS = [r'"(https?://[^"\\]{5,300})"', r"\\x22(https?://[^\\]{5,300})\\x22", r"\\u0022(https?://[^\\]{5,300})\\u0022"]
+
+
+def homepage_urls(pages: DataFrame, not_these: list[str] | None = None) -> DataFrame:
+    """(page_id, homepage, keyed): a place's own site in a listing page, and whether a field says so.
+
+    The first match of each field is asked in order; failing all, the likeliest of the urls in quotes, plain ones before those
+    whose quotes are escaped, earlier before later where scores tie. Only urls that can be a place's own site count, and none that
+    holds one of `not_these`.
+    """
+    flat = pages.select("page_id", F.replace("html", F.lit("\\/"), F.lit("/")).alias("html"))
+    own = lambda urls: F.filter(urls, lambda u: (u != "") & url_is_restaurant_site(u, not_these))
+    fields = own(F.array(*(F.regexp_extract("html", p, 1) for p in SITE_FIELDS)))
+    told = flat.select("page_id", "html", F.get(fields, F.lit(0)).alias("field"))
+    keyed = told.filter("field is not null").select("page_id", F.col("field").alias("homepage"), F.lit(True).alias("keyed"))
+    quoted = F.concat(*(F.regexp_extract_all("html", F.lit(p), 1) for p in QUOTED_URLS))
+    others = told.filter("field is null").select("page_id", F.posexplode(F.array_distinct(quoted)).alias("ord", "url")).filter(url_is_restaurant_site(F.col("url"), not_these))
+    best = others.withColumn("score", url_homepage_score(F.col("url"))).groupBy("page_id").agg(F.max_by("url", F.struct("score", -F.col("ord"))).alias("homepage"))
+    return keyed.unionByName(best.withColumn("keyed", F.lit(False)))
 
 
 def external_sites(links: DataFrame) -> DataFrame:

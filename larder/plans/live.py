@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larder.functions.misc import map_url_coords
 from larder.operators import evaluation as E
 from larder.operators import pages as P
 from larder.operators import telemetry as T
@@ -45,7 +46,28 @@ add("page_nav_links", lambda s, d: P.nav_links(_links(s, d)))
 add("page_menu_images", lambda s, d: P.menu_images(_signals(s, d)))
 add("page_english_variant", lambda s, d: P.english_variants(_signals(s, d)))
 add("page_homepage_url", lambda s, d: P.homepage_urls(_pages(s, d)))
-add("top_homepage_url", lambda s, d: P.homepage_urls(_pages(s, d).withColumn("html", F.concat("html", F.lit('"https://own.ie/a/b" "https://own.ie"')))), (), "SELECT page_id, 'https://own.ie' AS homepage FROM pages")
+add("top_homepage_url", lambda s, d: P.homepage_urls(_pages(s, d).withColumn("html", F.concat("html", F.lit('"https://own.ie/a/b" "https://own.ie"')))).drop("keyed"), (), "SELECT page_id, 'https://own.ie' AS homepage FROM pages")
+# six kinds of listing: fields, lists, quotes escaped in two ways, a field that names no place of one's own, nothing of use
+fixtures.TABLES["listings"] = """
+SELECT page_id, url, html || '<script>"https://aa.ie" ' || CASE page_id % 6
+  WHEN 0 THEN '{"website" : "https:' || chr(92) || '/' || chr(92) || '/www.place' || cast(page_id AS varchar(20)) || '.ie' || chr(92) || '/menu"}'
+  WHEN 1 THEN 'website_uri: "https://own' || cast(page_id AS varchar(20)) || '.ie/x" "website":"https://second.ie"'
+  WHEN 2 THEN chr(92) || 'x22https://b' || cast(page_id % 10 AS varchar(20)) || '.ie' || chr(92) || 'x22 "https://long-name-of-a-place.ie/a/b"'
+  WHEN 3 THEN '"website":"https://www.facebook.com/x" ["https://list' || cast(page_id AS varchar(20)) || '.ie",null,null,null]'
+  WHEN 4 THEN 'externalLinks: {"a":1} ["https://links' || cast(page_id AS varchar(20)) || '.ie?ref=1"]'
+  ELSE '"https://aa.ie/logo.png" "https://www.instagram.com/y" "https://zz.ie/a?b=c"' END || '</script>' AS html
+FROM pages"""
+add("page_homepage_given", lambda s, d: P.homepage_urls(load(s, d, "listings")), ["listings"], """
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://www.place' || page_id || '.ie/menu' WHEN 1 THEN 'https://own' || page_id || '.ie/x' WHEN 3 THEN 'https://list' || page_id || '.ie' WHEN 4 THEN 'https://links' || page_id || '.ie?ref=1' ELSE 'https://aa.ie' END AS homepage,
+  page_id % 6 IN (0, 1, 3, 4) AS keyed FROM listings""")
+# links to maps with coordinates in their path or query, an address, or nothing of use
+fixtures.TABLES["map_links"] = """
+SELECT page_id, 'https://www.google.com/maps' || CASE page_id % 6 WHEN 0 THEN '/place/x/@' || cast(page_id % 90 AS varchar(20)) || '.25,-6.5,17z' WHEN 1 THEN '?q=' || cast(page_id % 90 AS varchar(20)) || '.5%2C+' || cast(page_id % 180 AS varchar(20)) WHEN 2 THEN '?query=' || cast(page_id AS varchar(20)) || '+Fade+Street%2C+Dublin'
+  WHEN 3 THEN '?hl=en&destination=91.0,5' WHEN 4 THEN '/dir/' ELSE '?q=-' || cast(page_id % 90 AS varchar(20)) || ',-0.25#top' END AS link
+FROM pages"""
+add("map_url_parts", lambda s, d: load(s, d, "map_links").select("page_id", map_url_coords(F.col("link")).alias("m")).select("page_id", "m.*"), ["map_links"], """
+SELECT page_id, CAST(CASE page_id % 6 WHEN 0 THEN page_id % 90 + 0.25 WHEN 1 THEN page_id % 90 + 0.5 WHEN 5 THEN -(page_id % 90) END AS double) AS latitude,
+  CAST(CASE page_id % 6 WHEN 0 THEN -6.5 WHEN 1 THEN page_id % 180 WHEN 5 THEN -0.25 END AS double) AS longitude, CASE WHEN page_id % 6 = 2 THEN page_id || ' Fade Street, Dublin' END AS address FROM map_links""")
 add("page_external_site", lambda s, d: P.external_sites(_links(s, d)))
 add("page_locations", lambda s, d: P.page_locations(_pages(s, d)))
 # the given pages publish no addresses, so each gets one of seven kinds of contact block

@@ -143,3 +143,18 @@ def test_discover_candidates(spark):
     # a1 once; the English sibling stands for the text of its group; no wine list, variant of the page in use, or page told not to be a menu
     assert sorted(tuple(r) for r in found.collect()) == [(1, "pdf", f"{at}/a1.pdf", "Lunch"), (1, "pdf", f"{at}/b2.pdf", "Lunch 2"), (1, "subpage", f"{at}/eng/menu", "Menu"), (2, "image", f"{at}/2.png", "Menu")]
     assert X.discover_candidates(rows.limit(0), verdicts, primary, fallback.limit(0)).count() == 0
+
+
+def test_added_menus_without_names(spark):
+    """A menu without a label and a section without a name keep their dishes."""
+    from larder.operators import editing as D
+
+    restaurants = spark.createDataFrame([(1, "no_menu", "x", None)], "id long, status string, no_menu_reason string, no_menu_confirmed_at timestamp")
+    sections = spark.createDataFrame([(1, 4)], "restaurant_id long, display_order int")
+    menus = spark.createDataFrame(
+        [(1, None, 1, "Mains", "A"), (1, None, 1, "Mains", "B"), (1, "Late", 2, None, "C"), (1, None, 3, None, "D"), (1, None, 4, "Empty", None)], "restaurant_id long, label string, ord int, section string, name string"
+    ).withColumns({"description": F.lit(None).cast("string"), "price": F.lit("1"), "classification": F.lit("vegan"), "confidence": F.lit(0.5)})
+    out = D.add_menus(restaurants, sections, menus)
+    ids = {r.display_order: r.id for r in out.sections.collect()}
+    assert ids == {5: "1-5", 6: "1-Late-6", 7: "1-7", 8: "1-8"}
+    assert {r["name"]: r.section_id for r in out.dishes.collect()} == {"A": "1-5", "B": "1-5", "C": "1-Late-6", "D": "1-7"}

@@ -86,3 +86,24 @@ def test_sources_merge(spark):
         4: [("website_address_element", f"{n} Main Street, Dublin", None, None, None, "medium") for n in (12, 13)],
         7: [("website_jsonld", "12 Main Street, Dublin 2", None, None, None, "high")],
     }
+
+
+def test_homepages(spark):
+    """Fields before quoted urls, escaped quotes, and what can't be a place's own site."""
+    pages = [
+        '"https://a.ie" {"website":"https:\\/\\/field.ie\\/x\\/y"}',
+        'website_uri\\u003d: "https://uri.ie" "website":"https://field.ie"',
+        '"website":"https://www.instagram.com/x" "primaryUrl" : "https://primary.ie"',
+        'x ["https://list.ie",null,null] ["https://other.ie",null,null,null]',
+        '{"externalLinks": [["https://no.ie"]]} externalLinks: ["https://links.ie"]',
+        '"https://deep.ie/a/b" \\x22https://hex.ie\\x22 \\u0022https://uni.ie/x\\u0022',
+        '"https://deep.ie/a/b" \\u0022https://uni.ie\\u0022',
+        '"https://one.ie" "https://two.ie"',
+        '"https://cdn.ie/a.png" "https://www.facebook.com/me" "ftp://x.ie"',
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    got = {r.page_id: (r.homepage, r.keyed) for r in P.homepage_urls(df).collect()}
+    want = ["https://field.ie/x/y", "https://uri.ie", "https://primary.ie", "https://other.ie", "https://links.ie"]
+    assert got == {i: (u, True) for i, u in enumerate(want)} | {5: ("https://hex.ie", False), 6: ("https://uni.ie", False), 7: ("https://one.ie", False)}
+    assert {r.page_id for r in P.homepage_urls(df, ["one.ie"]).collect()} == set(range(8)) and P.homepage_urls(df, ["one.ie"]).filter("page_id = 7").first().homepage == "https://two.ie"
