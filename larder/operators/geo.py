@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larder.functions.misc import CONFIDENCE, MIN_DISHES, address_key, address_usable, area_code, in_city, point_in_rings
+from larder.functions.misc import CONFIDENCE, MIN_DISHES, address_key, address_usable, area_code, in_city
 from larder.sources.scratch import stored
 
 #: Side of a grid cell in degrees; points and polygons meet by cell.
@@ -18,18 +18,50 @@ def _cell(c: Column) -> Column:
     return F.floor(c / CELL).cast("bigint")
 
 
+def _edges(ring: Column) -> Column:
+    """A ring's edges, from each point to the one before it, the first's to the last."""
+    n = F.size(ring)
+    edge = lambda a, b: F.struct(a["longitude"].alias("x"), a["latitude"].alias("y"), b["longitude"].alias("to_x"), b["latitude"].alias("to_y"))
+    each = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: edge(F.element_at(ring, i), F.element_at(ring, F.when(i == 1, n).otherwise(i - 1))))
+    return F.when(n > 0, each)
+
+
+def laid_areas(areas: DataFrame) -> DataFrame:
+    """(city, area_id, a, edges, first, last): of each active area and row of the grid that its outline is in, the edges that are
+    in that row, and the columns between which they lie. An edge stands once in each row it reaches, so all of it grows with the
+    outline, whatever the cells inside."""
+    ring = F.explode("rings").alias("ring")
+    edge = areas.filter("active").select(F.lower("city").alias("city"), "area_id", ring).select("city", "area_id", F.explode(_edges(F.col("ring"))).alias("e"))
+    edge = edge.filter("e.y <> e.to_y")  # a level one meets no level ray
+    rows = F.sequence(_cell(F.least("e.y", "e.to_y")), _cell(F.greatest("e.y", "e.to_y")))
+    placed = edge.select("city", "area_id", "e", F.explode(rows).alias("a"))
+    first, last = F.min(_cell(F.least("e.x", "e.to_x"))), F.max(_cell(F.greatest("e.x", "e.to_x")))
+    return placed.groupBy("city", "area_id", "a").agg(F.collect_list("e").alias("edges"), first.alias("first"), last.alias("last"))
+
+
+def _crossings(edges: Column, latitude: Column, longitude: Column) -> Column:
+    """How many edges a ray from the point to the east meets."""
+
+    def meets(e: Column) -> Column:
+        straddles = (e["y"] > latitude) != (e["to_y"] > latitude)
+        x = F.try_divide((e["to_x"] - e["x"]) * (latitude - e["y"]), e["to_y"] - e["y"]) + e["x"]
+        return F.when(straddles & (longitude < x), 1).otherwise(0)
+
+    return F.aggregate(edges, F.lit(0), lambda n, e: n + meets(e))
+
+
 def assign_neighbourhoods(points: DataFrame, areas: DataFrame) -> DataFrame:
     """points: id, city, latitude, longitude; areas: area_id, city, rings, active. Each point's first active area, or null.
 
-    Areas are laid out as the grid cells of their bounding boxes, so the join is on (city, cell) whatever their number; rays
-    are cast only where the cells meet.
+    A ray to the east only meets edges of the point's own row of the grid. So points meet areas by cell, an equi-join with rows
+    that hold nothing but keys, and then the edges of that area and row; no ring is copied into the cells it covers. Holes are
+    rings like any other: an odd number of edges is inside.
     """
-    lat = lambda r: F.transform(F.flatten(r), lambda p: p["latitude"])
-    lng = lambda r: F.transform(F.flatten(r), lambda p: p["longitude"])
-    span = lambda v: F.sequence(_cell(F.array_min(v)), _cell(F.array_max(v)))
-    laid = areas.filter("active").withColumn("a", F.explode(span(lat("rings")))).withColumn("b", F.explode(span(lng("rings")))).select(F.lower("city").alias("city"), "a", "b", "area_id", "rings")
+    laid = laid_areas(areas)
+    keys = laid.select("city", "area_id", "a", F.explode(F.sequence("first", "last")).alias("b"))
     at = points.select("id", F.lower("city").alias("city"), "latitude", "longitude", _cell(F.col("latitude")).alias("a"), _cell(F.col("longitude")).alias("b"))
-    hits = at.join(laid, ["city", "a", "b"]).filter(point_in_rings(F.col("latitude"), F.col("longitude"), F.col("rings")))
+    near = at.join(keys, ["city", "a", "b"]).drop("b")
+    hits = near.join(laid.select("city", "area_id", "a", "edges"), ["city", "area_id", "a"]).filter(_crossings(F.col("edges"), F.col("latitude"), F.col("longitude")) % 2 == 1)
     return points.select("id").join(hits.groupBy("id").agg(F.min("area_id").alias("area_id")), "id", "left")
 
 
