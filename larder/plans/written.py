@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larder.operators import spend
-from larder.operators import telemetry
-from larder.sources import sinks, tables
+from larder.operators import spend, telemetry
+from larder.sources import deliveries, sinks, tables
 from larder.sources.scratch import scratch
 
 from .fixtures import load, load_stream, with_tables
@@ -98,3 +97,80 @@ add(
     ["dishes"],
     """SELECT id || ',' || CASE WHEN contains(price, '"') OR contains(price, ',') THEN '"' || replace(price, '"', '""') || '"' ELSE coalesce(price, '') END AS value, count(*) AS n FROM dishes GROUP BY 1""",
 )
+
+
+def _delivered(s, d):
+    """Attempts in three deliveries: as declared; with times as text, some of them none, and one column more; as JSON lines, some
+    of them cut short. Stages that are none are in all."""
+    root = scratch(s, "deliveries")
+    rows = load(s, d, "attempts").select(F.col("id").cast("string").alias("id"), "url", F.when(F.col("id") % 50 == 7, "other").otherwise(F.col("stage")).alias("stage"), "success", "duration_ms", "created_at", "dish_count")
+    part = lambda k: rows.filter(F.col("id").cast("bigint") % 3 == k)
+    part(0).write.parquet(f"{root}/a")
+    late = F.when(F.col("id").cast("bigint") % 20 == 1, "soon").otherwise(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+    part(1).withColumns({"created_at": late, "dish_count": F.col("dish_count").cast("double"), "more": F.lit(1)}).write.parquet(f"{root}/b")
+    line = F.to_json(F.struct("id", "url", "stage", "success", "dish_count"))
+    part(2).select(F.when(F.col("id").cast("bigint") % 40 == 2, F.substring(line, 1, 12)).otherwise(line)).write.text(f"{root}/c.json")
+    got = deliveries.read_deliveries(s, root, "parse_attempts")
+    kept = got.rows.groupBy("delivery", F.lit("kept").alias("reason")).agg(F.count("*").alias("n"), F.count("created_at").alias("timed"), F.sum("dish_count").alias("dishes"))
+    return kept.unionByName(got.aside.groupBy("delivery", "reason").agg(F.count("*").alias("n"), F.lit(0).cast("bigint").alias("timed"), F.lit(None).cast("bigint").alias("dishes")))
+
+
+add(
+    "src_tables",
+    _delivered,
+    ["attempts"],
+    """SELECT delivery, reason, count(*) AS n, CASE WHEN reason = 'kept' AND delivery <> 'c.json' THEN count(*) ELSE 0 END AS timed, CAST(sum(CASE WHEN reason = 'kept' THEN dish_count END) AS BIGINT) AS dishes FROM (
+  SELECT dish_count, CASE id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c.json' END AS delivery,
+    CASE WHEN id % 3 = 2 AND id % 40 = 2 THEN 'corrupt' WHEN id % 3 = 1 AND id % 20 = 1 THEN 'drift: created_at' WHEN id % 50 = 7 THEN 'not allowed: stage' ELSE 'kept' END AS reason FROM attempts) GROUP BY delivery, reason""",
+)
+
+
+def _geojson(s, d):
+    """Areas of nations as a feature collection: squares and pairs of squares, some without a name, some points."""
+    path = scratch(s, "geojson")
+    nations = s.read.parquet(f"{d}/nation.parquet")
+    square = lambda x: F.array(F.array(*(F.array(x + a, F.lit(float(b))) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1)))))
+    x = F.col("n_nationkey").cast("double")
+    shape = F.when(F.col("n_nationkey") % 3 == 0, F.to_json(F.struct(F.lit("Polygon").alias("type"), square(x).alias("coordinates"))))
+    shape = shape.when(F.col("n_nationkey") % 3 == 1, F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.array(square(x), square(x + 9)).alias("coordinates"))))
+    shape = shape.otherwise(F.to_json(F.struct(F.lit("Point").alias("type"), F.array(x, x).alias("coordinates"))))
+    names = F.to_json(F.struct(F.when(F.col("n_nationkey") % 5 != 1, F.concat(F.lit(" "), "n_name")).alias("name"), F.when(F.col("n_nationkey") % 4 == 0, F.concat("n_name", F.lit(" EN"))).alias("name:en")))
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), names, F.lit(',"geometry":'), shape, F.lit("}"))
+    # the file is one document, as such files are; a nation is a line of it
+    whole = nations.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.array_sort(F.collect_list(feature)), ","), F.lit("]}")).alias("value"))
+    whole.write.text(path)
+    read = tables.read_neighbourhoods(s, path, "x")
+    return read.select("city", "display_name", F.size("rings").cast("bigint").alias("rings"))
+
+
+add(
+    "src_geojson",
+    _geojson,
+    [],
+    """SELECT 'x' AS city, name AS display_name, CASE n_nationkey % 3 WHEN 0 THEN 1 ELSE 2 END::BIGINT AS rings FROM (
+  SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN n_name || ' EN' WHEN n_nationkey % 5 <> 1 THEN n_name END AS name FROM nation) WHERE name IS NOT NULL AND n_nationkey % 3 < 2""",
+)
+
+
+def _documents(s, d):
+    """Files of three kinds, told by their first bytes; `folder` is what was written there."""
+    root = scratch(s, "documents")
+    head = F.when(F.col("page_id") % 3 == 0, "%PDF-1.4 ").when(F.col("page_id") % 3 == 1, "GIF89a     ").otherwise("plain text ")
+    pages = s.read.parquet(f"{d}/pages.parquet").select(F.concat(head, F.col("url")).alias("value"), (F.col("page_id") % 3).alias("folder"))
+    pages.repartition("folder").write.partitionBy("folder").text(root)
+    files = tables.read_documents(s, f"{root}/*/*.txt")
+    return files.select(F.regexp_extract("path", "folder=([0-9])", 1).alias("folder"), "kind").distinct()
+
+
+add("src_docs_files", _documents, [], "SELECT DISTINCT CAST(page_id % 3 AS VARCHAR) AS folder, CASE page_id % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/gif' END AS kind FROM pages")
+
+
+def _json_pages(s, d):
+    """Pages as JSON lines."""
+    root = scratch(s, "pages")
+    s.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html").write.json(f"{root}/p.json")
+    got = deliveries.read_deliveries(s, root, "pages")
+    return got.rows.select("page_id", "url", F.length("html").cast("bigint").alias("n"))
+
+
+add("src_pages_json", _json_pages, [], "SELECT page_id, url, length(html) AS n FROM pages")
