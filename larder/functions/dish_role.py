@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.sources.scratch import stored
+
 from .text import fold_text
 
 # Names of sections, and words of dishes, written without accents.
@@ -109,9 +111,19 @@ def _decide(t: Column, x: Column, y: Column) -> Column:
     return F.coalesce(*rules, counted)
 
 
+#: Bytes of distinct verdicts up to which they go to every task.
+SENT = 64 << 20
+
+
 def with_dish_role(df: DataFrame, section: str, name: str, into: str = "verdict") -> DataFrame:
-    """df with the role of each dish. Menus repeat their words, so each distinct (section, name) is judged once and joined back."""
+    """df with the role of each dish. Menus repeat their words, so each distinct (section, name) is judged once and written.
+
+    Verdicts of up to SENT bytes go to every task, so df's rows stay where they are; more meet the rows in a join, which can be
+    split where many dishes share a name.
+    """
     said = df.select(F.col(section).alias("_section"), F.col(name).alias("_name")).distinct()
-    told = said.withColumn(into, dish_role(F.col("_section"), F.col("_name")))
+    told = stored(said.withColumn(into, dish_role(F.col("_section"), F.col("_name"))), "roles")
+    size = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
+    small = (told.agg(F.sum(size("_section") + size("_name") + 128)).first()[0] or 0) <= SENT
     same = F.col(section).eqNullSafe(F.col("_section")) & F.col(name).eqNullSafe(F.col("_name"))
-    return df.drop(into).join(told, same, "left").drop("_section", "_name")
+    return df.drop(into).join(F.broadcast(told) if small else told, same, "left").drop("_section", "_name")

@@ -1,6 +1,7 @@
 """Menus: dishes in their sections, dish tallies, guide figures, highlights, the public guide.
 
-Everything below the first join is keyed by restaurant, so one exchange by restaurant_id carries the windows and aggregates.
+Dishes meet their sections once, and the verdicts of their names where they lie; everything after that is keyed by restaurant, so
+one exchange by restaurant_id carries the windows and aggregates.
 """
 
 from __future__ import annotations
@@ -35,11 +36,11 @@ def price_level(dishes: DataFrame) -> DataFrame:
 
 def judged(dishes: DataFrame, sections: DataFrame) -> DataFrame:
     """Live dishes in their menus, with key, veg, role, counted by name alone, and counted once the price has its say."""
-    return _judged(menu_dishes(dishes, sections))
+    return _judged(menu_dishes(dishes, sections), price_level(dishes))
 
 
-def _judged(placed: DataFrame) -> DataFrame:
-    roles = with_dish_role(placed.withColumn("amount", parse_price(F.col("price"))), "section", "name").join(price_level(placed), "restaurant_id", "left")
+def _judged(placed: DataFrame, levels: DataFrame) -> DataFrame:
+    roles = with_dish_role(placed.withColumn("amount", parse_price(F.col("price"))), "section", "name").join(levels, "restaurant_id", "left")
     by_name = F.col("verdict.role") == "counted"
     cheap = F.col("amount") < 0.5 * F.col("level")
     return roles.withColumns(
@@ -85,7 +86,8 @@ GUIDE_COLUMNS = ["id", "restaurant_id", "menu_label", "section", "section_order"
 def judged_once(dishes: DataFrame, sections: DataFrame) -> DataFrame:
     """judged for the several aggregates of a guide. Dishes meet their sections once: what prices, names and roles are then read
     from, and what the guide reads, are scratch tables."""
-    return stored(_judged(stored(menu_dishes(dishes, sections), "placed")).select(*GUIDE_COLUMNS), "judged")
+    placed = stored(menu_dishes(dishes, sections), "placed")
+    return stored(_judged(placed, price_level(placed)).select(*GUIDE_COLUMNS), "judged")
 
 
 def guide_insights(dishes: DataFrame, sections: DataFrame) -> DataFrame:

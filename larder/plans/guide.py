@@ -93,7 +93,15 @@ add("join_menu_document", lambda s, d: O.menu_documents(load(s, d, "restaurants"
 SELECT r.id, md5(string_agg(section || ':' || p.id, ',' ORDER BY section_order, section, menu_label NULLS FIRST, p.created_at, p.id)) AS menu FROM restaurants r LEFT JOIN placed p ON p.restaurant_id = r.id GROUP BY r.id""")
 add("agg_role_exclusions", lambda s, d: O.role_exclusions(_judged(s, d)), """SELECT role, rule, count(*) AS n, count(*) FILTER (section IN ('Desserts', 'Sides', 'Nibbles') OR amount <= q1) AS soft FROM judged j
 LEFT JOIN (SELECT restaurant_id AS rid, CASE WHEN count(*) >= 4 THEN list_extract(list_sort(list(amount)), cast(floor(count(*) * 0.25) AS int) + 1) END AS q1 FROM judged WHERE amount IS NOT NULL GROUP BY 1) q ON q.rid = j.restaurant_id WHERE veg AND NOT counted GROUP BY role, rule""")
-add("agg_old_vs_new_counts", lambda s, d: O.old_and_new_counts(_judged(s, d), _insights(s, d)), """SELECT i.restaurant_id, max_veg AS after, aside, coalesce(b, 0) AS before FROM insights i
+
+
+def _old_and_new(spark, d):
+    sections = load(spark, d, "menu_sections")
+    rows = O.judged_once(load(spark, d, "dishes"), sections)
+    return O.old_and_new_counts(rows, O.insights_of(rows, sections))
+
+
+add("agg_old_vs_new_counts", _old_and_new, """SELECT i.restaurant_id, max_veg AS after, aside, coalesce(b, 0) AS before FROM insights i
 LEFT JOIN (SELECT restaurant_id, max(n) AS b FROM (SELECT restaurant_id, menu_label, count(*) AS n FROM judged WHERE veg GROUP BY 1, 2) GROUP BY 1) USING (restaurant_id)""")
 add("win_running_reports", lambda s, d: O.running_reports(load(s, d, "reports")), "SELECT id, dish_id, count(*) OVER (PARTITION BY dish_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS reports, count(*) OVER (PARTITION BY dish_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) >= 3 AS flagged FROM reports", ["reports"])
 add("agg_withheld", lambda s, d: O.withheld_featured(load(s, d, "restaurants"), load(s, d, "featured"), O.menu_dishes(load(s, d, "dishes"), load(s, d, "menu_sections"))).select("id", F.array_join("cities", ",").alias("cities"), F.col("reason").startswith('"').alias("flagged")), """
