@@ -67,7 +67,16 @@ OLD = "(SELECT id, restaurant_id, lower(trim(name)) AS k, CASE WHEN origin = 'ad
 HIT = f"(SELECT o.id AS old_id, arg_min(n.id, (CASE WHEN n.section = o.section THEN 0 ELSE 1 END, n.ord)) AS new_id FROM {OLD} o LEFT JOIN extracted n ON n.restaurant_id = o.restaurant_id AND lower(trim(n.name)) = o.k GROUP BY o.id)"
 add("join_verified", lambda s, d: X.match_verified(_old(s, d).filter("human_verified"), load(s, d, "extracted")), ["extracted"], f"SELECT * FROM {HIT}")
 add("join_rehome_reports", lambda s, d: X.rehome_reports(_old(s, d).filter("human_verified").selectExpr("old_id as dish_id", "old_id as id"), _old(s, d).filter("human_verified"), load(s, d, "extracted")), ["extracted"], f"SELECT new_id AS dish_id, old_id AS id FROM {HIT} WHERE new_id IS NOT NULL")
-add("job_reparse_merge", lambda s, d: X.reparse(_old(s, d).drop("old_id"), load(s, d, "extracted"), _old(s, d).selectExpr("id", "id as dish_id"), F.expr("timestamp '2024-03-01 00:00:00'"))[0].select("id", "classification", "human_verified", "report_count", "flagged"), [])
+add("job_reparse_merge", lambda s, d: X.reparse(_old(s, d).drop("old_id"), load(s, d, "extracted"), _old(s, d).selectExpr("id", "id as dish_id"), F.expr("timestamp '2024-03-01 00:00:00'"))[0].select("id", "classification", "human_verified", "report_count", "flagged"), ["extracted"], f"""
+WITH old AS (SELECT id, restaurant_id, name, CASE WHEN origin = 'admin' THEN 'Drinks' ELSE 'Food' END AS section, classification, human_verified, greatest(raw_reports, 0) AS reports FROM dishes),
+hit AS {HIT},
+told AS (SELECT new_id, arg_max(o.classification, o.id) AS classification FROM hit JOIN old o ON o.id = old_id WHERE new_id IS NOT NULL GROUP BY new_id),
+own AS (SELECT e.id, e.restaurant_id, e.id AS ord, e.name, e.section, coalesce(t.classification, e.classification) AS classification, t.new_id IS NOT NULL AS human_verified FROM extracted e LEFT JOIN told t ON t.new_id = e.id
+  UNION ALL SELECT o.id, o.restaurant_id, o.id, o.name, CASE WHEN EXISTS (SELECT 1 FROM extracted e WHERE e.restaurant_id = o.restaurant_id AND e.section = o.section) THEN o.section END, o.classification, true FROM hit JOIN old o ON o.id = old_id WHERE new_id IS NULL),
+found AS (SELECT o.id AS old_id, arg_min(n.id, (CASE WHEN n.section IS NOT DISTINCT FROM o.section THEN 0 ELSE 1 END, n.ord, n.id)) AS new_id FROM old o LEFT JOIN own n ON n.restaurant_id = o.restaurant_id AND lower(trim(n.name)) = lower(trim(o.name)) WHERE o.reports > 0 GROUP BY o.id),
+counts AS (SELECT new_id, sum(reports) AS n FROM found JOIN old ON old.id = old_id WHERE new_id IS NOT NULL GROUP BY new_id)
+SELECT id, classification, human_verified, CAST(coalesce(n, 0) AS BIGINT) AS report_count, coalesce(n, 0) >= 3 AS flagged FROM own LEFT JOIN counts ON new_id = id
+UNION ALL SELECT id, classification, false, reports, reports >= 3 FROM found JOIN old ON old.id = old_id WHERE new_id IS NULL""")
 VERD = "SELECT id AS dish_id, raw_reports AS seq, CASE raw_reports WHEN 1 THEN 'delete' WHEN 2 THEN 'restore' ELSE 'upsert' END AS action, CASE WHEN raw_reports = 3 THEN 'neither' END AS classification FROM dishes WHERE raw_reports > 0"
 add("job_apply_verdicts", lambda s, d: X.apply_verdicts(load(s, d, "dishes"), s.sql(VERD.replace("FROM dishes", "FROM {x}"), x=load(s, d, "dishes")), F.expr("timestamp '2024-03-01 00:00:00'")).select("id", "classification", "deleted_at", "human_verified", "ai_original"), ["dishes"], "SELECT id, CASE WHEN raw_reports = 3 THEN 'neither' ELSE classification END AS classification, CASE WHEN raw_reports = 1 THEN timestamp '2024-03-01 00:00:00' WHEN raw_reports > 1 THEN NULL ELSE deleted_at END AS deleted_at, human_verified OR raw_reports > 0 AS human_verified, CASE WHEN raw_reports > 0 THEN classification END AS ai_original FROM dishes")
 
