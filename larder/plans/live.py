@@ -94,6 +94,29 @@ add("page_contact_links", lambda s, d: P.contact_links(_links(s, d)))
 add("win_first_label", lambda s, d: P.first_labels(_links(s, d)))
 add("win_link_topk", lambda s, d: P.nav_links(_links(s, d), 3))
 
+# the given pages have no such links or images, so each gets one of seven kinds
+fixtures.TABLES["linked_pages"] = """
+SELECT page_id, 'https://spot' || cast(page_id AS varchar(20)) || '.ie/' AS url, html || CASE page_id % 7
+  WHEN 0 THEN '<a href="/food/dinner">Dinner</a> <a href="/gift-menu">Menu</a>'
+  WHEN 1 THEN '<a href="files/lunch.pdf">Lunch Menu</a>'
+  WHEN 2 THEN '<a href="https://order.shop.ie/x">Order</a> <a href="https://other.ie/menu"><b>Menu</b></a>'
+  WHEN 3 THEN '<a href="#menu">Menu</a> <embed src="/card">'
+  WHEN 4 THEN '<img src="/img/menu-board.jpg?v=2" width="800"><img src="/img/menu-logo.png"><img data-src="/img/x.jpg" src="/img/wait.gif" alt="Our food">'
+  WHEN 5 THEN '<a href="/over">About us</a> <a href="/hier">Find us</a> <a href="https://elsewhere.ie/contact">Contact</a>'
+  ELSE '<a href="https://www.instagram.com/x">i</a> <a href="https://own.ie/">Site</a>' END AS html
+FROM pages"""
+_linked = lambda s, d: P.page_links(P.page_signals(load(s, d, "linked_pages")))
+add("page_menu_links_given", lambda s, d: P.menu_links(_linked(s, d)), ["linked_pages"], """
+SELECT page_id, 'html' AS kind, url || 'food/dinner' AS url, 8 AS score, 1 AS rank, 'Dinner' AS label FROM linked_pages WHERE page_id % 7 = 0
+UNION ALL SELECT page_id, 'pdf', url || 'files/lunch.pdf', 7, 1, 'Lunch Menu' FROM linked_pages WHERE page_id % 7 = 1
+UNION ALL SELECT page_id, 'html', 'https://order.shop.ie/x', 7, 1, 'Order' FROM linked_pages WHERE page_id % 7 = 2""")
+add("page_menu_images_given", lambda s, d: P.menu_images(P.page_signals(load(s, d, "linked_pages"))), ["linked_pages"], """
+SELECT page_id, url || 'img/menu-board.jpg' AS url, 13 AS score, 1 AS rank FROM linked_pages WHERE page_id % 7 = 4 UNION ALL SELECT page_id, url || 'img/x.jpg', 6, 2 FROM linked_pages WHERE page_id % 7 = 4""")
+add("page_contact_links_given", lambda s, d: P.contact_links(_linked(s, d)), ["linked_pages"], """
+SELECT page_id, url || 'hier' AS url, 1 AS rank FROM linked_pages WHERE page_id % 7 = 5 UNION ALL SELECT page_id, url || 'over', 2 FROM linked_pages WHERE page_id % 7 = 5""")
+add("page_external_given", lambda s, d: P.external_sites(_linked(s, d)), ["linked_pages"], """
+SELECT page_id, CASE page_id % 7 WHEN 2 THEN 'https://order.shop.ie/x' WHEN 5 THEN 'https://elsewhere.ie/contact' ELSE 'https://own.ie/' END AS site FROM linked_pages WHERE page_id % 7 IN (2, 5, 6)""")
+
 A, E2 = ["attempts"], ["product_events"]
 OUT = "CASE WHEN NOT success THEN 'error' WHEN dish_count IS NULL THEN NULL WHEN dish_count < 7 THEN 'thin' ELSE 'menu' END"
 CODE = "CASE error_message WHEN 'Request timed out' THEN 'timeout' WHEN 'Could not find a menu' THEN 'no_menu_readable' WHEN 'HTTP 429 too many requests' THEN 'rate_limited' WHEN 'fetch failed: ECONNREFUSED' THEN 'network' WHEN 'odd failure' THEN 'unknown' END"
