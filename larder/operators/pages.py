@@ -34,8 +34,9 @@ HIDDEN = {"script", "style", "nav", "footer", "header", "noscript", "iframe"}
 class _Page(HTMLParser):
     """Visible text, links, images and embeds of one page."""
 
-    def __init__(self):
+    def __init__(self, keep_text: bool = True):
         super().__init__(convert_charrefs=True)
+        self.keep_text = keep_text
         self.text, self.links, self.images, self.hidden, self.open = [], [], [], [], None
 
     def handle_starttag(self, tag, attrs):
@@ -64,7 +65,7 @@ class _Page(HTMLParser):
     def handle_data(self, data):
         if self.open is not None:
             self.open["text"] += data
-        if not self.hidden:
+        if self.keep_text and not self.hidden:
             self.text.append(data)
 
 
@@ -80,23 +81,24 @@ _IMAGE = pa.struct([("url", pa.string()), ("alt", pa.string()), ("size", pa.int3
 _SIGNALS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("links", pa.list_(_LINK)), ("images", pa.list_(_IMAGE))])
 
 
-def _read(batches, most: int | None):
+def _read(batches, most: int | None, text: bool):
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             rows = []
             for page_id, url, html in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
-                p = _Page()
+                p = _Page(text)
                 p.feed(html or "")
                 links = [{"kind": x["kind"], "href": x["href"], "url": _absolute(x["href"], url or ""), "text": (" ".join(x["text"].split()) or x["title"].strip()), "lang": x["lang"]} for x in p.links]
                 images = [{"url": _absolute(x["src"], url or ""), "alt": x["alt"], "size": x["size"]} for x in p.images]
-                rows.append({"page_id": page_id, "url": url, "text": " ".join(" ".join(p.text).split())[:most], "links": links, "images": images})
+                rows.append({"page_id": page_id, "url": url, "text": " ".join(" ".join(p.text).split())[:most] if text else None, "links": links, "images": images})
             yield pa.RecordBatch.from_pylist(rows, schema=_SIGNALS)
 
 
-def page_signals(pages: DataFrame, most: int | None = None) -> DataFrame:
-    """(page_id, url, text, links, images) of every page; text whole, or its first `most` characters."""
+def page_signals(pages: DataFrame, most: int | None = None, text: bool = True) -> DataFrame:
+    """(page_id, url, text, links, images) of every page; text whole, or its first `most` characters, or null where the job asks
+    for links and images alone."""
     schema = "page_id bigint, url string, text string, links array<struct<kind:string,href:string,url:string,text:string,lang:string>>, images array<struct<url:string,alt:string,size:int>>"
-    return pages.select("page_id", "url", "html").mapInArrow(lambda batches: _read(batches, most), schema)
+    return pages.select("page_id", "url", "html").mapInArrow(lambda batches: _read(batches, most, text), schema)
 
 
 def page_links(signals: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def add(name, run, needs=(), sql=""):
 
 _pages = lambda s, d: s.read.parquet(f"{d}/pages.parquet")
 _signals = lambda s, d: P.page_signals(_pages(s, d))
-_links = lambda s, d: P.page_links(_signals(s, d))
+_links = lambda s, d: P.page_links(P.page_signals(_pages(s, d), text=False))
 add("src_pages", lambda s, d: S.read_pages(s, f"{d}/pages.parquet").select("page_id", "url", F.length("html").cast("bigint").alias("n")), (), "SELECT page_id, url, length(html) AS n FROM pages")
 add("src_full_scan", lambda s, d: load(s, d, "dishes").groupBy("classification").agg(F.count("*").alias("n")), ["dishes"], "SELECT classification, count(*) AS n FROM dishes GROUP BY 1")
 add("src_docs_binary", lambda s, d: _pages(s, d).select("page_id", S.content_kind(F.when(F.col("page_id") % 3 == 0, F.unhex(F.lit("255044462D312E340A0A0A0A"))).when(F.col("page_id") % 3 == 1, F.unhex(F.lit("524946460000000057454250"))).otherwise(F.col("html").cast("binary"))).alias("kind")), (), "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/webp' END AS kind FROM pages")
@@ -43,7 +43,7 @@ add("page_text", lambda s, d: _signals(s, d).select("page_id", "url", F.length("
 add("page_links", lambda s, d: _links(s, d).select("page_id", "ord", "href", "url", "text"))
 add("page_menu_links", lambda s, d: P.menu_links(_links(s, d)))
 add("page_nav_links", lambda s, d: P.nav_links(_links(s, d)))
-add("page_menu_images", lambda s, d: P.menu_images(_signals(s, d)))
+add("page_menu_images", lambda s, d: P.menu_images(P.page_signals(_pages(s, d), text=False)))
 add("page_english_variant", lambda s, d: P.english_variants(_signals(s, d)))
 add("page_homepage_url", lambda s, d: P.homepage_urls(_pages(s, d)))
 add("top_homepage_url", lambda s, d: P.homepage_urls(_pages(s, d).withColumn("html", F.concat("html", F.lit('"https://own.ie/a/b" "https://own.ie"')))).drop("keyed"), (), "SELECT page_id, 'https://own.ie' AS homepage FROM pages")
@@ -105,12 +105,12 @@ SELECT page_id, 'https://spot' || cast(page_id AS varchar(20)) || '.ie/' AS url,
   WHEN 5 THEN '<a href="/over">About us</a> <a href="/hier">Find us</a> <a href="https://elsewhere.ie/contact">Contact</a>'
   ELSE '<a href="https://www.instagram.com/x">i</a> <a href="https://own.ie/">Site</a>' END AS html
 FROM pages"""
-_linked = lambda s, d: P.page_links(P.page_signals(load(s, d, "linked_pages")))
+_linked = lambda s, d: P.page_links(P.page_signals(load(s, d, "linked_pages"), text=False))
 add("page_menu_links_given", lambda s, d: P.menu_links(_linked(s, d)), ["linked_pages"], """
 SELECT page_id, 'html' AS kind, url || 'food/dinner' AS url, 8 AS score, 1 AS rank, 'Dinner' AS label FROM linked_pages WHERE page_id % 7 = 0
 UNION ALL SELECT page_id, 'pdf', url || 'files/lunch.pdf', 7, 1, 'Lunch Menu' FROM linked_pages WHERE page_id % 7 = 1
 UNION ALL SELECT page_id, 'html', 'https://order.shop.ie/x', 7, 1, 'Order' FROM linked_pages WHERE page_id % 7 = 2""")
-add("page_menu_images_given", lambda s, d: P.menu_images(P.page_signals(load(s, d, "linked_pages"))), ["linked_pages"], """
+add("page_menu_images_given", lambda s, d: P.menu_images(P.page_signals(load(s, d, "linked_pages"), text=False)), ["linked_pages"], """
 SELECT page_id, url || 'img/menu-board.jpg' AS url, 13 AS score, 1 AS rank FROM linked_pages WHERE page_id % 7 = 4 UNION ALL SELECT page_id, url || 'img/x.jpg', 6, 2 FROM linked_pages WHERE page_id % 7 = 4""")
 add("page_contact_links_given", lambda s, d: P.contact_links(_linked(s, d)), ["linked_pages"], """
 SELECT page_id, url || 'hier' AS url, 1 AS rank FROM linked_pages WHERE page_id % 7 = 5 UNION ALL SELECT page_id, url || 'over', 2 FROM linked_pages WHERE page_id % 7 = 5""")

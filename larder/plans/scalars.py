@@ -116,7 +116,8 @@ add("should_escalate", "attempts", "id", lambda: M.should_escalate(F.col("id") %
 add("feedback_action", "feedback", "id", lambda: M.feedback_action(F.col("feedback_type")), "CASE feedback_type WHEN 'not_a_menu' THEN 'remove_menu' WHEN 'menu_outdated' THEN 'reparse' WHEN 'wrong_name' THEN 'rename' ELSE 'route' END")
 add("status_badge", "restaurants", "id", lambda: M.status_badge(F.col("status")), "CASE status WHEN 'pending' THEN 'Queued' WHEN 'done' THEN 'Analyzed' WHEN 'no_menu' THEN 'No menu' WHEN 'error' THEN 'Error' ELSE status END")
 add("ip_hash", "reports", "id", lambda: M.ip_hash(F.col("ip_hash"), F.lit("salt")), "left(sha256(ip_hash || 'salt'), 16)")
-add("vote_ip_hash", "reports", "id", lambda: M.vote_ip_hash(F.col("ip_hash"), "secret"), "")
+_pad = lambda x: b"secret".ljust(64, b"\0").translate(bytes(b ^ x for b in range(256))).hex()
+add("vote_ip_hash", "reports", "id", lambda: M.vote_ip_hash(F.col("ip_hash"), "secret"), f"sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(ip_hash))))")
 add("valid_anon_id", "attempts", "id", lambda: M.valid_anon_id(F.when(F.col("id") % 2 == 0, "123e4567-e89b-12d3-a456-426614174000").otherwise(F.col("anon_id"))), "CASE WHEN id % 2 = 0 THEN '123e4567-e89b-12d3-a456-426614174000' END")
 add("area_code", "locations", "id", lambda: M.area_code(F.col("address")), "CASE WHEN id % 4 = 2 THEN 'D6W' WHEN id % 4 = 0 AND id % 26 IN (1,2,3,4,5,6,7,8,9,10,11,12,13,14,15,16,17,18,20,22,24) THEN 'D' || lpad(cast(id % 26 AS varchar), 2, '0') WHEN id % 4 = 1 AND id % 10 > 0 THEN 'D0' || cast(id % 10 AS varchar) END")
 add("address_key", "locations", "id", lambda: M.address_key(F.col("address")), "trim(regexp_replace(lower(strip_accents(address)), '[^a-z0-9]+', ' ', 'g'))")
