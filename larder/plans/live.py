@@ -117,6 +117,24 @@ SELECT page_id, url || 'hier' AS url, 1 AS rank FROM linked_pages WHERE page_id
 add("page_external_given", lambda s, d: P.external_sites(_linked(s, d)), ["linked_pages"], """
 SELECT page_id, CASE page_id % 7 WHEN 2 THEN 'https://order.shop.ie/x' WHEN 5 THEN 'https://elsewhere.ie/contact' ELSE 'https://own.ie/' END AS site FROM linked_pages WHERE page_id % 7 IN (2, 5, 6)""")
 
+# whole pages of one pattern, so that all of their text and links is known
+fixtures.TABLES["small_pages"] = """
+SELECT page_id, 'https://spot' || cast(page_id AS varchar(20)) || '.ie/' AS url, '<html><head><style>p{}</style></head><body><nav><a href="/dining">Eat here</a></nav><p>Hello <b>page ' || cast(page_id AS varchar(20)) || '</b> &amp; more</p><a href="/dining">Again</a>'
+  || '<a href="/a/b/c/d">Deep</a><a href="/food">Food</a><a href="/kitchen/x">K</a><a href="/contact">C</a><script>var x = "<p>no</p>";</script></body></html>' AS html
+FROM pages"""
+_small = lambda s, d, text=False: P.page_signals(load(s, d, "small_pages"), text=text)
+add("page_text_given", lambda s, d: _small(s, d, True).select("page_id", "text"), ["small_pages"], "SELECT page_id, 'Hello page ' || page_id || ' & more Again Deep Food K C' AS text FROM small_pages")
+LISTED = "SELECT page_id, url AS page, unnest([0, 1, 2, 3, 4, 5]) AS ord, unnest(['dining', 'dining', 'a/b/c/d', 'food', 'kitchen/x', 'contact']) AS path, unnest(['Eat here', 'Again', 'Deep', 'Food', 'K', 'C']) AS text FROM small_pages"
+add("page_links_given", lambda s, d: P.page_links(_small(s, d)).select("page_id", "ord", "href", "url", "text"), ["small_pages"], f"SELECT page_id, ord, '/' || path AS href, page || path AS url, text FROM ({LISTED})")
+add("win_first_label_given", lambda s, d: P.first_labels(P.page_links(_small(s, d))), ["small_pages"], f"SELECT page_id, page || path AS url, arg_min(text, ord) AS label FROM ({LISTED}) GROUP BY ALL")
+add("win_link_topk_given", lambda s, d: P.nav_links(P.page_links(_small(s, d)), 3), ["small_pages"], """
+SELECT page_id, url || unnest(['dining', 'food', 'kitchen/x']) AS url, unnest([8, 8, 6]) AS score, unnest([1, 2, 3]) AS rank FROM small_pages""")
+fixtures.TABLES["foreign_pages"] = """
+SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN '<p>Short</p><a href="/en/menu">Menu</a>' WHEN 1 THEN '<head><link rel="alternate" hreflang="en-GB" href="/uk/"></head><p>' || repeat('lekker ', 60) || '</p><a href="/en/menu">Menu</a>'
+  ELSE '<p>' || repeat('smakelijk ', 60) || '</p><a href="/nl/kaart">Kaart</a><a href="/en/menu">Menu</a><a href="/taal">English</a>' END AS html
+FROM small_pages"""
+add("page_english_variant_given", lambda s, d: P.english_variants(P.page_signals(load(s, d, "foreign_pages"))), ["foreign_pages"], "SELECT page_id, url || CASE page_id % 3 WHEN 1 THEN 'uk/' ELSE 'en/menu' END AS variant FROM foreign_pages WHERE page_id % 3 > 0")
+
 A, E2 = ["attempts"], ["product_events"]
 OUT = "CASE WHEN NOT success THEN 'error' WHEN dish_count IS NULL THEN NULL WHEN dish_count < 7 THEN 'thin' ELSE 'menu' END"
 CODE = "CASE error_message WHEN 'Request timed out' THEN 'timeout' WHEN 'Could not find a menu' THEN 'no_menu_readable' WHEN 'HTTP 429 too many requests' THEN 'rate_limited' WHEN 'fetch failed: ECONNREFUSED' THEN 'network' WHEN 'odd failure' THEN 'unknown' END"
@@ -129,7 +147,7 @@ add("st_sessions", lambda s, d: R.replay_closed(R.sessions, (load_stream(s, d, "
   SELECT *, sum(CASE WHEN ts - prev < interval '30' minute THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, id) AS g FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, id) AS prev FROM product_events)) GROUP BY user_id, g""")
 _stage = lambda s, d, stage: load_stream(s, d, "attempts").filter(F.col("stage") == stage)
 add("st_search_join", lambda s, d: R.replay_closed(R.search_join, (_stage(s, d, "discover"), "created_at"), (_stage(s, d, "analyze"), "created_at", R.NO_MATCH)), A, "SELECT d.id AS discover_id, a.id AS analyze_id FROM (SELECT * FROM attempts WHERE stage = 'discover') d LEFT JOIN attempts a ON a.stage = 'analyze' AND a.anon_id = d.anon_id AND a.url = d.url AND a.created_at >= d.created_at AND a.created_at <= d.created_at + interval '1' hour")
-add("st_dedupe_events", lambda s, d: R.replay(R.distinct_views(load_stream(s, d, "product_events"))).select("user_id", "domain", "event"))
+add("st_dedupe_events", lambda s, d: R.replay(R.distinct_views(load_stream(s, d, "product_events"))).select("user_id", "domain", "event"), E2, "SELECT DISTINCT user_id, domain, event FROM product_events WHERE event = 'results_viewed'")  # one batch, so no row is late
 add("st_rate_limit", lambda s, d: M.rate_limit(load_stream(s, d, "reports"), most=2, span=86_400))
 add("rate_limit_batch", lambda s, d: R.rate_limit_batch(load(s, d, "reports"), most=2, span=86_400))
 VOTE = ["id", "dish_id as email", "issue_type as city", "cast(null as string) as country", "ip_hash", "created_at"]
