@@ -197,7 +197,7 @@ def menu_chunks(text: Column, chunk: int = 9000, most: int = 4) -> Column:
         fits = F.length(last(acc)) < target
         return F.when(F.size(acc) == 0, F.array(line)).when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last(acc), line)))).otherwise(F.concat(acc, F.array(line)))
 
-    cut = F.filter(F.aggregate(F.split(text, "\n"), start, add), lambda c: F.trim(c) != "")
+    cut = F.filter(F.aggregate(F.split(text, "\n"), start, add), lambda c: c.rlike(r"\S"))
     return F.when(parts <= 1, F.array(text)).otherwise(cut)
 
 

@@ -8,6 +8,7 @@ from larder.functions import misc as M
 from larder.functions import text as T
 from larder.functions import urls as U
 
+from . import fixtures
 from .fixtures import load, with_tables
 
 QUERIES: dict = {}
@@ -101,6 +102,17 @@ add("price_tokens_menu", "docs", "doc_id", lambda: T.price_tokens_menu(F.col("te
 add("text_is_menu", "docs", "doc_id", lambda: T.text_is_menu(F.col("text")), "")
 add("text_is_confident_menu", "docs", "doc_id", lambda: T.text_is_confident_menu(F.col("text")), "")
 add("is_drink_source", "docs", "doc_id", lambda: T.is_drink_source(F.col("text")), "")
+# texts whose amounts, opening hours, words and lines are known
+fixtures.TABLES["menu_texts"] = """
+SELECT page_id, cast(page_id % 6 AS int) AS soups, cast(page_id % 4 AS int) AS tarts, cast(page_id % 130 AS int) AS n,
+  repeat('Good soup €5 ', cast(page_id % 6 AS int)) || repeat('Tart 6.50 ', cast(page_id % 4 AS int)) || repeat('open 9.30- 17.00 ', cast(page_id % 3 AS int)) || CASE page_id % 5 WHEN 0 THEN 'Wine list ' WHEN 1 THEN 'winery ' ELSE '' END || repeat('filler text here ', 10) AS text,
+  repeat(repeat('ab ', 100) || chr(10), cast(page_id % 130 AS int)) AS many_lines
+FROM pages"""
+add("price_tokens_menu_given", "menu_texts", "page_id", lambda: T.price_tokens_menu(F.col("text")).cast("bigint"), "CAST(soups + tarts AS BIGINT)")
+add("text_is_menu_given", "menu_texts", "page_id", lambda: T.text_is_menu(F.col("text")), "soups + tarts >= 4 AND soups > 0 OR soups + tarts >= 8")
+add("text_is_confident_menu_given", "menu_texts", "page_id", lambda: T.text_is_confident_menu(F.repeat("text", F.lit(12))), "(soups > 0 OR tarts > 0) AND (12 * (soups + tarts) >= 8)")
+add("is_drink_source_given", "menu_texts", "page_id", lambda: T.is_drink_source(F.col("text")), "page_id % 5 = 0")
+add("menu_chunks_given", "menu_texts", "page_id", lambda: F.size(T.menu_chunks(F.col("many_lines"))).cast("bigint"), "CAST(CASE WHEN 301 * n <= 9000 THEN 1 ELSE ceil(n / ceil(ceil(301 * n / least(4, ceil(301 * n / 9000))) / 301)) END AS BIGINT)")
 add("fold_text", "docs", "doc_id", lambda: F.md5(T.fold_text(F.col("text"))), r"md5(trim(regexp_replace(lower(strip_accents(regexp_replace(text, '\([^)]*\)', ' ', 'g'))), '\s+', ' ', 'g')))")
 add("menu_chunks", "docs", "doc_id", lambda: F.size(T.menu_chunks(F.col("text"))).cast("bigint"), "")
 add("markdown_link_labels", "docs", "doc_id", lambda: F.size(T.markdown_links(F.concat(F.col("text"), F.lit("[*Lunch*](https://a.ie/x.pdf) [Dinner](https://a.ie/x.pdf) [http://no](https://b.ie)")))).cast("bigint"), "")
