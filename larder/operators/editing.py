@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from larder.functions.misc import feedback_action
 from larder.functions.text import custom_city_norm
 
+from .extraction import apply_verdicts
 from .identity import next_order
 
 
@@ -133,5 +134,41 @@ def resolve_feedback(items: DataFrame, dishes: DataFrame, restaurants: DataFrame
     )
 
 
+class Applied(NamedTuple):
+    """The tables after a batch of resolved feedback, and what it adds to the golden set."""
+
+    dishes: DataFrame
+    sections: DataFrame
+    restaurants: DataFrame
+    golden: DataFrame
+    spurious: DataFrame
+
+
+def apply_resolved(resolved: Resolved, dishes: DataFrame, sections: DataFrame, restaurants: DataFrame, as_of: Column) -> Applied:
+    """Carries out what resolve_feedback gives.
+
+    A removed menu takes its sections and their dishes with it, and is a spurious one of the golden set (restaurant_id, label,
+    verdict); without a label it is the unlabelled one. Of the other dishes the last verdict of each holds. Each dish that was
+    given another class is a golden row (dish_id, restaurant_id, name, section, menu_label, expected, ai_original, source), as it
+    was before the batch. The last new name of a restaurant is its name.
+    """
+    menus = resolved.removals.select(F.col("restaurant_id").alias("_at"), F.col("menu_label").alias("_label")).distinct()
+    hit = (F.col("restaurant_id") == F.col("_at")) & F.col("menu_label").eqNullSafe(F.col("_label"))
+    gone = sections.join(menus, hit, "left_semi").select(F.col("restaurant_id").alias("_at"), F.col("id").alias("_section"))
+    kept = dishes.join(gone, (F.col("restaurant_id") == F.col("_at")) & (F.col("section_id") == F.col("_section")), "left_anti")
+    placed = sections.select("restaurant_id", F.col("id").alias("section_id"), F.col("name").alias("section"), "menu_label")
+    was = dishes.select(F.col("id").alias("dish_id"), "restaurant_id", "section_id", "name", F.col("classification").alias("ai_original")).join(placed, ["restaurant_id", "section_id"], "left")
+    told = resolved.verdicts.filter("action = 'upsert'").groupBy("dish_id").agg(F.max_by("classification", "seq").alias("expected"))
+    golden = told.join(was, "dish_id").select("dish_id", "restaurant_id", "name", "section", "menu_label", "expected", "ai_original", F.lit("feedback_confirmed").alias("source"))
+    names = resolved.renames.groupBy(F.col("restaurant_id").alias("id")).agg(F.max_by("name", "seq").alias("_name"))
+    return Applied(
+        apply_verdicts(kept, resolved.verdicts, as_of),
+        sections.join(menus, hit, "left_anti"),
+        restaurants.join(names, "id", "left").withColumn("name", F.coalesce("_name", "name")).drop("_name"),
+        golden,
+        menus.select(F.col("_at").alias("restaurant_id"), F.coalesce("_label", F.lit("(unlabeled menu)")).alias("label"), F.lit("spurious").alias("verdict")),
+    )
+
+
 def _removed(label: Column, dishes: Column) -> Column:
     return F.concat(F.lit("removed_menu:"), F.coalesce(label, F.lit("(unlabeled)")), F.lit(" ("), F.coalesce(dishes, F.lit(0)).cast("string"), F.lit(" dishes)"))

@@ -96,11 +96,7 @@ def _resolved(s, d):
     return out.items.join(done, ["kind", "id"], "left")
 
 
-add(
-    "job_resolve_feedback",
-    _resolved,
-    ["resolutions", "dishes", "restaurants", "menu_sections"],
-    """WITH n AS (SELECT d.restaurant_id AS r, s.menu_label AS l, count(*) AS n FROM dishes d JOIN menu_sections s ON s.id = d.section_id AND s.restaurant_id = d.restaurant_id GROUP BY 1, 2),
+RESOLVED = """WITH n AS (SELECT d.restaurant_id AS r, s.menu_label AS l, count(*) AS n FROM dishes d JOIN menu_sections s ON s.id = d.section_id AND s.restaurant_id = d.restaurant_id GROUP BY 1, 2),
 x AS (SELECT i.*, d.id IS NOT NULL AND e.id IS NOT NULL AS dish_ok, r.id IS NOT NULL AS place_ok, coalesce(n.n, 0) AS n, nullif(trim(proposed_name), '') AS new_name
   FROM resolutions i LEFT JOIN dishes d ON d.id = i.dish_id LEFT JOIN restaurants e ON e.id = d.restaurant_id LEFT JOIN restaurants r ON r.id = i.restaurant_id LEFT JOIN n ON n.r = i.restaurant_id AND n.l IS NOT DISTINCT FROM i.menu_label),
 y AS (SELECT *, CASE WHEN status <> 'confirmed' THEN 'dismissed'
@@ -109,6 +105,47 @@ y AS (SELECT *, CASE WHEN status <> 'confirmed' THEN 'dismissed'
   WHEN kind = 'restaurant_feedback' AND place_ok AND type = 'not_a_menu' THEN 'removed_menu:' || coalesce(menu_label, '(unlabeled)') || ' (' || n || ' dishes)'
   WHEN kind = 'restaurant_feedback' AND place_ok AND type = 'wrong_name' AND new_name IS NOT NULL THEN 'renamed:' || new_name
   WHEN kind = 'restaurant_feedback' AND place_ok AND type = 'menu_outdated' THEN 'reparsed' ELSE 'routed_to_review' END AS resolution_action FROM x)
-SELECT kind, id, resolution_action, CASE WHEN resolution_action = 'removed_dish' THEN 'delete:' || dish_id || ':' WHEN starts_with(resolution_action, 'reclassified') THEN 'upsert:' || dish_id || ':' || proposed_classification
+"""
+add(
+    "job_resolve_feedback",
+    _resolved,
+    ["resolutions", "dishes", "restaurants", "menu_sections"],
+    RESOLVED
+    + """SELECT kind, id, resolution_action, CASE WHEN resolution_action = 'removed_dish' THEN 'delete:' || dish_id || ':' WHEN starts_with(resolution_action, 'reclassified') THEN 'upsert:' || dish_id || ':' || proposed_classification
   WHEN starts_with(resolution_action, 'removed_menu') THEN 'clear:' || restaurant_id || ':' || coalesce(menu_label, '') WHEN starts_with(resolution_action, 'renamed') THEN 'name:' || restaurant_id || ':' || new_name END AS effect FROM y""",
 )
+
+
+def _applied(s, d):
+    """What changed, a row a thing: dishes with another class or gone, removed sections, new names, golden rows."""
+    dishes, sections, restaurants = (load(s, d, n) for n in ("dishes", "menu_sections", "restaurants"))
+    out = E.apply_resolved(E.resolve_feedback(load(s, d, "resolutions"), dishes, restaurants, sections), dishes, sections, restaurants, F.expr("timestamp '2024-03-01 00:00:00'"))
+    row = lambda kind, key, value: [F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), value.alias("value")]
+    join = lambda *columns: F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns))
+    parts = [
+        out.dishes.select(*row("dish", "id", F.concat_ws("|", "classification", F.col("deleted_at").isNull().cast("string"), F.col("human_verified").cast("string")))),
+        out.sections.select(*row("section", "id", F.lit("left"))),
+        out.restaurants.select(*row("restaurant", "id", F.col("name"))),
+        out.golden.select(*row("golden", "dish_id", join("restaurant_id", "name", "section", "menu_label", "expected", "ai_original", "source"))),
+        out.spurious.select(*row("spurious", "restaurant_id", join("label", "verdict"))),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+
+
+add(
+    "job_apply_feedback",
+    _applied,
+    ["resolutions", "dishes", "restaurants", "menu_sections"],
+    RESOLVED
+    + """, menus AS (SELECT DISTINCT restaurant_id, menu_label FROM y WHERE starts_with(resolution_action, 'removed_menu')),
+gone AS (SELECT s.id, s.restaurant_id FROM menu_sections s JOIN menus m ON m.restaurant_id = s.restaurant_id AND m.menu_label IS NOT DISTINCT FROM s.menu_label),
+said AS (SELECT dish_id, arg_max(CASE WHEN resolution_action = 'removed_dish' THEN '' ELSE proposed_classification END, id) AS c FROM y WHERE resolution_action = 'removed_dish' OR starts_with(resolution_action, 'reclassified') GROUP BY 1),
+gold AS (SELECT dish_id, arg_max(proposed_classification, id) AS c FROM y WHERE starts_with(resolution_action, 'reclassified') GROUP BY 1),
+named AS (SELECT restaurant_id, arg_max(new_name, id) AS name FROM y WHERE starts_with(resolution_action, 'renamed') GROUP BY 1)
+SELECT 'dish' AS kind, d.id AS key, coalesce(nullif(c, ''), classification) || '|' || CASE WHEN c = '' THEN false WHEN c IS NULL THEN deleted_at IS NULL ELSE true END || '|' || (human_verified OR c IS NOT NULL) AS value
+  FROM dishes d LEFT JOIN said ON dish_id = d.id WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.id = d.section_id AND g.restaurant_id = d.restaurant_id)
+UNION ALL SELECT 'section', id, 'left' FROM menu_sections s WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.id = s.id AND g.restaurant_id = s.restaurant_id)
+UNION ALL SELECT 'restaurant', CAST(r.id AS VARCHAR), coalesce(n.name, r.name) FROM restaurants r LEFT JOIN named n ON n.restaurant_id = r.id
+UNION ALL SELECT 'golden', g.dish_id, d.restaurant_id || '|' || d.name || '|' || coalesce(s.name, '-') || '|' || coalesce(s.menu_label, '-') || '|' || c || '|' || classification || '|feedback_confirmed' FROM gold g JOIN dishes d ON d.id = g.dish_id LEFT JOIN menu_sections s ON s.id = d.section_id AND s.restaurant_id = d.restaurant_id
+UNION ALL SELECT 'spurious', CAST(restaurant_id AS VARCHAR), coalesce(menu_label, '(unlabeled menu)') || '|spurious' FROM menus""",
+)
