@@ -13,7 +13,8 @@
    a task; signatures are compared before sets. A bucket of very many shingles counts as a large one too. So the work is the number of open members times the bucket's, not its square.
 6. Links (a forest a task) go to the components.
 
-Of the texts only candidates are shuffled: a Bloom filter of their ids, sized by their count, passes over the documents first.
+Of texts and signatures only those of candidates are shuffled: a Bloom filter of their ids, sized by their count, passes over
+the rows first. Band keys are not shuffled as a whole to leave out later copies of a class: a filter of these passes over them.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; fewer than five words make one shingle;
 a repeated id counts once (its smallest text); a null id is dropped (`near_duplicates` gives no row for it); extra columns are not read; an empty table gives an
@@ -230,6 +231,27 @@ def _together(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
 
 
+def _perhaps(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows with a column `possible`: whether a Bloom filter of the ids, a written table, may hold their doc_id."""
+    blocks = blocks_for(ids.count())
+    return with_possible(rows, F.col("doc_id"), bloom_blocks(ids, "doc_id", blocks), blocks, "possible")
+
+
+def _only(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of those documents. Only rows that pass a filter of the ids are shuffled."""
+    ids = stored(ids.distinct(), name)
+    return _perhaps(rows, ids).filter("possible").drop("possible").join(ids.hint("shuffle_hash"), "doc_id")
+
+
+def first_of_classes(every: DataFrame, classes: DataFrame) -> DataFrame:
+    """The features of each class's smallest id. Only rows that pass a filter of the later copies' ids are shuffled."""
+    again = every.select("doc_id", "set_key").join(classes.filter("copies > 1").select("set_key", "class_id"), "set_key")
+    again = stored(again.filter("doc_id <> class_id").select("doc_id"), "copies")
+    told = _perhaps(every.filter("n_shingles > 0"), again)
+    sure, perhaps = (told.filter(c).drop("possible") for c in ("not possible", "possible"))
+    return sure.union(perhaps.join(again, "doc_id", "left_anti"))
+
+
 def candidate_buckets(features: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """(bucket, part, doc_id) of small buckets, cut by their signatures, and (bucket, doc_id) of large ones: classes that share
     a band."""
@@ -239,23 +261,23 @@ def candidate_buckets(features: DataFrame, least: float) -> tuple[DataFrame, Dat
     large = F.max((F.col("n") > SMALL) | (F.col("total") > BLOCK)).alias("large")
     kept = stored(sized.groupBy("n", "x", "y").agg(F.min("band").alias("band"), large), "bands")
     members = stored(band.select("band", "doc_id").join(kept.select("band", "large"), "band").select(F.col("band").alias("bucket"), "doc_id", "large"), "buckets")
-    small = members.filter("not large").join(features.select("doc_id", "signature"), "doc_id").select("bucket", "doc_id", "signature")
+    few = members.filter("not large")
+    small = few.join(_only(features.select("doc_id", "signature"), few.select("doc_id"), "small"), "doc_id").select("bucket", "doc_id", "signature")
     parts = _together(small, "bucket").mapInArrow(_signature_parts(least), "bucket bigint, part bigint, doc_id bigint")
     return stored(parts, "parts"), members.filter("large").select("bucket", "doc_id")
 
 
 def _candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, shingles) of the wanted documents."""
-    wanted = stored(wanted.distinct(), "wanted")
-    blocks = blocks_for(wanted.count())
-    texts = with_possible(docs.select(F.col("doc_id").cast("bigint"), "text"), F.col("doc_id"), bloom_blocks(wanted, "doc_id", blocks), blocks, "possible").filter("possible")
-    texts = texts.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id")
+    texts = _only(docs.select(F.col("doc_id").cast("bigint"), "text"), wanted, "wanted")
     return stored(texts.mapInArrow(_sets, "doc_id bigint, shingles binary"), "sets").dropDuplicates(["doc_id"])
 
 
-def _large_links(large: DataFrame, features: DataFrame, sets: DataFrame, percent: int, least: float) -> DataFrame:
+def _large_links(large: DataFrame, features: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, least: float) -> DataFrame:
     """(a, b): links in buckets of any number of members."""
-    members = large.join(features.select("doc_id", "n_shingles", "copies"), "doc_id")
+    features = stored(_only(features.select("doc_id", "n_shingles", "signature"), large.select("doc_id"), "large"), "large_features")
+    copies = classes.select(F.col("class_id").alias("doc_id"), "copies")
+    members = large.join(features.select("doc_id").join(copies, "doc_id"), "doc_id")
     pivots = stored(members.groupBy("bucket").agg(F.max(F.struct("copies", (-F.col("doc_id")).alias("order"))).alias("best")).select("bucket", (-F.col("best.order")).alias("pivot")), "pivots")
     known = stored(pivots.join(sets, F.col("pivot") == F.col("doc_id")).select("bucket", "pivot", F.col("shingles").alias("pivot_shingles")), "pivot_sets")
     met = large.join(sets, "doc_id").join(known, "bucket").select("bucket", "doc_id", "shingles", "pivot", "pivot_shingles")
@@ -275,13 +297,13 @@ def _large_links(large: DataFrame, features: DataFrame, sets: DataFrame, percent
     return told.filter("settled and doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).union(links)
 
 
-def confirmed_links(docs: DataFrame, features: DataFrame, parts: DataFrame, large: DataFrame, percent: int, least: float) -> DataFrame:
+def confirmed_links(docs: DataFrame, features: DataFrame, classes: DataFrame, parts: DataFrame, large: DataFrame, percent: int, least: float) -> DataFrame:
     """(a, b): links between classes with 100 * common >= percent * union, a forest of each task's links."""
     sets = _candidate_sets(docs, parts.select("doc_id").union(large.select("doc_id")))
     full = _together(parts.join(sets, "doc_id").select("bucket", "part", "doc_id", "shingles"), "bucket", "part")
     links = full.mapInArrow(_full_check(percent), "a bigint, b bigint")
     if not large.isEmpty():
-        links = links.union(_large_links(large, features, sets, percent, least))
+        links = links.union(_large_links(large, features, classes, sets, percent, least))
     return links.distinct()
 
 
@@ -295,9 +317,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         every = stored(set_features(docs, bands), "features")
     classes = every.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     classes = stored(classes, "classes")
-    firsts, least = every.join(classes.select(F.col("class_id").alias("doc_id"), "copies"), "doc_id"), percent / 100 - 0.15
+    firsts, least = first_of_classes(every, classes), percent / 100 - 0.15
     parts, large = candidate_buckets(firsts, least)
-    links = confirmed_links(docs, firsts, parts, large, percent, least)
+    links = confirmed_links(docs, every, classes, parts, large, percent, least)
     component = connected_components(links).withColumnRenamed("node", "class_id")
     to = classes.join(component, "class_id", "left").select("set_key", F.coalesce("component", "class_id").alias("component_id"))
     out = every.select("doc_id", "n_shingles", "set_key").join(to, "set_key", "left")

@@ -622,6 +622,27 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in mh.near_duplicates(df, percent).collect()} == want
 
 
+def test_near_duplicates_shuffle_band_keys_once(spark):
+    """Without candidates nothing but digests of sets and one row a band is shuffled, also where no side of a join is small."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(12))) for i in range(3000)]
+    rows += [(3000 + i, rows[i][1]) for i in range(60)]  # copies
+
+    def written() -> int:
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before, small = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = {r.doc_id: r.component_id for r in mh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert got == {i: i if i < 3000 else i - 3000 for i, _ in rows}
+    assert (written() - before) / len(rows) < 1400  # 1525 if features meet the classes in joins
+
+
 def test_minima_estimate_likeness():
     rng = np.random.default_rng(3)
     for share in (0.3, 0.6, 0.9):
