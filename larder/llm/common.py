@@ -164,17 +164,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: str, cased: bool = False) -> np.ndarray:
     """A 64-bit hash of each run of other than ASCII white space, in order; A-Z are taken as a-z unless cased."""
-    data = np.frombuffer(text.encode(), np.uint8)
+    return _hashed(text.encode(), cased)[0]
+
+
+def word_hashes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of several texts, one after the other, and where each text's begin and the last one's end."""
+    raw = [(t or "").encode() for t in texts]
+    words, starts = _hashed(b"\n".join(raw))
+    return words, np.searchsorted(starts, np.cumsum([0] + [len(r) + 1 for r in raw]))
+
+
+def _hashed(raw: bytes, cased: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words and the bytes at which they begin."""
+    data = np.frombuffer(raw, np.uint8)
     inside = ~_SPACE[data]
     edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), starts
     lengths = ends - starts
     heads = np.cumsum(lengths) - lengths
     within = np.arange(int(lengths.sum())) - np.repeat(heads, lengths)
     values = (_CASED if cased else _BYTE)[data[inside]] * _powers(int(lengths.max()))[within]
-    return mixed(np.add.reduceat(values, heads) + lengths.astype(np.uint64))
+    return mixed(np.add.reduceat(values, heads) + lengths.astype(np.uint64)), starts
 
 
 def shingle_hashes(text: str | None, size: int = 5) -> np.ndarray:

@@ -14,6 +14,8 @@
 A word is named by a number if frequent, else by a 63-bit hash; a bigram by both numbers in one, or by a 63-bit hash. Numbers
 only shorten rows, and no word is left out.
 
+Texts are read by runs of many: each distinct word of a run is looked up once, and bigrams are told by the places of their words.
+
 A bigram seen at least `least` times scores log10(count / count of its first word); another backs off to
 log10(0.4 * count of its second word / words in all). A document's first word scores as a single one. A corpus that scores
 itself has seen each of its bigrams, so with `least` 1 nothing ever backs off; the default asks for a second occurrence.
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import least_count, mixed, partitions, slices, stored, table, word_hashes
+from .common import least_count, mixed, partitions, slices, stored, table, word_hashes_of
 
 BACKOFF = 0.4
 #: Rows of bigrams that one partition should have.
@@ -49,6 +51,27 @@ def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first * np.uint64(0x9E3779B97F4A7C15) + second)
 
 
+def _runs(batches, most: int = 1 << 18):
+    """Texts, the last column of the batches, by runs of about `most` characters: the other columns' values, the word hashes of
+    the texts and where each text's begin and the last one's end."""
+    held, size = [], 0
+    for batch in slices(batches):
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            held.append(row)
+            size += len(row[-1] or "")
+            if size >= most:
+                yield [r[:-1] for r in held], *word_hashes_of([r[-1] for r in held])
+                held, size = [], 0
+    if held:
+        yield [r[:-1] for r in held], *word_hashes_of([r[-1] for r in held])
+
+
+def _inside(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each word, and which words have a next one in their text."""
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    return text, np.flatnonzero(text[:-1] == text[1:])
+
+
 def _tally(kinds_of, most: int = 3_000_000):
     """Counts of keys by kind, summed in the task while they are few enough to hold."""
 
@@ -61,15 +84,14 @@ def _tally(kinds_of, most: int = 3_000_000):
 
     def run(batches):
         held, size = {}, 0
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                for kind, keys in kinds_of(word_hashes(text or "")):
-                    if len(keys):
-                        held.setdefault(kind, []).append(keys)
-                        size += len(keys)
-                if size > most:
-                    yield from packed(held)
-                    held, size = {}, 0
+        for _, words, bounds in _runs(batches):
+            for kind, keys in kinds_of(words, bounds):
+                if len(keys):
+                    held.setdefault(kind, []).append(keys)
+                    size += len(keys)
+            if size > most:
+                yield from packed(held)
+                held, size = {}, 0
         yield from packed(held)
 
     return run
@@ -81,6 +103,27 @@ def _place(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (keys[at] == of if len(keys) else np.zeros(len(of), bool))
 
 
+class Hashes:
+    """Sorted 64-bit hashes, found by their first bits."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = len(keys).bit_length() + 2
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        ends = np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits))
+        self.low = np.append(0, ends[:-1]).astype(np.int32)
+        self.deep = int(np.diff(ends, prepend=0).max())
+
+    def place(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What `_place` tells."""
+        place, there = self.low[(of >> self.shift).astype(np.int64)], np.zeros(len(of), bool)
+        found = place
+        for step in range(self.deep):
+            at = np.minimum(place + step, len(self.keys) - 1)
+            hit = self.keys[at] == of
+            found, there = np.where(hit, at, found), there | hit
+        return np.where(there, found, 0), there
+
+
 class Known:
     """What goes to every task: counts of the frequent words, in order of their hashes, and of the very frequent pairs; a filter
     of the other words that occur `least` times or more."""
@@ -91,7 +134,7 @@ class Known:
         self.words, self.counts, self.total = words[order], counts[order], total
         self.shift = len(words).bit_length()  # what a word's number takes
         order = np.argsort(pairs)
-        self.pairs, self.pair_counts = pairs[order], pair_counts[order]
+        self.pairs, self.pair_counts = Hashes(pairs[order]), pair_counts[order]
 
     def below(self, words: np.ndarray, named: np.ndarray) -> np.ndarray:
         """Which of the words are sure to occur less than `least` times."""
@@ -128,13 +171,15 @@ def counts_of(corpus: DataFrame, fewest: int, most_words: int, most_pairs: int,
     n = corpus.count()
     share = corpus.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1, sample / max(1, n)))).select("text")
     schema = "kind int, key bigint, n bigint"
-    frequent = share.mapInArrow(_tally(lambda w: [(1, np.unique(_pairs(w[:-1], w[1:])))]), schema).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 3")
+    each = lambda w, bounds: [(1, np.unique(_pairs(w[a : b - 1], w[a + 1 : b]))) for a, b in zip(bounds[:-1], bounds[1:]) if b - a > 1]
+    frequent = share.mapInArrow(_tally(each), schema).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 3")
     ahead = np.sort(np.array([r.key for r in frequent.orderBy(F.desc("n"), "key").limit(most_pairs).collect()], np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(ahead)
+    shared = spark.sparkContext.broadcast(Hashes(ahead))
 
-    def kinds_of(words):
-        own = _pairs(words[:-1], words[1:])
-        return [(0, words), (1, own[_place(shared.value, own)[1]])]
+    def kinds_of(words, bounds):
+        at = _inside(bounds)[1]
+        own = _pairs(words[at], words[at + 1])
+        return [(0, words), (1, own[shared.value.place(own)[1]])]
 
     counts = stored(corpus.select("text").mapInArrow(_tally(kinds_of), schema).groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = counts.filter("kind = 0")
@@ -161,7 +206,7 @@ def _named(doc_id: int | None, words: np.ndarray) -> tuple[int, int, int]:
     return (number, -1 - tag, number) if doc_id is None else (doc_id, tag, number)
 
 
-def _explode(shared, least: int, most: int = 65_536):
+def _explode(shared, least: int):
     """Rows of every document:
 
     * one with its size and the score of what is known ahead: n 0, any key;
@@ -170,51 +215,55 @@ def _explode(shared, least: int, most: int = 65_536):
       as key and the second's name.
     """
 
-    def document(known, doc_id, text):
-        words = word_hashes(text or "")
-        name, tag, spread = _named(doc_id, words)
-        named = known.names(words)
-        below = known.below(words, named)
-        pairs, at, n = np.unique(_pairs(words[:-1], words[1:]), return_index=True, return_counts=True)
-        one, two = named[at], named[at + 1]
-        rare, unseen = (one < 0) | (two < 0), below[at] | below[at + 1]
-        place, there = _place(known.pairs, pairs)
-        there &= ~rare
-        part = 0.0
-        if there.any():
-            c = known.pair_counts[place[there]]
-            part = float((n[there] * np.log10(np.where(c >= least, c / known.counts[one[there]], BACKOFF * known.counts[two[there]] / known.total))).sum())
+    def documents(known, ids, words, bounds):
+        names = [_named(i, words[a:b]) for (i,), a, b in zip(ids, bounds[:-1], bounds[1:])]
+        name, tag, spread = (np.array(x, kind) for x, kind in zip(zip(*names), (np.int64, np.int32, np.int64)))
+        size, sums = np.diff(bounds), lambda text, x: np.bincount(text, x, len(ids)).astype(float)
+        # distinct words of the run by their places, distinct bigrams of each document by its place and those of both words
+        vocabulary, local = np.unique(words, return_inverse=True)
+        named = known.names(vocabulary)
+        below = known.below(vocabulary, named)
+        text, at = _inside(bounds)
+        bits = len(vocabulary).bit_length()
+        both, n = np.unique((text[at] << bits | local[at]) << bits | local[at + 1], return_counts=True)
+        text, a, b = both >> 2 * bits, both >> bits & (1 << bits) - 1, both & (1 << bits) - 1
+        one, two = named[a], named[b]
+        rare, unseen = (one < 0) | (two < 0), below[a] | below[b]
+        there, often = np.zeros(len(both), bool), np.flatnonzero(~rare)
+        place, hit = known.pairs.place(_pairs(vocabulary[a[often]], vocabulary[b[often]]))
+        ahead, c = often[hit], known.pair_counts[place[hit]]
+        there[ahead] = True
+        part = sums(text[ahead], n[ahead] * np.log10(np.where(c >= least, c / known.counts[one[ahead]], BACKOFF * known.counts[two[ahead]] / known.total)))
         # single words: the first, and the second ones of bigrams that can't be seen often enough
-        single, times, lone = np.append(two[unseen], named[:1]), np.append(n[unseen], np.ones(len(named[:1]), np.int64)), np.append(below[at + 1][unseen], below[:1])
-        part += float(n[unseen].sum() * math.log10(BACKOFF))
+        filled = np.flatnonzero(size)
+        first = local[bounds[filled]]
+        owner, single, times, lone = np.append(text[unseen], filled), np.append(two[unseen], named[first]), np.append(n[unseen], np.ones(len(filled), np.int64)), np.append(below[b[unseen]], below[first])
+        part += sums(text[unseen], n[unseen] * math.log10(BACKOFF))
         sure = single >= 0
-        part += float((times[sure] * np.log10(known.counts[single[sure]] / known.total)).sum())
+        part += sums(owner[sure], times[sure] * np.log10(known.counts[single[sure]] / known.total))
         if least == 2:  # a word that is not seen twice is seen once
-            part -= float(times[lone].sum() * math.log10(known.total)) if lone.any() else 0.0
+            part -= sums(owner[lone], times[lone] * math.log10(known.total)) if lone.any() else 0.0
             sure |= lone
-        single, times = single[~sure], times[~sure]
+        owner, single, times = owner[~sure], single[~sure], times[~sure]
         left = ~there & ~unseen
-        key = np.where(rare, one, one << known.shift | two)[left]
-        k = 1 + len(single)
-        key, n = np.concatenate([[spread], single, key]).astype(np.int64), np.concatenate([[0], -times, n[left]]).astype(np.int32)
-        second = np.concatenate([np.zeros(k, np.int64), two[left]])
-        row = np.arange(len(key))
-        return (
-            pa.array(np.full(len(key), name)), pa.array(np.full(len(key), tag, np.int32)), pa.array(key), pa.array(second, mask=np.append(np.ones(k, bool), ~rare[left])),
-            pa.array(n), pa.array(np.where(row == 0, part, 0.0)), pa.array(np.full(len(key), len(words)), mask=row > 0),
+        one, two, rare = one[left], two[left], rare[left]
+        of = np.concatenate([np.arange(len(ids)), owner, text[left]])
+        key = np.concatenate([spread, single, np.where(rare, one, one << known.shift | two)]).astype(np.int64)
+        n = np.concatenate([np.zeros(len(ids), np.int64), -times, n[left]]).astype(np.int32)
+        k, rest = len(ids) + len(owner), len(of) - len(ids)
+        second = np.append(np.zeros(k, np.int64), two)
+        head = np.arange(len(of)) < len(ids)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(name[of]), pa.array(tag[of]), pa.array(key), pa.array(second, mask=np.append(np.ones(k, bool), ~rare)),
+                pa.array(n), pa.array(np.append(part, np.zeros(rest))), pa.array(np.append(size, np.zeros(rest, np.int64)), mask=~head),
+            ],
+            schema=_ROWS,
         )
 
     def run(batches):
-        known, held, size = shared.value, [], 0
-        for batch in slices(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append(document(known, doc_id, text))
-                size += len(held[-1][0])
-                if size >= most:
-                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], schema=_ROWS)
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], schema=_ROWS)
+        for ids, words, bounds in _runs(batches):
+            yield documents(shared.value, ids, words, bounds)
 
     return run
 
@@ -226,9 +275,11 @@ def backoff_scores(docs: DataFrame, least: int = 2, most_words: int = 400_000, b
     known, rare_words = counts_of(docs, least, most_words, most_pairs, sample)
     shared = spark.sparkContext.broadcast(known)
     tasks = max(partitions(spark), known.total // bucket + 1)
-    dealt = docs.mapInArrow(_explode(shared, least), _ROWS_SQL).repartition(int(tasks), "key", "second")
+    # one number a bigram, so that the rows of a partition are sorted by their prefixes alone; negative if one of its words is rare
+    bigram = F.when(F.col("second").isNull(), F.col("key")).otherwise(F.xxhash64("key", "second").bitwiseOR(F.lit(-(2**63))))
+    dealt = docs.mapInArrow(_explode(shared, least), _ROWS_SQL).repartition(int(tasks), bigram).withColumn("bigram", bigram)
     n, alone = F.col("n"), F.col("n") <= 0
-    rows = dealt.withColumn("count", F.sum(F.greatest("n", F.lit(0))).over(W.partitionBy("key", "second")))
+    rows = dealt.withColumn("count", F.sum(F.greatest("n", F.lit(0))).over(W.partitionBy("bigram")))
     seen = ~alone & (F.col("count") >= least)
     first = F.when(alone | F.col("second").isNotNull(), F.col("key")).otherwise(F.shiftright("key", known.shift))
     second = F.coalesce("second", F.col("key").bitwiseAND(F.lit((1 << known.shift) - 1)))

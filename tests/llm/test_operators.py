@@ -22,6 +22,7 @@ from larder.llm import op07_packing as pk
 from larder.llm import op08_url_filter as urls
 from larder.llm import op09_minhash as mh
 from larder.llm import op10_toxicity as tox
+from larder.llm.common import word_hashes, word_hashes_of
 from larder.llm.components import connected_components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -238,6 +239,24 @@ def test_backoff_scores(spark, docs, nothing):
     assert small == len(TEXTS)
 
 
+def test_backoff_reads_texts_by_runs(spark, docs):
+    """Words of many texts are hashed at once, and a bigram's rows are sorted by one number, in the exchange's own order of keys."""
+    texts = [*TEXTS, "a b", None, " c", "d ", ""]
+    hashed, bounds = word_hashes_of(texts)
+    for t, a, b in zip(texts, bounds[:-1], bounds[1:]):
+        assert hashed[a:b].tolist() == word_hashes(t or "").tolist()
+    assert bounds[-1] == len(hashed) and word_hashes_of([])[1].tolist() == [0]
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 5, 3000):
+        keys = np.unique(np.concatenate([rng.integers(0, 2**64, n, np.uint64), rng.integers(2**63, 2**63 + 9, n // 9, np.uint64)]))
+        of = np.concatenate([keys, keys + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+        (place, there), (at, hit) = lm.Hashes(keys).place(of), lm._place(keys, of)
+        assert there.tolist() == hit.tolist() and place[there].tolist() == at[hit].tolist()
+    plan = lm.backoff_scores(docs)._jdf.queryExecution().executedPlan().toString()
+    window = plan.split("Window [", 1)[1].split("Exchange", 2)[:2]
+    assert re.search(r"Sort \[\w+#\d+L? ASC NULLS FIRST\]", window[0]) and "REPARTITION_BY_NUM" in window[1].split("\n")[0]
+
+
 @pytest.mark.parametrize("most_words", [0, 5, 40])
 def test_backoff_scores_keep_every_word(spark, most_words):
     rng = random.Random(3)
