@@ -93,16 +93,19 @@ def upsert_locations(candidates: DataFrame, stored: DataFrame) -> tuple[DataFram
     """(updated, inserted). candidates and stored: id, restaurant_id, address, confidence.
 
     A candidate updates the stored address it is equivalent to unless that one is surer; without one it is new, once by key.
-    Equivalent addresses meet by whole keys and by the ends of longer keys, never all with all.
+    Only keys meet, each once, by whole keys and by the ends of longer keys, never all with all: what candidates of one key can
+    do the best of them does, so a key of many candidates and many stored addresses costs no more than their number.
     """
-    c = candidates.filter(address_usable(F.col("address"))).select(F.col("id").alias("candidate_id"), "restaurant_id", F.col("address").alias("new_address"), F.col("confidence").alias("new_confidence"))
-    s = stored.select(F.col("id").alias("stored_id"), "restaurant_id", "address", "confidence")
-    pairs = _equivalent(c.withColumn("key", address_key(F.col("new_address"))), s.withColumn("key", address_key(F.col("address"))))
-    surest = W.partitionBy("stored_id").orderBy(F.desc(_rank(F.col("new_confidence"))), F.desc(F.length("new_address")), "candidate_id")
-    updated = pairs.filter(_rank(F.col("new_confidence")) >= _rank(F.col("confidence"))).withColumn("_n", F.row_number().over(surest)).filter("_n = 1").select("stored_id", "candidate_id")
-    free = c.join(pairs.select("candidate_id").distinct(), "candidate_id", "left_anti")
-    first = W.partitionBy("restaurant_id", address_key(F.col("new_address"))).orderBy(F.desc(_rank(F.col("new_confidence"))), "candidate_id")
-    return updated, free.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("candidate_id", "restaurant_id", "new_address", "new_confidence")
+    c = candidates.filter(address_usable(F.col("address"))).select(F.col("id").alias("candidate_id"), "restaurant_id", F.col("address").alias("new_address"), F.col("confidence").alias("new_confidence"), address_key(F.col("address")).alias("key"))
+    s = stored.select(F.col("id").alias("stored_id"), "restaurant_id", "confidence", address_key(F.col("address")).alias("key"))
+    trust = F.coalesce(_rank(F.col("new_confidence")), F.lit(0))
+    best = c.groupBy("restaurant_id", "key").agg(F.min(F.struct((-trust).alias("doubt"), (-F.length("new_address")).alias("short"), "candidate_id")).alias("best"))
+    met = _equivalent(best.withColumn("new_key", F.col("key")), s.select("restaurant_id", "key").distinct().withColumn("old_key", F.col("key")))
+    told = met.groupBy("restaurant_id", F.col("old_key").alias("key")).agg(F.min("best").alias("best"))
+    updated = s.join(told, ["restaurant_id", "key"]).filter(-F.col("best.doubt") >= _rank(F.col("confidence"))).select("stored_id", "best.candidate_id")
+    first = c.groupBy("restaurant_id", "key").agg(F.min_by(F.struct("candidate_id", "restaurant_id", "new_address", "new_confidence"), F.struct(-trust, "candidate_id")).alias("first"))
+    free = first.join(met.select("restaurant_id", F.col("new_key").alias("key")), ["restaurant_id", "key"], "left_anti")
+    return updated, free.select("first.*")
 
 
 def locations_backfill(restaurants: DataFrame, locations: DataFrame) -> DataFrame:

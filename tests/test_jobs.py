@@ -58,6 +58,39 @@ def test_locations_of_a_large_restaurant(spark):
     assert got == sorted([(0, "5 Quay Row, Cork, Ireland", None), (2, "5 Quay Row, Cork", 51.9), *((1, f"{i} Other Street, Cork", None) for i in range(11_000)), *harbour])
 
 
+def _most_rows(df):
+    """The most rows that any operator of the plan gives, after a run."""
+    df.collect()
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        own = node.metrics().get("numOutputRows")
+        return max([own.get().value() if own.isDefined() else 0, *map(walk, below)])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_location_upsert_by_key(spark):
+    """Many candidates and stored addresses of one key cost their number, not its square; the surest and longest one wins."""
+    kinds = "case id % 3 when 0 then 'low' when 1 then 'medium' else 'high' end as confidence"
+    stored = spark.range(2_000).selectExpr("id", "1L as restaurant_id", "'12 Main Street, Cork' as address", kinds)
+    cand = spark.range(3_000).selectExpr("id + 10000 as id", "1L as restaurant_id", "case when id % 2 = 0 then '12 Main Street, Cork' else '12 main street Cork Ireland' end as address", kinds)
+    updated, inserted = G.upsert_locations(cand, stored)
+    assert _most_rows(updated) <= 3_000 and inserted.count() == 0
+    assert {(r.candidate_id, r.n) for r in updated.groupBy("candidate_id").agg(F.count("*").alias("n")).collect()} == {(10_005, 2_000)}
+
+
+def test_location_upsert_rules(spark):
+    """The surer stored address stays; what meets none is new, once by key; unknown trust and no restaurant meet nothing."""
+    columns = "id long, restaurant_id long, address string, confidence string"
+    stored = spark.createDataFrame([(1, 1, "12 Main Street, Cork", "high"), (2, 1, "12 Main Street", "low"), (3, 2, "7 Quay", "low"), (4, 1, None, "low"), (5, 3, "9 Long Lane, Cork", "odd"), (6, 1, "Main Street, Cork, Ireland", "medium")], columns)
+    cand = [(10, 1, "12 Main Street, Cork", "medium"), (11, 1, "12 MAIN street, Cork!", "medium"), (12, 2, "7 Quay, Cork", "high"), (13, 2, "7 quay cork", "medium"), (14, 3, "9 Long Lane, Cork", "high"), (15, None, "1 Some Road", "low"), (16, None, "1 some road.", "low"), (17, 1, "x", "high"), (18, 1, "Main Street, Cork, Ireland", None)]
+    updated, inserted = G.upsert_locations(spark.createDataFrame(cand, columns), stored)
+    assert sorted(tuple(r) for r in updated.collect()) == [(2, 11)]
+    assert sorted((r.candidate_id, r.restaurant_id, r.new_address, r.new_confidence) for r in inserted.collect()) == [(12, 2, "7 Quay, Cork", "high"), (15, None, "1 Some Road", "low")]
+
+
 def test_polygon_with_hole(spark):
     ring = lambda lo, hi: [(lo, lo), (hi, lo), (hi, hi), (lo, hi)]
     areas = spark.createDataFrame([(1, "X", [ring(0.0, 1.0), ring(0.4, 0.6)], True), (2, "X", [ring(0.0, 2.0)], True)], "area_id int, city string, rings array<array<struct<longitude:double,latitude:double>>>, active boolean")
