@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.misc import feedback_action
 from larder.functions.text import custom_city_norm
+from larder.sources.scratch import stored, stored_alone
 
 from .extraction import apply_verdicts
 from .identity import next_order
@@ -103,34 +104,34 @@ def resolve_feedback(items: DataFrame, dishes: DataFrame, restaurants: DataFrame
     The type of a confirmed item says what is done; where something it needs is missing it is routed to review. A batch is
     resolved against the tables as they are before it. Verdicts, removals and renames carry the item's id as `seq`.
     """
-    d = dishes.select(F.col("id").alias("dish_id"), F.col("restaurant_id").alias("_dish_at"))
+    on_dish = F.col("kind").eqNullSafe("dish_report")
     known = restaurants.select(F.col("id").alias("_at"), F.lit(True).alias("_known"))
+    d = dishes.select(F.col("id").alias("dish_id"), F.col("restaurant_id").alias("_place"))
     own = sections.select("restaurant_id", F.col("id").alias("section_id"), "menu_label")
     size = dishes.join(own, ["restaurant_id", "section_id"]).groupBy(F.col("restaurant_id").alias("_of"), F.col("menu_label").alias("_label")).agg(F.count("*").alias("_dishes"))
-    rows = items.join(d, "dish_id", "left").withColumn("_place", F.when(F.col("kind") == "dish_report", F.col("_dish_at")).otherwise(F.col("restaurant_id")))
-    rows = rows.join(known, F.col("_place") == F.col("_at"), "left")
-    rows = rows.join(size, (F.col("_place") == F.col("_of")) & F.col("menu_label").eqNullSafe(F.col("_label")), "left")
-    rows = rows.withColumn("action", F.when((F.col("status") == "confirmed") & F.col("_known"), feedback_action(F.col("type"))))
-    on_dish, on_menu = F.col("kind") == "dish_report", F.col("kind") == "restaurant_feedback"
-    name = F.nullif(F.trim("proposed_name"), F.lit(""))
-    does = lambda action, where: where & (F.col("action") == action)
-    removes, relabels = does("remove_dish", on_dish), does("reclassify", on_dish) & F.col("proposed_classification").isNotNull()
-    clears, renames = does("remove_menu", on_menu), does("rename", on_menu) & name.isNotNull()
-    told = (
-        F.when(F.col("status") != "confirmed", "dismissed")
-        .when(removes, "removed_dish")
-        .when(relabels, F.concat(F.lit("reclassified:"), F.col("proposed_classification")))
-        .when(clears, _removed(F.col("menu_label"), F.col("_dishes")))
-        .when(renames, F.concat(F.lit("renamed:"), name))
-        .when(does("reparse", on_menu), "reparsed")
-        .otherwise("routed_to_review")
-    )
-    verdicts = rows.filter(removes | relabels).select(F.col("id").alias("seq"), "dish_id", F.when(removes, "delete").otherwise("upsert").alias("action"), F.when(relabels, F.col("proposed_classification")).alias("classification"))
+
+    rows = items.withColumns({"name": F.nullif(F.trim("proposed_name"), F.lit("")), "action": F.when(F.col("status") == "confirmed", feedback_action(F.col("type")))})
+    means = lambda action: F.col("action") == action
+    at = lambda df, how: df.join(known, F.col("_place") == F.col("_at"), how)
+    # each effect asks for no more than it needs: dishes where a dish is meant, no menu's size where it isn't told
+    removes, relabels = means("remove_dish"), means("reclassify") & F.col("proposed_classification").isNotNull()
+    meant = rows.filter(on_dish & (removes | relabels))
+    verdicts = at(meant.join(d, "dish_id"), "inner").select(F.col("id").alias("seq"), "dish_id", F.when(removes, "delete").otherwise("upsert").alias("action"), F.when(relabels, F.col("proposed_classification")).alias("classification"))
+    clears, renames = means("remove_menu"), means("rename") & F.col("name").isNotNull()
+    menu = F.col("kind") == "restaurant_feedback"
+    changes = at(rows.filter(menu & (clears | renames)).withColumn("_place", F.col("restaurant_id")), "inner")
+
+    seen = lambda df: at(df, "left").withColumn("action", F.when(F.col("_known"), F.col("action")))
+    dish_rows = seen(rows.filter(on_dish).join(d, "dish_id", "left"))
+    told_dish = F.when(removes, "removed_dish").when(relabels, F.concat(F.lit("reclassified:"), F.col("proposed_classification")))
+    menu_rows = seen(rows.filter(~on_dish).withColumn("_place", F.col("restaurant_id"))).join(size, (F.col("_place") == F.col("_of")) & F.col("menu_label").eqNullSafe(F.col("_label")), "left")
+    told_menu = F.when(menu & clears, _removed(F.col("menu_label"), F.col("_dishes"))).when(menu & renames, F.concat(F.lit("renamed:"), F.col("name"))).when(menu & means("reparse"), "reparsed")
+    told = lambda df, done: df.select("kind", "id", F.when(F.col("status") != "confirmed", "dismissed").otherwise(F.coalesce(done, F.lit("routed_to_review"))).alias("resolution_action"))
     return Resolved(
-        rows.select("kind", "id", told.alias("resolution_action")),
+        told(dish_rows, told_dish).union(told(menu_rows, told_menu)),
         verdicts,
-        rows.filter(clears).select(F.col("id").alias("seq"), F.col("_place").alias("restaurant_id"), "menu_label"),
-        rows.filter(renames).select(F.col("id").alias("seq"), F.col("_place").alias("restaurant_id"), name.alias("name")),
+        changes.filter(clears).select(F.col("id").alias("seq"), F.col("_place").alias("restaurant_id"), "menu_label"),
+        changes.filter(renames).select(F.col("id").alias("seq"), F.col("_place").alias("restaurant_id"), "name"),
     )
 
 
@@ -150,19 +151,21 @@ def apply_resolved(resolved: Resolved, dishes: DataFrame, sections: DataFrame, r
     A removed menu takes its sections and their dishes with it, and is a spurious one of the golden set (restaurant_id, label,
     verdict); without a label it is the unlabelled one. Of the other dishes the last verdict of each holds. Each dish that was
     given another class is a golden row (dish_id, restaurant_id, name, section, menu_label, expected, ai_original, source), as it
-    was before the batch. The last new name of a restaurant is its name.
+    was before the batch. The last new name of a restaurant is its name. What several of them read is written to scratch tables,
+    and the dishes are dealt by their ids once at a time.
     """
-    menus = resolved.removals.select(F.col("restaurant_id").alias("_at"), F.col("menu_label").alias("_label")).distinct()
+    menus = stored(resolved.removals.select(F.col("restaurant_id").alias("_at"), F.col("menu_label").alias("_label")).distinct(), "menus")
+    verdicts = stored_alone(resolved.verdicts, "verdicts")
     hit = (F.col("restaurant_id") == F.col("_at")) & F.col("menu_label").eqNullSafe(F.col("_label"))
-    gone = sections.join(menus, hit, "left_semi").select(F.col("restaurant_id").alias("_at"), F.col("id").alias("_section"))
+    gone = stored(sections.join(menus, hit, "left_semi").select(F.col("restaurant_id").alias("_at"), F.col("id").alias("_section")), "gone")
     kept = dishes.join(gone, (F.col("restaurant_id") == F.col("_at")) & (F.col("section_id") == F.col("_section")), "left_anti")
     placed = sections.select("restaurant_id", F.col("id").alias("section_id"), F.col("name").alias("section"), "menu_label")
-    was = dishes.select(F.col("id").alias("dish_id"), "restaurant_id", "section_id", "name", F.col("classification").alias("ai_original")).join(placed, ["restaurant_id", "section_id"], "left")
-    told = resolved.verdicts.filter("action = 'upsert'").groupBy("dish_id").agg(F.max_by("classification", "seq").alias("expected"))
-    golden = told.join(was, "dish_id").select("dish_id", "restaurant_id", "name", "section", "menu_label", "expected", "ai_original", F.lit("feedback_confirmed").alias("source"))
+    was = dishes.select(F.col("id").alias("dish_id"), "restaurant_id", "section_id", "name", F.col("classification").alias("ai_original"))
+    told = verdicts.filter("action = 'upsert'").groupBy("dish_id").agg(F.max_by("classification", "seq").alias("expected"))
+    golden = stored_alone(told.join(was, "dish_id"), "golden").join(placed, ["restaurant_id", "section_id"], "left").select("dish_id", "restaurant_id", "name", "section", "menu_label", "expected", "ai_original", F.lit("feedback_confirmed").alias("source"))
     names = resolved.renames.groupBy(F.col("restaurant_id").alias("id")).agg(F.max_by("name", "seq").alias("_name"))
     return Applied(
-        apply_verdicts(kept, resolved.verdicts, as_of),
+        apply_verdicts(kept, verdicts, as_of),
         sections.join(menus, hit, "left_anti"),
         restaurants.join(names, "id", "left").withColumn("name", F.coalesce("_name", "name")).drop("_name"),
         golden,

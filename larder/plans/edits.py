@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.operators import editing as E
+from larder.sources.scratch import stored_alone
 
 from . import fixtures
 from .fixtures import load, with_tables
@@ -118,7 +119,9 @@ add(
 
 def _applied(s, d):
     """What changed, a row a thing: dishes with another class or gone, removed sections, new names, golden rows."""
-    dishes, sections, restaurants = (load(s, d, n) for n in ("dishes", "menu_sections", "restaurants"))
+    # derived tables are aggregates of the largest ones, so those that are read again and again are written once
+    read = ["id", "restaurant_id", "section_id", "name", "classification", "human_verified", "deleted_at"]
+    dishes, sections, restaurants = stored_alone(load(s, d, "dishes").select(*read), "dishes"), stored_alone(load(s, d, "menu_sections"), "sections"), load(s, d, "restaurants")
     out = E.apply_resolved(E.resolve_feedback(load(s, d, "resolutions"), dishes, restaurants, sections), dishes, sections, restaurants, F.expr("timestamp '2024-03-01 00:00:00'"))
     row = lambda kind, key, value: [F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), value.alias("value")]
     join = lambda *columns: F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns))

@@ -4,10 +4,12 @@ import random
 
 from pyspark.sql import functions as F
 
+from larder.operators import editing as E
 from larder.operators import extraction as X
 from larder.operators import geo as G
 from larder.operators import menus as O
 from larder.operators import pages as P
+from larder.plans import catalog
 from larder.plans.fixtures import load
 from larder.sources import tables as S
 from larder.streaming import streams as R
@@ -191,3 +193,31 @@ def test_added_menus_without_names(spark):
     ids = {r.display_order: r.id for r in out.sections.collect()}
     assert ids == {5: "1-5", 6: "1-Late-6", 7: "1-7", 8: "1-8"}
     assert {r["name"]: r.section_id for r in out.dishes.collect()} == {"A": "1-5", "B": "1-5", "C": "1-Late-6", "D": "1-7"}
+
+
+def test_applied_feedback_reads_written_tables(spark, sf_dir):
+    """Derived tables are worked out before and once; what is left deals each written table a few times."""
+    plan = catalog.QUERIES["job_apply_feedback"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "Window" not in plan and plan.count("Exchange hashpartitioning") <= 12
+
+
+def test_resolved_feedback_by_kind(spark):
+    """Dishes count for reports of dishes alone, menus for feedback on places; what is unknown is routed, and does nothing."""
+    columns = "kind string, id long, type string, status string, dish_id string, restaurant_id long, proposed_classification string, menu_label string, proposed_name string"
+    dish, place = "dish_report", "restaurant_feedback"
+    items = [
+        (dish, 1, "not_a_dish", "confirmed", "d1", None, None, None, None), (dish, 2, "wrong_classification", "confirmed", "d1", 9, "vegan", None, None),
+        (dish, 3, "wrong_classification", "confirmed", "d1", None, None, None, None), (dish, 4, "not_a_dish", "confirmed", "gone", 1, None, None, None),
+        (dish, 5, "not_a_dish", "confirmed", "lost", None, None, None, None), (dish, 6, "not_a_dish", "open", "d1", None, None, None, None), (dish, 7, "not_a_menu", "confirmed", "d1", 1, None, "A", None),
+        (place, 11, "not_a_menu", "confirmed", "d1", 1, None, "A", None), (place, 12, "not_a_menu", "confirmed", None, 1, None, None, None), (place, 13, "not_a_menu", "confirmed", None, 9, None, "A", None),
+        (place, 14, "wrong_name", "confirmed", None, 1, None, None, " New "), (place, 15, "wrong_name", "confirmed", None, 1, None, None, "  "), (place, 16, "menu_outdated", "confirmed", None, 1, None, None, None), (place, 17, "not_a_dish", "confirmed", "d1", 1, None, None, None),
+        (None, 21, "not_a_dish", "confirmed", "d1", 1, None, None, None), ("other", 22, "not_a_menu", "confirmed", None, 1, None, "A", None), (None, 23, "not_a_dish", None, "d1", 1, None, None, None),
+    ]
+    dishes = spark.createDataFrame([("d1", 1, "s1"), ("d2", 1, "s2"), ("d3", 1, None), ("lost", 8, "s1")], "id string, restaurant_id long, section_id string")
+    sections = spark.createDataFrame([("s1", 1, "A"), ("s2", 1, None)], "id string, restaurant_id long, menu_label string")
+    out = E.resolve_feedback(spark.createDataFrame(items, columns), dishes, spark.createDataFrame([(1,), (2,)], "id long"), sections)
+    told = {r.id: r.resolution_action for r in out.items.collect()}
+    routed = dict.fromkeys((3, 4, 5, 7, 13, 15, 17, 21, 22, 23), "routed_to_review")
+    assert told == routed | {1: "removed_dish", 2: "reclassified:vegan", 6: "dismissed", 11: "removed_menu:A (1 dishes)", 12: "removed_menu:(unlabeled) (1 dishes)", 14: "renamed:New", 16: "reparsed"}
+    assert sorted(tuple(r) for r in out.verdicts.collect()) == [(1, "d1", "delete", None), (2, "d1", "upsert", "vegan")]
+    assert sorted((r.seq, r.restaurant_id, r.menu_label) for r in out.removals.collect()) == [(11, 1, "A"), (12, 1, None)] and [tuple(r) for r in out.renames.collect()] == [(14, 1, "New")]

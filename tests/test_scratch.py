@@ -1,13 +1,15 @@
 """Scratch tables: gone after their scope, and verdicts that travel to the dishes."""
 
 import os
+import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from larder.functions import dish_role as R
 from larder.operators import menus as O
 from larder.plans.fixtures import load
-from larder.sources.scratch import scoped, stored
+from larder.sources.scratch import scoped, stored, stored_alone
 
 
 def folders(spark):
@@ -37,3 +39,19 @@ def test_verdicts_by_both_ways(spark, sf_dir, monkeypatch):
     sent = roles()
     monkeypatch.setattr(R, "SENT", 0)
     assert roles() == sent and len(sent) == rows.count()
+
+
+def test_shuffles_go_with_their_write(spark):
+    """stored_alone leaves the table, the session as it was, and none of the files that its job shuffled; stored keeps those."""
+    folders = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {str(f) for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    df, key = spark.range(1_000).repartition(3, "id"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, begun = spark.conf.get(key, None), files()
+    alone = stored_alone(df, "alone")
+    until = time.time() + 20
+    while files() - begun and time.time() < until:  # executors are told without waiting for them
+        time.sleep(0.1)
+    assert not files() - begun and spark.conf.get(key, None) == was
+    plain = stored(df, "plain")
+    assert files() - begun
+    assert alone.count() == plain.count() == 1_000
